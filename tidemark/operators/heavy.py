@@ -27,9 +27,9 @@ def key_dictionary(keys: DataFrame, key: str, seed: int = 0, flag: str | None =
     """
     rows = keys.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), *([flag] if flag else []))
     texts = rows.groupBy("key").agg(F.max(flag).alias(flag)) if flag else rows.distinct()
-    one = texts.groupBy(key_id("key", seed).alias("id")).agg(F.count(F.lit(1)).alias("n"), F.first("key").alias("key"), *([F.max(flag).alias(flag)] if flag else []))
+    one = texts.groupBy(key_id("key", seed).alias("id")).agg(F.count(F.lit(1)).alias("__texts"), F.first("key").alias("key"), *([F.max(flag).alias(flag)] if flag else []))
     clash = F.raise_error(F.lit("two keys share an id: change the seed")).cast("string")
-    return one.select("id", F.when(F.col("n") == 1, F.col("key")).otherwise(clash).alias("key"), *([flag] if flag else []))
+    return one.select("id", F.when(F.col("__texts") == 1, F.col("key")).otherwise(clash).alias("key"), *([flag] if flag else []))
 
 
 def range_split(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import shaping
+from tidemark.plans import measures, records, shaping
 
-_MODULES = [shaping]
+_MODULES = [shaping, measures, records]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}

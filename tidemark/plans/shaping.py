@@ -35,11 +35,15 @@ def p3_lines_numbered(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {"p2_found": p2_found, "p2_packages": p2_packages, "p2_dependencies": p2_dependencies, "p3_found": p3_found, "p3_lines_numbered": p3_lines_numbered}
 
+#: The oracle's parser accepts trailing commas, which the strict grammar does not.
+STRICT = r"""body IS NOT NULL AND json_valid(body) AND json_type(CASE WHEN json_valid(body) THEN body ELSE 'null' END) = 'OBJECT'
+  AND NOT regexp_matches(regexp_replace(body, '"([^"\\]|\\.)*"', '""', 'g'), ',\s*[}\]]')"""
+
 SQL = {
     "p2_found": """
 WITH RECURSIVE records AS (
   SELECT DISTINCT manifest_id, body::JSON AS j FROM manifests
-  WHERE body IS NOT NULL AND json_valid(body) AND json_type(CASE WHEN json_valid(body) THEN body ELSE 'null' END) = 'OBJECT'
+  WHERE {strict}
 ), walk AS (
   SELECT manifest_id, j -> '$.exports' AS v, 'exports' AS json_path, CAST(NULL AS VARCHAR) AS first, 0 AS depth
   FROM records WHERE json_type(j -> '$.exports') IS NOT NULL
@@ -69,7 +73,7 @@ SELECT manifest_id, json_path, target, CASE WHEN manifest_id IN (SELECT manifest
     "p2_packages": """
 WITH records AS (
   SELECT DISTINCT manifest_id, body::JSON AS j FROM manifests
-  WHERE body IS NOT NULL AND json_valid(body) AND json_type(CASE WHEN json_valid(body) THEN body ELSE 'null' END) = 'OBJECT'
+  WHERE {strict}
 ), s AS (
   SELECT manifest_id, f.name, json_extract(j, '$.' || f.name) AS v FROM records, (VALUES ('name'), ('version'), ('main'), ('module'), ('types')) f(name)
 ), t AS (SELECT manifest_id, name, CASE WHEN json_type(v) IN ('OBJECT', 'ARRAY', 'NULL') THEN NULL ELSE v ->> '$' END AS v FROM s)
@@ -79,7 +83,7 @@ FROM t GROUP BY manifest_id""",
     "p2_dependencies": """
 WITH records AS (
   SELECT DISTINCT manifest_id, body::JSON AS j FROM manifests
-  WHERE body IS NOT NULL AND json_valid(body) AND json_type(CASE WHEN json_valid(body) THEN body ELSE 'null' END) = 'OBJECT'
+  WHERE {strict}
 ), f AS (
   SELECT manifest_id, f.name AS field, json_extract(j, '$.' || f.name) AS v
   FROM records, (VALUES ('dependencies'), ('devDependencies'), ('peerDependencies'), ('optionalDependencies')) f(name)
@@ -98,3 +102,4 @@ FROM (SELECT DISTINCT path FROM commit_files WHERE path IS NOT NULL) p LEFT JOIN
 SELECT path, sha, (row_number() OVER (PARTITION BY path ORDER BY sha))::BIGINT AS n, (count(*) OVER (PARTITION BY path))::BIGINT AS "of"
 FROM (SELECT DISTINCT path, sha FROM commit_files WHERE path IS NOT NULL)""",
 }
+SQL = {name: sql.replace("{strict}", STRICT) for name, sql in SQL.items()}
