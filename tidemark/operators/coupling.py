@@ -25,10 +25,15 @@ def degree(shared: Column, a: Column, b: Column) -> Column:
     return shared / ((a + b) / 2)
 
 
+def strong_pairs(history: History, min_shared: int = MIN_SHARED, min_degree: float = MIN_DEGREE) -> DataFrame:
+    """The pairs of :func:`all_pairs` at or above both thresholds, with their degree as ``exact``."""
+    pairs = all_pairs(history).where(F.col("shared") >= min_shared)
+    return pairs.withColumn("exact", degree(F.col("shared"), F.col("changes_a"), F.col("changes_b"))).where(F.col("exact") >= min_degree)
+
+
 def couplings(history: History, min_shared: int = MIN_SHARED, min_degree: float = MIN_DEGREE) -> DataFrame:
     """``a, b, shared, degree, distance, test_pair, crosses_module, kind``: pairs at or above both thresholds."""
-    pairs = all_pairs(history).where(F.col("shared") >= min_shared)
-    pairs = pairs.withColumn("exact", degree(F.col("shared"), F.col("changes_a"), F.col("changes_b"))).where(F.col("exact") >= min_degree)
+    pairs = strong_pairs(history, min_shared, min_degree)
     areas = history.areas()
     side = lambda x: areas.select(F.col("item").alias(x), F.col("area").alias(f"area_{x}"))
     rows = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
@@ -66,9 +71,7 @@ def partners(history: History, top: int = 5, min_shared: int = MIN_SHARED, min_d
     shared changes, then the smaller path. Couplings of one item are bounded: at the least
     degree d, its partners share its changes, so a heavy item has few of them.
     """
-    pairs = all_pairs(history).where(F.col("shared") >= min_shared)
-    pairs = pairs.where(degree(F.col("shared"), F.col("changes_a"), F.col("changes_b")) >= min_degree)
-    rows = directed(pairs).withColumn("p", F.col("shared") / F.col("own"))
+    rows = directed(strong_pairs(history, min_shared, min_degree)).withColumn("p", F.col("shared") / F.col("own"))
     place = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("p"), F.desc("shared"), "partner"))
     return rows.withColumn("place", place.cast("long")).where(F.col("place") <= top).select("item", "place", "partner", "shared", rounded("p").alias("probability"))
 

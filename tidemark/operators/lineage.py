@@ -7,9 +7,10 @@ oldest per family of names; every other row looks its name's state up at its pla
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,23 +59,44 @@ class Names:
         return out
 
 
-def _walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    names, out = Names(), []
-    known: dict[str, tuple[str, bool]] = {}
-    for pos, part in rows.sort_values(["log_pos", "path"]).groupby("log_pos", sort=True):
-        events = [
-            {"path": r.path, "renamed_from": r.renamed_from if isinstance(r.renamed_from, str) else None, "removed": bool(r.removed), "created": bool(r.created), "blob": r.blob if isinstance(r.blob, str) else None}
-            for r in part.itertuples()
-        ]
+def _walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Events sorted by family and place in the log; a family's state lives only while its rows pass."""
+    family: str | None = None
+    names, known = Names(), {}
+    pos: int | None = None
+    events: list[dict] = []
+    out: list[tuple[str, int, bool, str, bool]] = []
+
+    def commit() -> None:
         for e, (today, earlier) in zip(events, names.read(events), strict=True):
-            out.append((e["path"], int(pos), True, today, earlier))
-        touched = {n for e in events for n in (e["path"], e["renamed_from"]) if n is not None}
-        for n in sorted(touched):
+            out.append((e["path"], pos, True, today, earlier))
+        for n in sorted({n for e in events for n in (e["path"], e["renamed_from"]) if n is not None}):
             state = (names.today.get(n, n), n in names.dead)
             if known.get(n, (n, False)) != state:
                 known[n] = state
-                out.append((n, int(pos), False, *state))
-    return pd.DataFrame(out, columns=["name", "pos", "own", "today", "earlier"])
+                out.append((n, pos, False, *state))
+
+    def ready() -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        kinds = (pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.bool_())
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["name", "pos", "own", "today", "earlier"])
+
+    for batch in batches:
+        for e in batch.to_pylist():
+            if (e["family"], e["log_pos"]) != (family, pos):
+                if events:
+                    commit()
+                    events = []
+                if e["family"] != family:
+                    family, names, known = e["family"], Names(), {}
+                pos = e["log_pos"]
+            events.append(e | {"removed": bool(e["removed"]), "created": bool(e["created"])})
+        if len(out) > 10_000:
+            yield ready()
+    if events:
+        commit()
+    yield ready()
 
 
 def lives(commit_files: DataFrame, commits: DataFrame) -> DataFrame:
@@ -93,7 +115,8 @@ def lives(commit_files: DataFrame, commits: DataFrame) -> DataFrame:
     families = components(events.where(F.col("renamed_from").isNotNull()).select(F.col("renamed_from").alias("a"), F.col("path").alias("b")))
     events = events.join(families.select(F.col("node").alias("path"), F.col("component").alias("family")), "path", "left").withColumn("family", F.coalesce("family", "path"))
     kept = events.select("family", "path", "renamed_from", "removed", "created", "blob", "log_pos")
-    walked = kept.groupBy("family").applyInPandas(_walk, "name string, pos long, own boolean, today string, earlier boolean")
+    ordered = kept.repartition("family").sortWithinPartitions("family", "log_pos", "path")
+    walked = ordered.mapInArrow(_walk, "name string, pos long, own boolean, today string, earlier boolean")
     states = walked.groupBy("name").agg(
         F.sort_array(F.collect_list(F.when(~F.col("own"), F.struct("pos", "today", "earlier")))).alias("states"),
         F.collect_list(F.when(F.col("own"), F.struct("pos", "today", "earlier"))).alias("own"),

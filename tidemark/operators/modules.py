@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import rounded, share
 from tidemark.functions.paths import is_test
-from tidemark.operators.coupling import MIN_DEGREE, MIN_SHARED, area_pairs, couplings, directed
+from tidemark.operators.coupling import MIN_DEGREE, MIN_SHARED, area_pairs, directed, strong_pairs
 from tidemark.operators.history import History
+from tidemark.session import durable
 
 MODULE_FLOOR, MODULE_SHARE = 5, 0.01
 CONVENTION_SHARE = 0.05
@@ -120,9 +121,9 @@ def propagation_cost(history: History, depth: int = DEPTH, min_changes: int = 3,
     by one join a hop; reached pairs are kept distinct.
     """
     nodes = history.used().groupBy("item").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= min_changes) & ~is_test(F.col("item"))).select("item")
-    one = couplings(history, min_shared, min_degree).select("a", "b")
-    for x in ("a", "b"):
-        one = one.join(nodes.withColumnRenamed("item", x), x, "left_semi")
+    enough = (F.col("changes_a") >= min_changes) & (F.col("changes_b") >= min_changes)
+    one = strong_pairs(history, min_shared, min_degree).where(enough & ~is_test(F.col("a")) & ~is_test(F.col("b"))).select("a", "b")
+    one = durable(one)  # read once a hop
     edges = one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b")))
     reached = edges
     for _ in range(depth - 1):

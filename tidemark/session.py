@@ -45,3 +45,16 @@ def durable(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(df: DataFrame, *keys: str, waves: int = 2) -> DataFrame:
+    """The same rows in enough partitions to keep all cores busy with work that is heavy per row.
+
+    A table in a few files is read by a few tasks, however long each row takes. Only then are
+    the rows shuffled, by hash of ``keys`` (which, unlike dealing them out in turn, sends
+    a row to the same place when a lost task is run again).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= waves * cores:
+        return df
+    return df.repartition(waves * cores, *keys)
