@@ -8,7 +8,7 @@ languages by cosine, after the mean of all languages is taken off both.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.prose import sentences
+from tidemark.session import spread
 
 #: Length of the vectors, lengths of the n-grams, start of the random numbers.
 DIMENSIONS, GRAMS, SEED = 2048, (2, 3, 4), 11
@@ -90,45 +91,53 @@ def script_of(text: str) -> int:
     return 1 if c >= "\u2e80" else 2 if "\u0370" <= c <= "\u1fff" else 3
 
 
+class Letters:
+    """Vectors of letters by their place in an n-gram, made once per worker."""
+
+    def __init__(self) -> None:
+        self.made: dict[tuple[int, int], np.ndarray] = {}
+
+    def at(self, c: int, place: int) -> np.ndarray:
+        v = self.made.get((c, place))
+        if v is None:
+            v = np.roll(letter_vector(c), place) if c else np.ones(DIMENSIONS, np.int8)
+            self.made[c, place] = v
+        return v
+
+    def bind(self, codes: np.ndarray) -> np.ndarray:
+        """Vectors of n-grams, a row each: the product of their letters' vectors."""
+        out = np.ones((len(codes), DIMENSIONS), np.int8)
+        for place in range(4):
+            letters, inverse = np.unique((codes >> (16 * place)) & 0xFFFF, return_inverse=True)
+            if letters.any():
+                out *= np.stack([self.at(int(c), place) for c in letters])[inverse]
+        return out
+
+
 class GramTable:
-    """A value for each n-gram, made from its vector when it is first met: a worker's cache."""
+    """Dot products of n-gram vectors with fixed axes, made when an n-gram is first met: a worker's cache."""
 
-    def __init__(self, of: Callable[[np.ndarray], np.ndarray], width: int) -> None:
-        self.of, self.width = of, width
-        self.letters: dict[tuple[int, int], np.ndarray] = {}
+    def __init__(self, axes: np.ndarray) -> None:
+        self.axes, self.letters = axes.astype(np.float32), Letters()
         self.clear()
 
     def clear(self) -> None:
-        self.rows: dict[int, int] = {}
-        self.values = np.zeros((1024, self.width), np.float32)
-
-    def vector(self, code: int) -> np.ndarray:
-        v, place, code = None, 0, code & 0xFFFFFFFFFFFFFFFF
-        while code:
-            c = code & 0xFFFF
-            letter = self.letters.get((c, place))
-            if letter is None:
-                letter = self.letters[c, place] = np.roll(letter_vector(c), place)
-            v = letter if v is None else v * letter
-            code >>= 16
-            place += 1
-        return v
+        self.codes = np.zeros(0, np.int64)
+        self.values = np.zeros((0, len(self.axes)), np.float32)
 
     def look_up(self, codes: np.ndarray) -> np.ndarray:
         """Values of the codes, a row each."""
-        if len(self.rows) > CACHE:
-            self.clear()
         distinct, inverse = np.unique(codes, return_inverse=True)
-        at = np.empty(len(distinct), np.int64)
-        for i, code in enumerate(distinct.tolist()):
-            row = self.rows.get(code)
-            if row is None:
-                row = self.rows[code] = len(self.rows)
-                if row == len(self.values):
-                    self.values = np.concatenate([self.values, np.zeros_like(self.values)])
-                self.values[row] = self.of(self.vector(code).astype(np.float32))
-            at[i] = row
-        return self.values[at][inverse]
+        new = np.setdiff1d(distinct, self.codes, assume_unique=True)
+        if len(new):
+            if len(self.codes) + len(new) > CACHE:
+                self.clear()
+                new = distinct
+            made = [self.letters.bind(new[i : i + 4096]).astype(np.float32) @ self.axes.T for i in range(0, len(new), 4096)]
+            codes_, values = np.concatenate([self.codes, new]), np.concatenate([self.values, *made])
+            order = np.argsort(codes_)
+            self.codes, self.values = codes_[order], values[order]
+        return self.values[np.searchsorted(self.codes, distinct)][inverse]
 
 
 def norms_of(owner: np.ndarray, counts: np.ndarray, texts: int) -> np.ndarray:
@@ -155,8 +164,7 @@ class Profiles:
 
     def table(self) -> GramTable:
         """Dot products of n-gram vectors with the mean and each language; those of a bundle are their sums."""
-        axes = np.concatenate([self.mean[None, :], self.vectors])
-        return GramTable(lambda v: axes @ v, len(axes))
+        return GramTable(np.concatenate([self.mean[None, :], self.vectors]))
 
     def cosines(self, table: GramTable, texts: Sequence[str]) -> np.ndarray:
         """Cosine of every text with every language, the mean taken off; zeros for a text without n-grams."""
@@ -187,28 +195,36 @@ def _sums(sample: DataFrame, profiles: Profiles | None) -> dict[str, np.ndarray]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = profiles.table() if profiles is not None else None
-        weights: dict[str, dict[int, float]] = {}
+        parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
-            for label, own in zip(batch.column("label").to_pylist(), batch.column("prose").to_pylist(), strict=True):
-                if scores is not None and own and label in profiles.codes:
-                    # a document of another language, or of several, teaches nothing
-                    cosines, of = profiles.cosines(scores, own), profiles.codes.index(label)
-                    most = np.bincount(cosines.argmax(axis=1), minlength=len(profiles.codes))
-                    own = own if most[of] * 4 >= 3 * len(own) else []
-                if own:
-                    owner, codes, counts = grams_of(own)
-                    unit = counts / norms_of(owner, counts, len(own))[owner]
-                    mine = weights.setdefault(label, {})
-                    for code, w in zip(codes.tolist(), unit.tolist(), strict=True):
-                        mine[code] = mine.get(code, 0.0) + w
-        grams = GramTable(lambda v: v, 0)
-        bundles = []
-        for own in weights.values():
-            bundle = np.zeros(DIMENSIONS)
-            for code, w in own.items():
-                bundle += w * grams.vector(code)
+            labels, prose = batch.column("label").to_pylist(), batch.column("prose").to_pylist()
+            own = [s for x in prose for s in x]
+            if not own:
+                continue
+            document = np.repeat(np.arange(len(prose)), [len(x) for x in prose])
+            kept = np.ones(len(own), bool)
+            if scores is not None:
+                # a document of another language, or of several, teaches nothing
+                best = np.array(profiles.codes)[profiles.cosines(scores, own).argmax(axis=1)]
+                right = np.bincount(document, best == np.array(labels)[document], len(prose))
+                kept = (4 * right >= 3 * np.array([len(x) for x in prose]))[document]
+            owner, codes, counts = grams_of(own)
+            weights = counts / norms_of(owner, counts, len(own))[owner]
+            of = np.array(labels)[document][owner]
+            for label in set(labels):
+                mine = (of == label) & kept[owner]
+                if mine.any():
+                    distinct, inverse = np.unique(codes[mine], return_inverse=True)
+                    parts.setdefault(label, []).append((distinct, np.bincount(inverse, weights[mine])))
+        letters, bundles = Letters(), []
+        for own_parts in parts.values():
+            distinct, inverse = np.unique(np.concatenate([c for c, _ in own_parts]), return_inverse=True)
+            weight = np.bincount(inverse, np.concatenate([w for _, w in own_parts])).astype(np.float32)
+            bundle = np.zeros(DIMENSIONS, np.float64)
+            for i in range(0, len(distinct), 4096):
+                bundle += weight[i : i + 4096] @ letters.bind(distinct[i : i + 4096]).astype(np.float32)
             bundles.append(bundle)
-        yield pa.RecordBatch.from_arrays([pa.array(list(weights), pa.string()), pa.array([b.tolist() for b in bundles], pa.list_(pa.float64()))], ["label", "bundle"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.string()), pa.array([b.tolist() for b in bundles], pa.list_(pa.float64()))], ["label", "bundle"])
 
     total: dict[str, np.ndarray] = {}
     for label, bundle in sample.mapInArrow(run, "label string, bundle array<double>").collect():  # a row per task and language
@@ -304,6 +320,6 @@ def mislabelled(documents: DataFrame, profiles: Profiles | None = None, key: str
     """
     profiles = profiles or fit(documents, text, lang)
     rows = documents.select(F.col(key).alias("__key"), label_of(F.col(lang)).alias("__label"), F.col(text).alias("__text"))
-    found = identify(rows, profiles, "__text").withColumn("langs", F.array_distinct(F.transform("segments", lambda s: s["lang"])))
+    found = identify(spread(rows, "__key"), profiles, "__text").withColumn("langs", F.array_distinct(F.transform("segments", lambda s: s["lang"])))
     wrong = (F.size("langs") > 0) & (F.col("__label").isNull() | (F.size("langs") > 1) | ~F.array_contains("langs", F.coalesce("__label", F.lit(""))))
     return found.where(wrong).select(F.col("__key").alias(key), F.explode("langs").alias("lang")).distinct()

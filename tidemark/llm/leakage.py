@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidemark.session import spread
+
 #: Word positions that count (1) and that may differ (0).
 MASKS = ("1111", "11011", "101101", "1100101")
 #: Seeds of an item that a document must hold before it is verified.
@@ -145,6 +147,7 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     test = items.select(F.col(item).alias("__item"), F.col(passage).alias("__text")).where(F.col("__text").isNotNull() & F.col("__item").isNotNull()).distinct()
     blocks = -(-test.count() // BLOCK)
     corpus = documents.select(F.col(key).alias("__key"), F.col(text).alias("__text")).where(F.col("__text").isNotNull())
+    corpus = spread(corpus, "__key")
     schema = StructType([corpus.schema["__key"], test.schema["__item"]]).add("share", "double").add("rare_share", "double")
     out: DataFrame | None = None
     numbered = test.withColumn("__n", F.pmod(F.xxhash64("__text", "__item"), F.lit(max(1, 2 * blocks if blocks > 1 else 1))))

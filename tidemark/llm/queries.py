@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import fusion, language, leakage, provenance, stripes, tokenizer
 from tidemark.operators.heavy import number_within_key
-from tidemark.session import table
+from tidemark.session import spread, table
 
 
 def tokenizer_file(spark: SparkSession, name: str = "byte_bpe_50k.json") -> str:
@@ -79,7 +79,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
     """Segments of all documents, each with its language and confidence."""
     docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
-    found = language.identify(docs.select("doc_id", "text"), language.fit(docs))
+    found = language.identify(spread(docs.select("doc_id", "text"), "doc_id"), language.fit(docs))
     rows = found.select("doc_id", F.posexplode("segments").alias("place", "s"))
     return rows.select("doc_id", "place", F.col("s.lang").alias("lang"), F.round("s.confidence", 4).alias("confidence"), F.col("s.sentences").alias("sentences"))
 

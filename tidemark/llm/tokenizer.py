@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import durable
+from tidemark.session import durable, spread
 
 #: White space by the Unicode property, which Java's own class does not follow.
 _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -153,6 +153,7 @@ def encode(documents: DataFrame, bpe: ByteBpe, key: str = "doc_id", text: str =
     key with several texts, or null, keeps a row for each text.
     """
     docs = documents.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text")).withColumn("__hash", F.xxhash64("__text"))
+    docs = spread(docs, "__key")
     split = docs.select(F.explode(words_of(F.col("__text"))).alias("word"))
     vocabulary = durable(word_ids(split.groupBy("word").agg(F.count(F.lit(1)).alias("n")), bpe))
     total = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)) / HOT).first()[0]
