@@ -73,3 +73,24 @@ def number_within_key(df: DataFrame, key: str, order: Sequence[str], out: str =
     joined = local.join(offsets, (F.col("__part") == F.col("__p")) & F.col(key).eqNullSafe(F.col("__k")), "left")
     kept = [F.col(c) for c in df.columns] + [(F.col(out) + F.col("__before")).alias(out)]
     return joined.select(*kept, *([F.col("__total").alias(total)] if total else []))
+
+
+def value_ranks(df: DataFrame, key: str | None, value: str) -> DataFrame:
+    """``[key,] value, rank, total``: competition rank of each distinct value in its key, the largest first, and the key's row count.
+
+    Equal values are counted before they travel; each range partition sums up its own part of
+    a key and the sums of earlier parts are added, so no task holds a whole key. Rows with a
+    null key or value take no part.
+    """
+    from tidemark.session import durable
+
+    whole = F.lit(0) if key is None else F.col(key)
+    counts = df.where(F.col(value).isNotNull() & whole.isNotNull()).groupBy(whole.alias("__key"), F.col(value).alias("__value")).agg(F.count(F.lit(1)).alias("__n"))
+    parted = durable(range_split(counts.withColumn("__down", -F.col("__value")), ["__key"], ["__down"]).withColumn("__part", F.spark_partition_id()))
+    local = parted.withColumn("__upto", F.sum("__n").over(Window.partitionBy("__part", "__key").orderBy("__down")))
+    parts = parted.groupBy("__part", "__key").agg(F.sum("__n").alias("__rows"))
+    by = Window.partitionBy("__key")
+    offsets = parts.select("__part", "__key", (F.sum("__rows").over(by.orderBy("__part")) - F.col("__rows")).alias("__before"), F.sum("__rows").over(by).alias("total"))
+    out = local.join(offsets, ["__part", "__key"])
+    rank = F.col("__before") + F.col("__upto") - F.col("__n") + 1
+    return out.select(*([F.col("__key").alias(key)] if key else []), F.col("__value").alias(value), rank.alias("rank"), "total")

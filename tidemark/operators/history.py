@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.paths import is_test
 from tidemark.operators.heavy import key_dictionary, key_id
 from tidemark.operators.revisions import MAX_CHANGE_SIZE, co_changed_pairs, counted_changes
+from tidemark.operators.skew import salted_join
 
 #: The area of an item that belongs to no module.
 ROOT = "."
@@ -57,7 +58,7 @@ class History:
         """``change_id, item, area, test`` of counted changes; an unknown item lies in the root area."""
         from tidemark.functions.paths import is_test as by_path
 
-        rows = self.used().join(self.areas(), "item", "left")
+        rows = salted_join(self.used(), self.areas(), "item", "change_id", "left")
         return rows.select("change_id", "item", F.coalesce("area", F.lit(ROOT)).alias("area"), F.coalesce("test", by_path(F.col("item"))).alias("test"))
 
 

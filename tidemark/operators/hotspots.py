@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import rounded, share
 from tidemark.functions.paths import is_test
+from tidemark.operators.heavy import value_ranks
 from tidemark.operators.history import History
 
 HUB_BREADTH, HUB_CHANGES, HUB_SHARE = 10, 5, 0.05
@@ -29,11 +30,6 @@ def item_activity(commit_files: DataFrame, commits: DataFrame, history: History)
     return lines.join(changes, "path", "left").fillna(0, ["changes"])
 
 
-def competition_rank(order: Column, *keys: str) -> Column:
-    """1 + the number of larger values; equal values share a rank."""
-    return F.rank().over(Window.partitionBy(*keys).orderBy(order.desc())).cast("long")
-
-
 def _norm(x: Column, most: Column) -> Column:
     return F.when(most > 0, F.log1p(x) / F.log1p(most)).otherwise(0.0)
 
@@ -60,17 +56,17 @@ def hotspots(history: History, top: int = 50) -> DataFrame:
 def module_ranks(history: History) -> DataFrame:
     """``path, module, revision_rank, size_rank``: competition ranks within each module."""
     rows = hotspot_scores(history)
-    return rows.select("path", "module", competition_rank(F.col("revisions"), "module").alias("revision_rank"), competition_rank(F.col("size"), "module").alias("size_rank"))
+    for column in ("revisions", "size"):
+        ranks = value_ranks(rows, "module", column).select("module", column, F.col("rank").alias(f"{column.removesuffix('s')}_rank"))
+        rows = rows.join(ranks, ["module", column])
+    return rows.select("path", "module", F.col("revision_rank"), "size_rank")
 
 
 def hubs(history: History) -> DataFrame:
     """``path, breadth, changes``: frequently changed files, no tests, among the widest 5 %; ties at the cut are in."""
     candidates = hotspot_scores(history).where((F.col("changes") >= HUB_CHANGES) & ~F.col("test"))
-    n = candidates.agg(F.ceil(F.count(F.lit(1)) * HUB_SHARE).cast("int").alias("n"))
-    widths = candidates.groupBy("breadth").agg(F.count(F.lit(1)).alias("k"))
-    before = F.coalesce(F.sum("k").over(Window.orderBy(F.desc("breadth")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1
-    ranks = widths.select("breadth", before.alias("rank"))
-    rows = candidates.join(ranks, "breadth").where((F.col("breadth") >= HUB_BREADTH) & (F.col("rank") <= n.scalar()))
+    rows = candidates.join(value_ranks(candidates, None, "breadth"), "breadth")
+    rows = rows.where((F.col("breadth") >= HUB_BREADTH) & (F.col("rank") <= F.ceil(F.col("total") * HUB_SHARE)))
     return rows.select("path", "breadth", "changes")
 
 
@@ -104,16 +100,13 @@ def concentration(history: History, top: int = 3) -> DataFrame:
 def heat_bands(history: History) -> DataFrame:
     """``path, band``: percentile band of a file's score, 1 the hottest; 8 for the rest and for a score of 0."""
     scored = hotspot_scores(history).where(F.col("score") > 0)
-    n = scored.agg(F.count(F.lit(1))).scalar()
-    scores = scored.groupBy("score").agg(F.count(F.lit(1)).alias("k"))
-    before = F.coalesce(F.sum("k").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    places = scores.select("score", before.alias("before")).withColumn("n", n)
-    part = F.col("before") / F.col("n")
+    places = value_ranks(scored, None, "score")
+    part = (F.col("rank") - 1) / F.col("total")
     band = F.when(part < BANDS[0], 1)
     for i, edge in enumerate(BANDS[1:], 2):
         band = band.when(part < edge, i)
     rows = hotspot_scores(history).select("path", "score").join(places, "score", "left")
-    return rows.select("path", F.coalesce(F.when(F.col("n").isNotNull(), band.otherwise(8)), F.lit(8)).cast("long").alias("band"))
+    return rows.select("path", F.coalesce(F.when(F.col("rank").isNotNull(), band.otherwise(8)), F.lit(8)).cast("long").alias("band"))
 
 
 def slice_scores(history: History) -> DataFrame:
@@ -133,11 +126,8 @@ def hot_items(history: History) -> DataFrame:
     Ranks come from the distinct scores of a slice, so no window holds all files of one.
     """
     rows = slice_scores(history).withColumn("score", F.round("score", 12))
-    counts = rows.groupBy("slice", "score").agg(F.count(F.lit(1)).alias("k"))
-    order = Window.partitionBy("slice").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("slice")
-    ranks = counts.withColumn("rank", F.coalesce(F.sum("k").over(order), F.lit(0)) + 1).withColumn("n", F.sum("k").over(whole))
-    cut = ranks.where((F.col("rank") <= F.ceil(F.col("n") * HOT_SHARE)) & (F.col("score") > 0)).groupBy("slice").agg(F.min("score").alias("least"))
+    ranks = value_ranks(rows, "slice", "score")
+    cut = ranks.where((F.col("rank") <= F.ceil(F.col("total") * HOT_SHARE)) & (F.col("score") > 0)).groupBy("slice").agg(F.min("score").alias("least"))
     hot = rows.join(F.broadcast(cut), "slice").where(F.col("score") >= F.col("least"))  # a row per slice
     return hot.select("slice", "path", rounded("score").alias("score"))
 

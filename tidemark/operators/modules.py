@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import rounded, share
 from tidemark.functions.paths import is_test
-from tidemark.operators.coupling import MIN_DEGREE, MIN_SHARED, area_pairs, directed, strong_pairs
+from tidemark.operators.coupling import MIN_DEGREE, MIN_SHARED, all_pairs, area_pairs, directed, strong_pairs
 from tidemark.operators.history import History
 from tidemark.session import durable
 
@@ -136,11 +136,14 @@ def propagation_cost(history: History, depth: int = DEPTH, min_changes: int = 3,
 
 
 def together(history: History, edges: DataFrame) -> DataFrame:
-    """``src, dst, together``: counted changes that hold both ends of each directed edge, 0 included."""
-    used = history.used()
-    hits = edges.join(used.select(F.col("item").alias("src"), "change_id"), "src").join(used.select(F.col("item").alias("dst"), "change_id"), ["dst", "change_id"])
-    counts = hits.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("together"))
-    return edges.join(counts, ["src", "dst"], "left").fillna(0, ["together"])
+    """``src, dst, together``: counted changes that hold both ends of each directed edge, 0 included.
+
+    Looked up in the pair counts, which are built per change: joining the edges with the
+    changes of their ends would multiply a frequent file's edges by its changes.
+    """
+    pairs = all_pairs(history).select("a", "b", F.col("shared").alias("together"))
+    rows = edges.withColumn("a", F.least("src", "dst")).withColumn("b", F.greatest("src", "dst")).join(pairs, ["a", "b"], "left")
+    return rows.select("src", "dst", F.coalesce("together", F.lit(0)).alias("together"))
 
 
 def dependency_direction(history: History, edges: DataFrame, volatility: float = VOLATILITY, top: int = 50) -> DataFrame:

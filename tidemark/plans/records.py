@@ -195,3 +195,97 @@ SELECT s AS start, d AS node, min(hops)::BIGINT AS hops FROM (SELECT * FROM r1 U
     "stream_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events FROM events GROUP BY 1, 2",
 }
 SQL["workspace_names"] = SQL["workspace_names"].replace("{strict}", STRICT)
+
+
+def import_scan(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.operators import imports
+
+    texts = table(spark, folder, "texts")
+    return imports.resolved(imports.scan(texts), texts.where(F.col("item").isNotNull()).select(F.col("item").alias("path")))
+
+
+def link_couplings(spark: SparkSession, folder: str) -> DataFrame:
+    """What imports say about each coupled pair, by a scan of the texts."""
+    from tidemark.operators import imports
+
+    texts = table(spark, folder, "texts")
+    found = import_scan(spark, folder)
+    links = found.where("state = 'file'").select(F.col("item").alias("src"), F.col("target").alias("dst"))
+    pairs = coupling.couplings(history_of(spark, folder)).select("a", "b")
+    return imports.linked_pairs(pairs, links, imports.complete_files(imports.scan(texts), texts, found))
+
+
+def module_depth(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.operators import imports
+
+    return imports.module_depth(table(spark, folder, "texts"), history_of(spark, folder).areas())
+
+
+def entry_points(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.operators import entries
+
+    return entries.entry_points(history_of(spark, folder), import_edges(spark, folder))
+
+
+def inspected(spark: SparkSession, folder: str) -> DataFrame:
+    """The couplings of one package's sources, as a report's slice shows them."""
+    from tidemark.plans import report
+
+    history = history_of(spark, folder)
+    tables = {"files": report.hotspots.hotspot_scores(history).select("path", "module"), "couplings": coupling.couplings(history)}
+    return report.inspect(tables, ["packages/summit-dispatch-registry/src/**"])["couplings"].select("a", "b", "shared")
+
+
+QUERIES |= {"import_scan": import_scan, "link_couplings": link_couplings, "module_depth": module_depth, "entry_points": entry_points, "inspect": inspected}
+
+SQL["module_depth"] = PRELUDE + f""", sources AS (
+  SELECT path, text FROM (SELECT item AS path, min(text) AS text FROM texts WHERE item IS NOT NULL AND text IS NOT NULL GROUP BY 1) WHERE {_EXT} IN {_IN("ts tsx mts cts js jsx mjs cjs".split())}),
+scanned AS (SELECT module AS area, len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '\\S'))) AS n, list_concat(
+  regexp_extract_all(text, '(?m)^export\\s+(?:default\\s+)?(?:declare\\s+)?(?:abstract\\s+)?(?:async\\s+)?(?:const|let|var|function\\*?|class|interface|type|enum|namespace)\\s+([\\w$]+)', 1),
+  list_transform(flatten(list_transform(regexp_extract_all(text, '(?m)^export\\s+(?:type\\s+)?\\{{([^}}]*)\\}}', 1), lambda g: string_split(g, ','))), lambda x: regexp_extract(x, '([\\w$]+)\\s*$', 1))) AS names
+  FROM sources JOIN facts USING (path) WHERE NOT test)
+SELECT area, lines, coalesce(names, 0) AS names, CASE WHEN names > 0 THEN floor(lines / names * 10000 + 0.5) / 10000 END AS depth FROM (SELECT area, sum(n)::BIGINT AS lines FROM scanned GROUP BY 1)
+LEFT JOIN (SELECT area, count(DISTINCT name) AS names FROM (SELECT area, unnest(names) AS name FROM scanned) WHERE name <> '' GROUP BY 1) USING (area)"""
+SQL["inspect"] = PRELUDE + """, focus AS (SELECT path FROM facts WHERE path LIKE 'packages/summit-dispatch-registry/src/%')
+SELECT a, b, shared FROM coupled WHERE a IN (SELECT path FROM focus) OR b IN (SELECT path FROM focus)"""
+
+
+def territory_tree(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.operators import territories
+
+    return territories.territories(history_of(spark, folder))
+
+
+def territory_fit(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.operators import territories
+
+    history = history_of(spark, folder)
+    tree = territories.territories(history)
+    return territories.containment(history, tree, territories.recommended_level(tree))
+
+
+def directory_facts(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.operators import territories
+
+    return territories.directory_facts(history_of(spark, folder)).select("directory", "parent", "files", "changes", "single", "folders", "heat")
+
+
+def detected_modules(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.operators import territories
+
+    homes = table(spark, folder, "manifests").where(F.col("path").isNotNull()).select(paths.directory_of(F.col("path")).alias("directory"))
+    return territories.detect_modules(table(spark, folder, "commit_files").select("path"), homes)
+
+
+QUERIES |= {"territory_tree": territory_tree, "territory_fit": territory_fit, "directory_facts": directory_facts, "detected_modules": detected_modules}
+
+SQL["directory_facts"] = PRELUDE + """, ups AS (
+  SELECT path, list_concat(['.'], list_transform(range(1, len(string_split(path, '/'))::BIGINT), lambda i: array_to_string(list_slice(string_split(path, '/'), 1, i), '/'))) AS up FROM facts),
+flat AS (SELECT path, up[i] AS directory, coalesce(up[i + 1], '') AS part FROM ups, range(1, 40) r(i) WHERE i <= len(up)),
+parts AS (SELECT DISTINCT change_id, directory, part FROM used JOIN flat ON path = item),
+eachc AS (SELECT directory, change_id, count(*) AS n FROM parts GROUP BY 1, 2)
+SELECT directory, CASE WHEN directory = '.' THEN NULL ELSE coalesce(nullif(regexp_replace(directory, '/?[^/]*$', ''), ''), '.') END AS parent, files,
+  coalesce(changes, 0) AS changes, coalesce(single, 0) AS single, coalesce(folders, 0) AS folders, heat
+FROM (SELECT directory, count(*) AS files, sum(production_heat)::BIGINT AS heat FROM flat JOIN heats USING (path) GROUP BY 1)
+LEFT JOIN (SELECT directory, count(*) AS changes, count(*) FILTER (n = 1) AS single FROM eachc GROUP BY 1) USING (directory)
+LEFT JOIN (SELECT directory, count(DISTINCT part) AS folders FROM parts WHERE part <> '' GROUP BY 1) USING (directory)"""
