@@ -222,3 +222,10 @@ def test_labels(spark):
     data = {"en": "en", " EN ": "en", "en-GB": "en", "pt_BR": "pt", "deu": "de", "ger": "de", "Polish": "pl", "zh-Hans-CN": "zh", "": None, None: None, "und": None, "xx": None, "english please": None, "N/A": None}
     df = spark.createDataFrame([(k,) for k in data], "l string").select("l", language.label_of(F.col("l")).alias("c"))
     assert {r["l"]: r["c"] for r in df.collect()} == data
+
+
+def test_decoding_parts_of_a_text(spark, bpe):
+    ids = bpe.encode_word(" 漢字".encode())
+    df = spark.createDataFrame([(ids[:1],), (ids[:2],), ([],), (None,), ([999_999],)], "ids array<int>").select(bpe.decode(F.col("ids")).alias("t"))
+    got = [r["t"] for r in df.collect()]
+    assert got[0].startswith(" ") and "�" in "".join(got[:2]) and got[2:] == ["", None, ""]

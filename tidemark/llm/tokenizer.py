@@ -121,11 +121,11 @@ class ByteBpe:
         return F.aggregate(steps, state(start, ranks(start)), step, lambda s: s["ids"])
 
     def decode(self, ids: Column) -> Column:
-        """Text of ids; null for null, and a byte sequence that is no UTF-8 shows replacement characters. Unknown ids add nothing."""
+        """Text of ids; null for null, and bytes that are no UTF-8 show as replacement characters. Unknown ids add nothing."""
         pieces = self.pieces
         table = F.split(F.lit(",".join(pieces.get(i, b"").hex() for i in range(max(pieces) + 1))), ",")
         whole = F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")
-        return F.decode(F.unhex(whole), "UTF-8")
+        return F.make_valid_utf8(F.unhex(whole).cast("string"))
 
 
 def words_of(text: Column) -> Column:
