@@ -20,7 +20,7 @@ from tidemark.llm.prose import sentences
 from tidemark.session import spread
 
 #: Length of the vectors, lengths of the n-grams, start of the random numbers.
-DIMENSIONS, GRAMS, SEED = 2048, (2, 3, 4), 11
+DIMENSIONS, GRAMS, SEED = 2048, (3, 4), 11
 #: Weight of a text's script against its letters.
 SCRIPT = 0.7
 #: Labelled documents that the profiles are fitted on, at most: those of the smallest hashes.
@@ -283,21 +283,29 @@ def identify(documents: DataFrame, profiles: Profiles, text: str = "text", out:
     return documents.mapInArrow(run, schema)
 
 
-#: A sentence whose best language has less than SURE brings in no language of its own.
-SURE = 0.7
+#: A sentence with a confidence below SURE brings in no language of its own, unless the next one
+#: has the same and both reach PAIR.
+SURE, PAIR = 0.7, 0.5
+#: A sentence to which all those languages give less than this part of its own best (one of another script) keeps its own.
+UNLIKE = 0.01
 
 
 def segments_of(scores: Sequence[np.ndarray], letters: Sequence[int], codes: Sequence[str]) -> list[dict]:
     """Runs of sentences of one language.
 
-    A sentence with a confidence below SURE takes the likeliest of the languages that the
-    document's other sentences are sure of, if there are any.
+    A sentence that is neither sure nor half of a pair takes the likeliest of the languages
+    that the document's other sentences bring in, if there are any.
     """
     best = [int(s.argmax()) for s in scores]
-    sure = [float(s.max()) >= SURE for s in scores]
+    most = [float(s.max()) for s in scores]
+    sure = [m >= SURE for m in most]
+    for i in range(1, len(best)):
+        if best[i] == best[i - 1] and min(most[i - 1], most[i]) >= PAIR:
+            sure[i - 1] = sure[i] = True
     known = sorted({b for b, ok in zip(best, sure, strict=True) if ok})
     if known:
-        best = [b if ok else max(known, key=lambda k: s[k]) for b, ok, s in zip(best, sure, scores, strict=True)]
+        likely = [max(known, key=lambda k: s[k]) for s in scores]
+        best = [b if ok or s[k] < UNLIKE * s[b] else k for b, k, ok, s in zip(best, likely, sure, scores, strict=True)]
     elif scores:
         whole = int(sum(np.log(s + 1e-9) * n for s, n in zip(scores, letters, strict=True)).argmax())
         best = [whole] * len(best)
