@@ -100,3 +100,16 @@ def test_report_round_trip(spark):
     assert rows(focus["couplings"].select("a", "b")) == [("m/src/f1.ts", "n/lib/g0.ts")] and focus["files"].count() == 4
     found = tables["entryPoints"].collect()
     assert all(0 < r["score"] for r in found) and [r["place"] for r in sorted(found, key=lambda r: r["place"])] == list(range(1, len(found) + 1))
+
+
+def test_interface_files(spark):
+    from tidemark.operators import modules
+
+    files = ["m/index.ts", "m/src/index.tsx", "m/src/deep/index.ts", "m/src/a.ts", "m/lib/b.js", "m/src/c.ts", "m/index.test.ts", "m/vite.config.ts", "lib.rs", "src/__init__.py", "m/index.html"]
+    h = History(frame(spark, CHANGES, [change(0, 2), change(1, 1), change(2, 1)]), frame(spark, ITEMS, [(0, "m/index.ts"), (0, "m/src/a.ts"), (1, "m/src/a.ts"), (2, "m/src/c.ts")]), frame(spark, STATS, [stat(f, "m" if f.startswith("m/") else ".", test="test" in f) for f in files]))
+    assert [r[0] for r in rows(modules.entry_points(h))] == ["lib.rs", "m/index.ts", "m/src/index.tsx", "src/__init__.py"]
+    targets = spark.createDataFrame([("m", "./lib/b.js"), ("m", "./dist/c.d.ts"), ("m", "./src/a"), ("m", "./gone.js"), ("m", "./x/*")], "area string, target string")
+    assert [r[0] for r in rows(modules.entry_points(h, targets))] == ["lib.rs", "m/index.ts", "m/lib/b.js", "m/src/a.ts", "m/src/c.ts", "m/src/index.tsx", "src/__init__.py"]
+    assert [r[0] for r in rows(modules.entry_points(h, globs=["m/src/*.ts"]))] == ["m/src/a.ts", "m/src/c.ts"]
+    got = {r["area"]: (r["interface"], r["implementation"], r["leaked"], r["leakage"]) for r in modules.interface_churn(h).collect()}
+    assert got == {"m": (1, 3, 1, 0.3333)}

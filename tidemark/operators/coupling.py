@@ -144,3 +144,14 @@ def crossing_pairs(history: History, min_shared: int = MIN_SHARED, min_degree: f
     for x in ("a", "b"):
         rows = rows.join(areas.select(F.col("item").alias(x), F.col("area").alias(f"area_{x}")), x, "left").withColumn(f"area_{x}", F.coalesce(f"area_{x}", F.lit(ROOT)))
     return rows.groupBy(F.least("area_a", "area_b").alias("a"), F.greatest("area_a", "area_b").alias("b")).agg(F.count(F.lit(1)).alias("couplings"), F.sum("shared").alias("shared"))
+
+
+def territory_pairs(history: History, hottest: int = 24, min_shared: int = MIN_SHARED) -> DataFrame:
+    """``a, b, shared, share``: pairs among the areas of most production heat, ties to the smaller name."""
+    from tidemark.operators.hotspots import item_heat
+
+    hot = item_heat(history).groupBy(F.col("module").alias("area")).agg(F.sum("production_heat").alias("heat")).orderBy(F.desc("heat"), "area").limit(hottest)
+    pairs = area_pairs(history.touched()).where(F.col("shared") >= min_shared)
+    for x in ("a", "b"):
+        pairs = pairs.join(hot.select(F.col("area").alias(x)), x, "left_semi")
+    return pairs.select("a", "b", "shared", rounded(F.col("shared") / F.least("changes_a", "changes_b")).alias("share"))

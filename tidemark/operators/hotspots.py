@@ -197,3 +197,11 @@ def fan_in(edges: DataFrame) -> DataFrame:
 def production_items(history: History) -> DataFrame:
     """``path``: items that are no tests, by mark or by path."""
     return history.facts().where(~F.col("test") & ~is_test(F.col("path"))).select("path")
+
+
+def chronic_heat(history: History) -> DataFrame:
+    """``area, chronic, acute, share``: chronic and acute files of each module, and the chronic ones' part of its production heat."""
+    rows = item_heat(history).join(heat_kinds(history).select("path", "kind"), "path", "left")
+    chronic = F.col("kind") == "chronic"
+    by = rows.groupBy(F.col("module").alias("area")).agg(F.count_if(chronic).alias("chronic"), F.count_if(F.col("kind") == "acute").alias("acute"), F.sum(F.when(chronic, F.col("production_heat")).otherwise(0)).alias("hot"), F.sum("production_heat").alias("heat"))
+    return by.select("area", "chronic", "acute", rounded(share("hot", "heat")).alias("share"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import rounded, share
-from tidemark.functions.paths import is_test
+from tidemark.functions.paths import directory_of, is_config, is_test, matches_any, name_of
 from tidemark.operators.coupling import MIN_DEGREE, MIN_SHARED, all_pairs, area_pairs, directed, strong_pairs
 from tidemark.operators.history import History
 from tidemark.session import durable
@@ -91,10 +91,43 @@ def fix_density(history: History) -> DataFrame:
     return out.select("area", "changes", "fixes", "spanning", F.when(known.scalar(), rounded(share("fixes", "changes"))).alias("share"))
 
 
-def entry_points(history: History) -> DataFrame:
-    """``item, area``: files that a module shows to others: those named index, main, mod or __init__."""
-    name = F.regexp_extract("item", r"([^/]*)$", 1)
-    return history.areas().where(name.rlike(r"^(index|main|mod|__init__)\.\w+$") & ~F.col("test")).select("item", "area")
+#: Conventional entry files of a module, at its root or in its ``src``.
+CONVENTIONAL_ENTRY = r"^(index\.[cm]?[jt]sx?|mod\.rs|lib\.rs|__init__\.py)$"
+BUILD = r"^(dist|build)/"
+
+
+def entry_points(history: History, targets: DataFrame | None = None, globs: list[str] | None = None) -> DataFrame:
+    """``item, area``: files that form each module's public interface; no tests, no configuration.
+
+    ``globs``: the files the user points at, and nothing else. Otherwise the conventional entry
+    files at a module's root or in its ``src``, and what the module's manifest names (``targets``:
+    area, target): the file itself, else those with its stem, else, for a target in build output,
+    the sources of that stem in ``src`` or at the root. Targets with a ``*`` are not resolved.
+    """
+    areas = history.areas().where(~F.col("test") & ~is_config(F.col("item")))
+    if globs is not None:
+        return areas.where(matches_any(F.col("item"), globs)).select("item", "area")
+    folder = F.when(directory_of(F.col("item")) == "", ".").otherwise(directory_of(F.col("item")))
+    source = F.when(F.col("area") == ".", "src").otherwise(F.concat("area", F.lit("/src")))
+    out = areas.where((folder == F.col("area")) | (folder == source)).where(name_of(F.col("item")).rlike(CONVENTIONAL_ENTRY)).select("item", "area")
+    if targets is None:
+        return out
+    code = areas.where(F.col("item").rlike(r"\.[cm]?[jt]sx?$"))
+    stem = lambda c: F.regexp_replace(c, r"(\.d)?\.[^./]+$", "")
+    under = lambda c: F.when(F.col("area") == ".", c).otherwise(F.concat_ws("/", F.col("area"), c))
+    relative = F.regexp_replace("target", r"^\./", "")
+    built = stem(F.regexp_replace(relative, BUILD, ""))
+    places = F.array(
+        F.struct(F.lit(0).alias("stage"), under(relative).alias("key")),
+        F.struct(F.lit(1).alias("stage"), under(relative).alias("key")),
+        F.struct(F.lit(2).alias("stage"), F.when(relative.rlike(BUILD), under(F.concat(F.lit("src/"), built))).alias("key")),
+        F.struct(F.lit(3).alias("stage"), F.when(relative.rlike(BUILD), under(built)).alias("key")),
+    )
+    sought = targets.where(~F.col("target").contains("*")).select("area", "target", F.inline(places)).where(F.col("key").isNotNull()).distinct()
+    names = code.select("area", "item", F.inline(F.array(F.struct(F.lit(True).alias("whole"), F.col("item").alias("key")), F.struct(F.lit(False).alias("whole"), stem(F.col("item")).alias("key")))))
+    hits = sought.join(names, ["area", "key"]).where((F.col("stage") == 0) == F.col("whole"))
+    best = hits.groupBy("area", "target").agg(F.min("stage").alias("stage"))
+    return out.unionByName(hits.join(best, ["area", "target", "stage"]).select("item", "area")).distinct()
 
 
 def interface_churn(history: History, entries: DataFrame | None = None) -> DataFrame:

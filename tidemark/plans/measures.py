@@ -63,7 +63,9 @@ QUERIES = {
     "change_radius": _plain(modules.change_radius),
     "area_radius": _plain(modules.area_radius),
     "fix_density": _plain(modules.fix_density),
-    "interface_churn": _plain(modules.interface_churn),
+    "interface_churn": lambda spark, folder: modules.interface_churn(history_of(spark, folder), modules.entry_points(history_of(spark, folder), globs=["**/index.ts", "**/*-index.ts", "**/read*.ts"])),
+    "chronic_heat": _plain(hotspots.chronic_heat),
+    "territory_pairs": _plain(coupling.territory_pairs),
     "propagation_cost": _plain(modules.propagation_cost),
     "dependency_direction": lambda spark, folder: modules.dependency_direction(history_of(spark, folder), import_edges(spark, folder), volatility=1.1),
     "unstable_interfaces": lambda spark, folder: modules.unstable_interfaces(history_of(spark, folder), import_edges(spark, folder), fan_in=2),
@@ -209,9 +211,9 @@ FROM (SELECT module AS area, count(*) AS files, bool_and(test) AS test_only FROM
   coalesce(has AND implementation >= 5 AND leaked / implementation >= 0.5, false) AS leaky FROM (
   SELECT area, count(*) FILTER (e) AS interface, count(*) FILTER (r) AS implementation, count(*) FILTER (e AND r) AS leaked FROM (
     SELECT change_id, area, bool_or(e) AS e, bool_or(NOT e) AS r FROM (
-      SELECT change_id, area, coalesce(regexp_matches(item, '(^|/)(index|main|mod|__init__)\\.\\w+$') AND item IN (SELECT path FROM facts WHERE NOT test), false) AS e FROM touched WHERE NOT test)
+      SELECT change_id, area, coalesce(regexp_matches(item, '(^|/)(index|[^/]*-index|read[^/]*)\\.ts$') AND item IN (SELECT path FROM facts WHERE NOT test), false) AS e FROM touched WHERE NOT test)
     GROUP BY 1, 2) GROUP BY 1)
-LEFT JOIN (SELECT DISTINCT module AS area, true AS has FROM facts WHERE NOT test AND regexp_matches(path, '(^|/)(index|main|mod|__init__)\\.\\w+$')) USING (area)""",
+LEFT JOIN (SELECT DISTINCT module AS area, true AS has FROM facts WHERE NOT test AND regexp_matches(path, '(^|/)(index|[^/]*-index|read[^/]*)\\.ts$')) USING (area)""",
     "unstable_interfaces": f"""SELECT item, fan_in, changes, changed_dependents FROM (
   SELECT dst AS item, count(*) AS fan_in, floor(median(coalesce(n, 0))) AS typical, count(*) FILTER (t > 0) AS changed_dependents FROM (
     SELECT src, dst, p.n, (SELECT count(*) FROM used x JOIN used y ON x.change_id = y.change_id WHERE x.item = src AND y.item = dst) AS t
@@ -269,6 +271,11 @@ FROM held JOIN change_facts USING (change_id) WHERE size <= 50 AND window_id IN
   SELECT s.*, c.changes, (SELECT sum(production_heat) FROM heats) AS total FROM (
     SELECT directory, count(*) AS files, count(*) FILTER (test) AS tests, sum(production_heat)::BIGINT AS heat FROM up GROUP BY 1) s
   LEFT JOIN (SELECT directory, count(DISTINCT change_id) AS changes FROM up JOIN used ON item = path GROUP BY 1) c USING (directory))""",
+    "chronic_heat": f"""SELECT area, coalesce(chronic, 0) AS chronic, coalesce(acute, 0) AS acute, CASE WHEN heat > 0 THEN {_R('coalesce(hot, 0) / heat')} END AS share FROM (
+  SELECT module AS area, sum(production_heat) AS heat, count(*) FILTER (kind = 'chronic') AS chronic, count(*) FILTER (kind = 'acute') AS acute, sum(production_heat) FILTER (kind = 'chronic') AS hot
+  FROM heats LEFT JOIN (@heat_kind@) k USING (path) GROUP BY 1)""",
+    "territory_pairs": f"""SELECT a, b, shared, {_R('shared / least(changes_a, changes_b)')} AS share FROM area_pairs WHERE shared >= 3
+  AND a IN (SELECT module FROM heats GROUP BY 1 ORDER BY sum(production_heat) DESC, module LIMIT 24) AND b IN (SELECT module FROM heats GROUP BY 1 ORDER BY sum(production_heat) DESC, module LIMIT 24)""",
     "fan_in": "SELECT dst AS item, count(DISTINCT src) AS dependents FROM edges WHERE src <> dst GROUP BY 1",
     "slice_cohesion": f"SELECT slice, area, changes, {_R('share')} AS share FROM shares",
     "theil_sen": f"""SELECT area, points, {_R('slope')} AS slope, {_R('intercept + slope * first')} AS "from", {_R('intercept + slope * last')} AS "to" FROM lines_""",
@@ -278,6 +285,8 @@ FROM held JOIN change_facts USING (change_id) WHERE size <= 50 AND window_id IN
   FROM area_used JOIN spans USING (change_id) JOIN change_facts USING (change_id) GROUP BY 1) WHERE was > 0 AND is_n > 0""",
 }
 
+_S["chronic_heat"] = _S["chronic_heat"].replace("@heat_kind@", _S["heat_kind"])
+
 SQL = {name: PRELUDE + body for name, body in _S.items() if name != "coupling"}
 SQL["coupling"] = (PRELUDE + _S["coupling"]).replace("false AS test_pair", "EXISTS (SELECT 1 FROM tested t WHERE (t.test = a AND t.stem = regexp_replace(b, '([^/])\\.[^./]*$', '\\1')) OR (t.test = b AND t.stem = regexp_replace(a, '([^/])\\.[^./]*$', '\\1'))) AS test_pair").replace(
     "radius AS (",

@@ -289,3 +289,15 @@ SELECT directory, CASE WHEN directory = '.' THEN NULL ELSE coalesce(nullif(regex
 FROM (SELECT directory, count(*) AS files, sum(production_heat)::BIGINT AS heat FROM flat JOIN heats USING (path) GROUP BY 1)
 LEFT JOIN (SELECT directory, count(*) AS changes, count(*) FILTER (n = 1) AS single FROM eachc GROUP BY 1) USING (directory)
 LEFT JOIN (SELECT directory, count(DISTINCT part) AS folders FROM parts WHERE part <> '' GROUP BY 1) USING (directory)"""
+
+
+def clique_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of modules that changes touched as a whole, without variants of each other."""
+    from tidemark.operators import groups
+
+    touched = history_of(spark, folder).touched()
+    rows = groups.clique_groups(touched, coupling.area_pairs(touched), min_share=0.1)
+    return rows.select(F.array_join("members", " ").alias("members"), "shared", "partial")
+
+
+QUERIES |= {"clique_groups": clique_groups}
