@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,8 +17,6 @@ from pyspark.sql.types import StructType
 def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 64) -> DataFrame:
     """A Parquet table (a file or a folder of files) as a stream, its schema read once."""
     schema: StructType = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    import os
-
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if os.path.isfile(f"{folder}/{name}.parquet"):
         return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
@@ -69,11 +69,11 @@ def drain(stream: DataFrame, folder: str | None = None, mode: str = "append") ->
     spark = stream.sparkSession
     if mode == "append":
         base = folder or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-stream-")
-        out = f"{base.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{id(stream)}"
+        out = f"{base.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
         query = stream.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
         query.awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{out}/data")
-    name = f"stream_{id(stream)}"
+    name = f"stream_{uuid.uuid4().hex}"
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name)
