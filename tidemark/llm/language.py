@@ -59,30 +59,43 @@ def letter_vector(c: int) -> np.ndarray:
     return bits * np.int8(2) - np.int8(1)
 
 
-def grams_of(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """n-grams of the texts: text number, n-gram code (16 bits a letter), count; each text with a blank at both ends."""
+def raw_grams(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Every n-gram of the texts: text number, n-gram code (16 bits a letter); each text with a blank at both ends."""
     joined = "".join(f" {t} " for t in texts)
     letters = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) & 0xFFFF
     number = np.repeat(np.arange(len(texts)), [len(t) + 2 for t in texts])
-    codes, owners = [], []
+    codes, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for n in GRAMS:
         m = len(letters) - n + 1
         if m > 0:
             inside = number[:m] == number[n - 1 :]
             codes.append(sum(letters[i : m + i] << (16 * i) for i in range(n))[inside])
             owners.append(number[:m][inside])
-    if not codes:
-        return (np.zeros(0, np.int64),) * 3
-    code, owner = np.concatenate(codes), np.concatenate(owners)
-    order = np.lexsort((code, owner))
-    code, owner = code[order], owner[order]
-    starts = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])]) if len(code) else np.zeros(0, np.int64)
-    counts = np.diff(np.r_[starts, len(code)])
-    # a further symbol for the script, as heavy as SCRIPT of the rest
-    script = np.array([script_of(t) for t in texts])
-    weight = SCRIPT * np.sqrt(np.bincount(owner[starts], counts.astype(np.float64) ** 2, len(texts)))
+    return np.concatenate(owners), np.concatenate(codes)
+
+
+def squares_of(owner: np.ndarray, place: np.ndarray, distinct: int, texts: int) -> np.ndarray:
+    """Sum of squared counts of each text's distinct n-grams; ``place``: number of the n-gram."""
+    key = np.sort(owner * max(1, distinct) + place)
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    counts = np.diff(np.r_[starts, len(key)]).astype(np.float64)
+    return np.bincount(key[starts] // max(1, distinct), counts**2, texts)
+
+
+def scripts_of(texts: Sequence[str], squares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A further symbol for the script of each text and its weight, SCRIPT of the length of the rest."""
+    return np.array([script_of(t) for t in texts], np.int64), SCRIPT * np.sqrt(squares)
+
+
+def grams_of(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of the texts, each as a unit vector: text number, code, weight."""
+    owner, codes = raw_grams(texts)
+    distinct, place = np.unique(codes, return_inverse=True)
+    squares = squares_of(owner, place, len(distinct), len(texts))
+    script, weight = scripts_of(texts, squares)
+    norm = np.sqrt(DIMENSIONS * (squares + weight**2))
     which = np.flatnonzero(weight > 0)
-    return np.r_[owner[starts], which], np.r_[code[starts], script[which]], np.r_[counts, weight[which]]
+    return np.r_[owner, which], np.r_[codes, script[which]], np.r_[np.ones(len(owner)), weight[which]] / np.r_[norm[owner], norm[which]]
 
 
 def script_of(text: str) -> int:
@@ -125,9 +138,8 @@ class GramTable:
         self.codes = np.zeros(0, np.int64)
         self.values = np.zeros((0, len(self.axes)), np.float32)
 
-    def look_up(self, codes: np.ndarray) -> np.ndarray:
-        """Values of the codes, a row each."""
-        distinct, inverse = np.unique(codes, return_inverse=True)
+    def look_up(self, distinct: np.ndarray) -> np.ndarray:
+        """Values of distinct codes in ascending order, a row each."""
         new = np.setdiff1d(distinct, self.codes, assume_unique=True)
         if len(new):
             if len(self.codes) + len(new) > CACHE:
@@ -137,12 +149,7 @@ class GramTable:
             codes_, values = np.concatenate([self.codes, new]), np.concatenate([self.values, *made])
             order = np.argsort(codes_)
             self.codes, self.values = codes_[order], values[order]
-        return self.values[np.searchsorted(self.codes, distinct)][inverse]
-
-
-def norms_of(owner: np.ndarray, counts: np.ndarray, texts: int) -> np.ndarray:
-    """Lengths of bundles: n-gram vectors are orthogonal but for chance, so squares add up."""
-    return np.sqrt(DIMENSIONS * np.bincount(owner, counts.astype(np.float64) ** 2, texts))
+        return self.values[np.searchsorted(self.codes, distinct)]
 
 
 @dataclass(frozen=True)
@@ -168,12 +175,18 @@ class Profiles:
 
     def cosines(self, table: GramTable, texts: Sequence[str]) -> np.ndarray:
         """Cosine of every text with every language, the mean taken off; zeros for a text without n-grams."""
-        owner, codes, counts = grams_of(texts)
+        owner, codes = raw_grams(texts)
         if not len(owner):
             return np.zeros((len(texts), len(self.codes)))
-        weighted = table.look_up(codes) * counts[:, None]
-        dots = np.stack([np.bincount(owner, weighted[:, k], len(texts)) for k in range(weighted.shape[1])], axis=1)
-        norms = norms_of(owner, counts, len(texts))
+        distinct, place = np.unique(codes, return_inverse=True)
+        values = table.look_up(distinct)
+        dots = np.stack([np.bincount(owner, values[place, k], len(texts)) for k in range(values.shape[1])], axis=1)
+        squares = squares_of(owner, place, len(distinct), len(texts))
+        script, weight = scripts_of(texts, squares)
+        kinds, of = np.unique(script, return_inverse=True)
+        dots += table.look_up(kinds)[of] * weight[:, None]
+        # n-gram vectors are orthogonal but for chance, so squares add up to a bundle's length
+        norms = np.sqrt(DIMENSIONS * (squares + weight**2))
         dots /= np.where(norms == 0, 1, norms)[:, None]
         m = float(self.mean @ self.mean)
         length = np.sqrt(np.maximum(1 - 2 * dots[:, 0] + m, 1e-9))  # of the unit bundle less the mean
@@ -208,8 +221,7 @@ def _sums(sample: DataFrame, profiles: Profiles | None) -> dict[str, np.ndarray]
                 best = np.array(profiles.codes)[profiles.cosines(scores, own).argmax(axis=1)]
                 right = np.bincount(document, best == np.array(labels)[document], len(prose))
                 kept = (4 * right >= 3 * np.array([len(x) for x in prose]))[document]
-            owner, codes, counts = grams_of(own)
-            weights = counts / norms_of(owner, counts, len(own))[owner]
+            owner, codes, weights = grams_of(own)
             of = np.array(labels)[document][owner]
             for label in set(labels):
                 mine = (of == label) & kept[owner]
