@@ -111,31 +111,74 @@ class Block:
             tables.append((np.array([h for h, _ in pairs], np.uint64), np.array([k for _, k in pairs], np.int64)))
         self.tables = tables
 
-    def find(self, text: str | None) -> list[tuple[int, float, float]]:
-        """(item, share of its words, share of its rare words) of each item that leaked into the text."""
-        ids = np.array([self.vocabulary.get(w, -1) for w in words(text)], np.int64)
-        hits = np.zeros(len(self.items), np.int64)
+    def find(self, texts: Sequence[str | None]) -> list[list[tuple[int, float, float]]]:
+        """For each text, (item, share of its words, share of its rare words) of each item that leaked into it.
+
+        The texts' words lie in one array, with unknown words between, so that all of them are
+        hashed and looked up at once and no seed spans two texts.
+        """
+        get, gap = self.vocabulary.get, [-1] * max(map(len, MASKS))
+        flat: list[int] = []
+        starts = []
+        for t in texts:
+            starts.append(len(flat))
+            flat += [get(w, -1) for w in words(t)]
+            flat += gap
+        ids = np.array(flat, np.int64)
+        ends = np.array([*starts[1:], len(flat)], np.int64)
+        size = len(self.items)
+        found: list[np.ndarray] = [np.zeros(0, np.int64)]
         for mask, (hashes, owner) in zip(MASKS, self.tables, strict=True):
+            if not len(hashes):
+                continue
             own = seed_hashes(ids, mask)
-            own = np.unique(own[own != 0])
-            first, last = np.searchsorted(hashes, own), np.searchsorted(hashes, own, "right")
-            n = last - first
-            if n.sum():
-                at = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                hits += np.bincount(owner[at], minlength=len(self.items))
-        out = []
-        known = ids[ids >= 0].tolist()
-        for k in np.flatnonzero(hits >= MIN_HITS):
+            at = np.flatnonzero(own)
+            first = np.searchsorted(hashes, own[at])
+            hit = hashes[np.minimum(first, len(hashes) - 1)] == own[at]
+            at, first = at[hit], first[hit]
+            if not len(at):
+                continue
+            text = np.searchsorted(ends, at, "right")
+            # a seed counts once in a text, however often it occurs there; equal seeds have equal first places
+            pair = np.unique(text * len(hashes) + first)
+            text, first = pair // len(hashes), pair % len(hashes)
+            n = np.searchsorted(hashes, hashes[first], "right") - first
+            place = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            found.append(np.repeat(text, n) * size + owner[place])
+        pairs, counts = np.unique(np.concatenate(found), return_counts=True)
+        out: list[list[tuple[int, float, float]]] = [[] for _ in texts]
+        known: tuple[int, list[int]] = (-1, [])
+        for pair in pairs[counts >= MIN_HITS].tolist():
+            t, k = divmod(pair, size)
+            if known[0] != t:
+                part = ids[starts[t] : ends[t]]
+                known = (t, part[part >= 0].tolist())
             bits, n = self.all[k]
-            share = common_length(bits, n, known) / n
+            share = common_length(bits, n, known[1]) / n
             if share >= self.min_words:
                 bits, n = self.rare[k]
-                rare = common_length(bits, n, known) / n if n else share
+                rare = common_length(bits, n, known[1]) / n if n else share
                 if rare >= self.min_rare:
-                    out.append((self.items[k][0], share, rare))
+                    out[t].append((self.items[k][0], share, rare))
         return out
 
 
+#: Texts that are looked through at once, bounded by their characters.
+BATCH_TEXTS, BATCH_CHARACTERS = 500, 2_000_000
+
+
+def pieces_of(texts: Sequence[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that are looked through together."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        if i > begin and (i - begin >= BATCH_TEXTS or size + len(t or "") > BATCH_CHARACTERS):
+            yield begin, i
+            begin, size = i, 0
+        size += len(t or "")
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
 def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "text") -> DataFrame:
     """``key, item, share, rare_share``: each document with each item of which it holds a passage, once.
 
@@ -158,7 +201,7 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
         def run(batches: Iterable[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keys, found = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                rows = [(k, *hit) for k, t in zip(keys, found, strict=True) for hit in block.find(t)]
+                rows = [(k, *hit) for a, b in pieces_of(found) for k, hits in zip(keys[a:b], block.find(found[a:b]), strict=True) for hit in hits]
                 columns = zip(*rows, strict=True) if rows else ((), (), (), ())
                 kinds = (batch.schema.field(0).type, _arrow(schema["__item"].dataType), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["__key", "__item", "share", "rare_share"])
