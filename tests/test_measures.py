@@ -130,6 +130,20 @@ def test_reverts_and_duplicates(spark):
     assert rows(mechanical.kind_counts(c, f)) == [(0, 2, 1, 5)]
 
 
+def test_reverts_pair_newest_first(spark):
+    # b reverts a, c reverts b: a stays; d reverts e, as older f does: f stays; u repeats the undone e and is its own first
+    cm = [commit("c", 0, 90, reverts="b"), commit("b", 1, 80, reverts="a"), commit("a", 2, 70), commit("d", 3, 60, reverts="e"), commit("f", 4, 50, reverts="e"), commit("e", 6, 10), commit("u", 5, 40), commit("v", 7, 95)]
+    there, back = {"old": "1", "new": "2"}, {"old": "2", "new": "1"}
+    cf = [touch("a", "x", **there), touch("b", "x", **back), touch("c", "x", **there), touch("e", "y", **there), touch("d", "y", **back), touch("f", "y", **back), touch("u", "y", **there), touch("v", "y", **there)]
+    c, f = frame(spark, COMMITS, cm), frame(spark, COMMIT_FILES, cf)
+    assert rows(mechanical.paired_reverts(c, f)) == [("c", "b"), ("d", "e")]
+    assert dict(rows(mechanical.kinds(c, f))) == {"a": None, "b": "reverts", "c": "reverts", "d": "reverts", "e": "reverts", "f": None, "u": None, "v": "duplicates"}
+    # a chain of five: the newest two pairs count, the first commit stays
+    chain = [commit(f"k{i}", i, 9 - i, reverts=f"k{i + 1}") for i in range(4)] + [commit("k4", 4, 5)]
+    files = [touch(f"k{i}", "x", **(back if i % 2 else there)) for i in range(5)]
+    assert rows(mechanical.paired_reverts(frame(spark, COMMITS, chain), frame(spark, COMMIT_FILES, files))) == [("k0", "k1"), ("k2", "k3")]
+
+
 def test_logical_changes(spark):
     day = 86_400
     cm = [commit("a", 0, 0, "x (#5)"), commit("b", 1, 14 * day, "y (#5)"), commit("c", 2, 14 * day + 1, "z (#5)"), commit("t1", 3, 0, "AB-1 one"), commit("t2", 4, day, "AB-1 two (#9)"), commit("t3", 5, 2 * day, "three (#9)"), commit("m", 6, 0, "AB-1", move=True), commit("n", 7, 0, None)]

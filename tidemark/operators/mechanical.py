@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.graph import components
+from tidemark.session import durable
+
 KINDS = ("moves", "reverts", "duplicates")
 
 
@@ -20,11 +23,35 @@ def file_rows(commit_files: DataFrame) -> DataFrame:
     return rows.groupBy("sha", "path").agg(F.max("blob_old").alias("blob_old"), F.max("blob_new").alias("blob_new"), F.max("added").alias("added"), F.max("deleted").alias("deleted"))
 
 
+#: Up to this many shas are sent to every task.
+FEW = 100_000
+
+
+def _of(rows: DataFrame, shas: DataFrame) -> DataFrame:
+    """The rows of some commits. Few shas are sent to every task, so that only the rows of their commits are shuffled."""
+    shas = durable(shas.select("sha").distinct())
+    return rows.join(F.broadcast(shas) if shas.limit(FEW + 1).count() <= FEW else shas, "sha", "left_semi")
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    named = rows.where(F.col("reverts").isNotNull() & (F.col("reverts") != F.col("sha"))).select(F.col("sha").alias("revert"), F.col("reverts").alias("original"))
+    known = _of(rows.select("sha"), named.select(F.col("original").alias("sha")))
+    return named.join(known.withColumnRenamed("sha", "original"), "original", "left_semi").select("revert", "original")
+
+
 def named_reverts(commits: DataFrame) -> DataFrame:
     """``revert, original``: commits that name another known commit, not themselves, as the one they revert."""
-    rows = commit_rows(commits)
-    named = rows.where(F.col("reverts").isNotNull() & (F.col("reverts") != F.col("sha"))).select(F.col("sha").alias("revert"), F.col("reverts").alias("original"))
-    return named.join(rows.select(F.col("sha").alias("original")), "original", "left_semi").select("revert", "original")
+    return _named(commit_rows(commits))
+
+
+def _confirmed(rows: DataFrame, commit_files: DataFrame) -> DataFrame:
+    pairs = durable(_named(rows))
+    files = file_rows(_of(commit_files, pairs.select(F.explode(F.array("revert", "original")).alias("sha"))))
+    mine = pairs.join(files.select(F.col("sha").alias("revert"), "path", F.col("blob_old").alias("was"), F.col("blob_new").alias("now")), "revert")
+    theirs = pairs.join(files.select(F.col("sha").alias("original"), "path", F.col("blob_old").alias("before"), F.col("blob_new").alias("after")), "original")
+    both = mine.join(theirs, ["revert", "original", "path"], "full")
+    undone = F.coalesce((F.col("was") == F.col("after")) & (F.col("now") == F.col("before")), F.lit(False))
+    return both.groupBy("revert", "original").agg(F.bool_and(undone).alias("ok"), F.count(F.lit(1)).alias("files")).where("ok").select("revert", "original", "files")
 
 
 def confirmed_reverts(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
@@ -33,28 +60,39 @@ def confirmed_reverts(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
     A file whose blobs are not both known on both sides confirms nothing. One full outer join
     of both file lists per pair; no commit list is gathered in one place.
     """
-    pairs = named_reverts(commits)
-    files = file_rows(commit_files)
-    mine = pairs.join(files.select(F.col("sha").alias("revert"), "path", F.col("blob_old").alias("was"), F.col("blob_new").alias("now")), "revert")
-    theirs = pairs.join(files.select(F.col("sha").alias("original"), "path", F.col("blob_old").alias("before"), F.col("blob_new").alias("after")), "original")
-    both = mine.join(theirs, ["revert", "original", "path"], "full")
-    undone = F.coalesce((F.col("was") == F.col("after")) & (F.col("now") == F.col("before")), F.lit(False))
-    return both.groupBy("revert", "original").agg(F.bool_and(undone).alias("ok"), F.count(F.lit(1)).alias("files")).where("ok").select("revert", "original", "files")
+    return _confirmed(commit_rows(commits), commit_files)
 
 
-def paired_reverts(reverts: DataFrame) -> DataFrame:
-    """``revert, original, state``: each commit used once, in the order of the log, newest first.
+def paired_reverts(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
+    """``revert, original``: confirmed reverts with what they undo, each commit used once, newest first in the order of the log.
 
-    A commit named by several reverts belongs to the newest of them that is not undone itself.
-    Chains (a revert of a revert) are walked from their newest end; as every revert names one
-    commit, a chain is a path of the pairs and its depth is found by doubling joins.
+    A revert that is reverted itself pairs with its reverter, which leaves the first commit as a
+    real change; moves pair with nothing. Pairs that share commits form a component, which is
+    walked in one task. Commits of one place in the log go by time (the later first), then sha.
     """
-    chosen = reverts.groupBy("original").agg(F.max("revert").alias("revert"))
-    depth = chosen.select("revert", "original", F.lit(1).alias("above"))
-    undoing = chosen.select(F.col("revert").alias("newer"), F.col("original").alias("revert"))
-    marked = depth.join(undoing, "revert", "left")
-    # a revert that is undone by another keeps its original alive: the pair does not count
-    return marked.select("revert", "original", F.when(F.col("newer").isNull(), "undone").otherwise("kept").alias("state"))
+    return _paired(commit_rows(commits), commit_files)
+
+
+def _paired(rows: DataFrame, commit_files: DataFrame) -> DataFrame:
+    pairs = durable(_confirmed(rows, commit_files).select("revert", "original"))
+    sides = _of(rows.where(~F.coalesce("move_only", F.lit(False))), pairs.select(F.explode(F.array("revert", "original")).alias("sha"))).select("sha", "log_pos", "time_s")
+    open_ = pairs.join(sides.select(F.col("sha").alias("original")), "original", "left_semi").join(sides.withColumnRenamed("sha", "revert"), "revert")
+    open_ = durable(open_.select("revert", "original", "log_pos", "time_s"))
+    parts = components(open_, "revert", "original").select(F.col("node").alias("revert"), "component")
+    return open_.join(parts, "revert").groupBy("component").applyInPandas(_newest_first, "revert string, original string")
+
+
+def _newest_first(pairs):
+    """The pairs of a frame whose commits no newer pair has used."""
+    rows = pairs.sort_values("revert").sort_values("time_s", ascending=False, kind="stable").sort_values("log_pos", kind="stable")
+    used: set[str] = set()
+    kept = []
+    for revert, original in zip(rows["revert"], rows["original"], strict=True):
+        free = revert not in used and original not in used
+        kept.append(free)
+        if free:
+            used |= {revert, original}
+    return rows.loc[kept, ["revert", "original"]]
 
 
 def fingerprints(commit_files: DataFrame) -> DataFrame:
@@ -72,11 +110,15 @@ def duplicates(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
     Older by time, then by place in the log. The fingerprint only proposes groups; members
     are compared with the group's first commit file by file.
     """
+    return _duplicates(commit_rows(commits), commit_files)
+
+
+def _duplicates(rows: DataFrame, commit_files: DataFrame) -> DataFrame:
     prints = fingerprints(commit_files).where(F.col("fingerprint").isNotNull())
-    rows = commit_rows(commits).select("sha", "time_s", "log_pos").join(prints, "sha")
+    rows = rows.select("sha", "time_s", "log_pos").join(prints, "sha")
     first = rows.groupBy("fingerprint", "files").agg(F.min(F.struct("time_s", -F.col("log_pos"), "sha")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    proposed = rows.join(first, ["fingerprint", "files"]).select("sha", F.col("f.sha").alias("first"), "files").where("sha <> first")
-    files = file_rows(commit_files).select("sha", "path", "blob_old", "blob_new")
+    proposed = durable(rows.join(first, ["fingerprint", "files"]).select("sha", F.col("f.sha").alias("first"), "files").where("sha <> first"))
+    files = file_rows(_of(commit_files, proposed.select(F.explode(F.array("sha", "first")).alias("sha")))).select("sha", "path", "blob_old", "blob_new")
     own = proposed.join(files, "sha")
     other = files.select(F.col("sha").alias("first"), F.col("path").alias("p"), F.col("blob_old").alias("o"), F.col("blob_new").alias("n"))
     same = own.join(other, (own["first"] == other["first"]) & (own["path"] == other["p"]) & own["blob_old"].eqNullSafe(other["o"]) & own["blob_new"].eqNullSafe(other["n"]))
@@ -84,11 +126,11 @@ def duplicates(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
 
 
 def kinds(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
-    """``sha, kind``: moves, reverts (both sides), duplicates, or null for a real commit; the first that applies."""
-    rows = commit_rows(commits)
-    reverts = confirmed_reverts(commits, commit_files)
-    undone = reverts.select(F.explode(F.array("revert", "original")).alias("sha")).distinct().withColumn("r", F.lit(True))
-    twice = duplicates(commits, commit_files).select("sha").withColumn("d", F.lit(True))
+    """``sha, kind``: moves, reverts (both sides of a pair), duplicates among the rest, or null for a real commit."""
+    rows = durable(commit_rows(commits).select("sha", "time_s", "log_pos", "move_only", "reverts"))
+    undone = durable(_paired(rows, commit_files).select(F.explode(F.array("revert", "original")).alias("sha"))).withColumn("r", F.lit(True))
+    rest = rows.where(~F.coalesce("move_only", F.lit(False))).join(undone, "sha", "left_anti")
+    twice = _duplicates(rest, commit_files).select("sha").withColumn("d", F.lit(True))
     rows = rows.select("sha", "move_only").join(undone, "sha", "left").join(twice, "sha", "left")
     return rows.select("sha", F.when(F.col("move_only"), KINDS[0]).when(F.col("r"), KINDS[1]).when(F.col("d"), KINDS[2]).alias("kind"))
 
