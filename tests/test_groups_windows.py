@@ -76,6 +76,32 @@ def test_clique_groups(spark):
     assert [(r["members"], r["shared"], r["partial"]) for r in got] == [(["a", "b", "c"], 4, False)]
 
 
+def test_maximal_parts_have_no_bound():
+    import itertools
+    import random
+
+    dice = random.Random(5)
+    for _ in range(200):
+        names = [f"m{i}" for i in range(dice.randint(3, 8))]
+        parts = Counter(frozenset(dice.sample(names, dice.randint(1, len(names)))) for _ in range(dice.randint(0, 25)))
+        want, cut = groups.supported(names, parts)
+        assert not cut and groups.maximal_parts(names, parts) == want
+    # more parts than supported() takes: the pair of changes that it drops makes the third of one set
+    names = [f"m{j:02}" for j in range(24)]
+    wide = Counter({frozenset(names[:3]) | {names[3 + i % 20], names[4 + i // 20 % 20]}: 9 for i in range(400)})
+    wide += Counter({frozenset([*names[20:24], n]): 1 for n in names[:3]}) + Counter({frozenset(c): 2 for c in itertools.combinations(names[3:20], 3)})
+    assert groups.supported(names, wide)[1] is True and tuple(names[20:24]) in groups.maximal_parts(names, wide)
+
+
+def test_cliques_of_many_components(spark):
+    from tidemark.operators import graph
+
+    n = 5001  # triangles, beyond 20 000 steps together
+    links = spark.range(3 * n).selectExpr("concat(id div 3, substr('xxy', 1 + int(id % 3), 1)) as a", "concat(id div 3, substr('yzz', 1 + int(id % 3), 1)) as b", "5L as shared", "9L as changes_a", "8L as changes_b")
+    found = graph.area_cliques(links).collect()
+    assert len(found) == n and {(r["size"], r["partial"]) for r in found} == {(3, False)}
+
+
 PATCH = """diff --git a/x.ts b/x.ts
 index 1..2 100644
 --- a/x.ts

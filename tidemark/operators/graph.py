@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -53,10 +54,11 @@ def reach(edges: DataFrame, depth: int, src: str = "src", dst: str = "dst") -> D
     return seen
 
 
-def maximal_cliques(links: Iterable[tuple[str, str]], least: int = 3, most: int = 20_000) -> tuple[list[tuple[str, ...]], bool]:
-    """Maximal cliques of a small graph, sorted, and whether the bound on steps cut the search short.
+def maximal_cliques(links: Iterable[tuple[str, str]], least: int = 3, most: int | None = None) -> tuple[list[tuple[str, ...]], bool]:
+    """Maximal cliques of a graph, sorted, and whether ``most`` steps cut the search short; without it the search is exact.
 
-    For graphs of areas, of which there are hundreds; the caller bounds the links it collects.
+    Each node starts a search among the neighbours after it, nodes of few neighbours first
+    (degeneracy order), so the work follows the cliques and not the size of a sparse graph.
     """
     near: dict[str, set[str]] = {}
     for a, b in links:
@@ -65,40 +67,71 @@ def maximal_cliques(links: Iterable[tuple[str, str]], least: int = 3, most: int
             near.setdefault(b, set()).add(a)
     found: list[tuple[str, ...]] = []
     steps = 0
-    todo: list[tuple[tuple[str, ...], set[str], set[str]]] = [((), set(near), set())]
-    while todo:
-        clique, open_, closed = todo.pop()
-        steps += 1
-        if steps > most:
-            return sorted(found), True
-        if not open_:
-            if not closed and len(clique) >= least:
-                found.append(tuple(sorted(clique)))
-            continue
-        if len(clique) + len(open_) < least:
-            continue
-        pivot = max(sorted(open_ | closed), key=lambda n: len(near[n] & open_))
-        for n in sorted(open_ - near[pivot]):
-            todo.append(((*clique, n), open_ & near[n], closed & near[n]))
-            open_ = open_ - {n}
-            closed = closed | {n}
+    done: set[str] = set()
+    for start in _degeneracy(near):
+        todo: list[tuple[tuple[str, ...], set[str], set[str]]] = [((start,), near[start] - done, near[start] & done)]
+        done.add(start)
+        while todo:
+            clique, open_, closed = todo.pop()
+            steps += 1
+            if most is not None and steps > most:
+                return sorted(found), True
+            if not open_:
+                if not closed and len(clique) >= least:
+                    found.append(tuple(sorted(clique)))
+                continue
+            if len(clique) + len(open_) < least:
+                continue
+            pivot = max(sorted(open_ | closed), key=lambda n: len(near[n] & open_))
+            for n in sorted(open_ - near[pivot]):
+                todo.append(((*clique, n), open_ & near[n], closed & near[n]))
+                open_ = open_ - {n}
+                closed = closed | {n}
     return sorted(found), False
 
 
-#: More linked areas than this are not searched for cliques on the driver.
-MAX_LINKS = 100_000
+def _degeneracy(near: dict[str, set[str]]) -> list[str]:
+    """Nodes in the order of always taking one with the fewest neighbours left."""
+    left = {n: len(near[n]) for n in near}
+    heap = [(k, n) for n, k in left.items()]
+    heapq.heapify(heap)
+    order = []
+    while heap:
+        k, n = heapq.heappop(heap)
+        if left.get(n) != k:
+            continue
+        del left[n]
+        order.append(n)
+        for m in near[n]:
+            if m in left:
+                left[m] -= 1
+                heapq.heappush(heap, (left[m], m))
+    return order
+
+
+def linked_areas(pairs: DataFrame, min_shared: int = 3, min_share: float = 0.3) -> DataFrame:
+    """``a, b, component``: links of areas (shared changes, share of the smaller) with their connected component."""
+    linked = durable(pairs.where((F.col("shared") >= min_shared) & (F.col("shared") >= min_share * F.least("changes_a", "changes_b"))).where("a <> b").select("a", "b"))
+    parts = components(linked).select(F.col("node").alias("a"), "component")
+    return durable(linked.join(parts, "a").select("a", "b", "component"))
+
+
+def cliques_of(links: DataFrame, least: int = 3) -> DataFrame:
+    """``component, members``: all maximal cliques of links with their component, each component searched in its own task."""
+
+    def search(rows):
+        import pyarrow as pa
+
+        cliques, _ = maximal_cliques(zip(rows["a"].to_pylist(), rows["b"].to_pylist(), strict=True), least)
+        return pa.table({"component": pa.array([rows["component"][0].as_py()] * len(cliques), pa.string()), "members": pa.array(cliques, pa.list_(pa.string()))})
+
+    return durable(links.groupBy("component").applyInArrow(search, "component string, members array<string>"))
 
 
 def area_cliques(pairs: DataFrame, min_shared: int = 3, min_share: float = 0.3, least: int = 3) -> DataFrame:
     """``members, size, partial``: groups of areas of which all pairs are linked (shared changes, share of the smaller).
 
-    ``pairs``: a, b, shared, changes_a, changes_b of areas. Collects the links, at most MAX_LINKS of them
-    (an error beyond that): areas are modules, not items.
+    ``pairs``: a, b, shared, changes_a, changes_b of areas. The search has no bound, so ``partial`` is always false.
     """
-    linked = pairs.where((F.col("shared") >= min_shared) & (F.col("shared") >= min_share * F.least("changes_a", "changes_b"))).select("a", "b")
-    rows = linked.limit(MAX_LINKS + 1).collect()
-    if len(rows) > MAX_LINKS:
-        raise ValueError("too many linked areas for a clique search; choose larger areas")
-    cliques, partial = maximal_cliques((r[0], r[1]) for r in rows)
-    data = [(list(c), len(c), partial) for c in cliques if len(c) >= least]
-    return pairs.sparkSession.createDataFrame(data, "members array<string>, size long, partial boolean")
+    found = cliques_of(linked_areas(pairs, min_shared, min_share), least)
+    return found.select("members", F.size("members").cast("long").alias("size"), F.lit(False).alias("partial"))

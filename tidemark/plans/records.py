@@ -10,7 +10,7 @@ from tidemark.functions.numbers import rounded
 from tidemark.operators import coupling, graph, grouping, lineage, mechanical, textual
 from tidemark.plans.measures import PRELUDE, history_of, import_edges
 from tidemark.plans.shaping import STRICT
-from tidemark.session import table
+from tidemark.session import durable, table
 from tidemark.streaming import activity
 
 
@@ -295,7 +295,7 @@ def clique_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of modules that changes touched as a whole, without variants of each other."""
     from tidemark.operators import groups
 
-    touched = history_of(spark, folder).touched()
+    touched = durable(history_of(spark, folder).touched().select("change_id", "area").distinct())
     rows = groups.clique_groups(touched, coupling.area_pairs(touched), min_share=0.1)
     return rows.select(F.array_join("members", " ").alias("members"), "shared", "partial")
 
