@@ -102,6 +102,30 @@ def test_report_round_trip(spark):
     assert all(0 < r["score"] for r in found) and [r["place"] for r in sorted(found, key=lambda r: r["place"])] == list(range(1, len(found) + 1))
 
 
+def test_entry_points_pair_copies_and_folds(spark):
+    from tidemark.operators import entries
+
+    stats = [stat(p, p[0], revisions=9, changes=9, loc=10) for p in ("m/a.ts", "n/b.ts", "o/c.ts")]
+    baskets = [["m/a.ts", "n/b.ts"]] * 6 + [["o/c.ts"]] * 3
+    h = History(frame(spark, CHANGES, [change(i, len(b)) for i, b in enumerate(baskets)]), frame(spark, ITEMS, [(i, p) for i, b in enumerate(baskets) for p in b]), frame(spark, STATS, stats))
+    words = " ".join(f"w{i}" for i in range(60))
+    texts = spark.createDataFrame([("m/a.ts", words), ("n/b.ts", words), ("o/c.ts", "let x")], "item string, text string")
+    edges = spark.createDataFrame([], "src string, dst string")
+    got = {r["kind"]: (r["subject"], r["score"]) for r in entries.entry_points(h, edges, texts=texts).collect()}
+    # the pair has both thirds of the heat; the copies change in lockstep and the coupling names the same files
+    assert got["boundary"] == ("m + n", 0.6667) and ("copies" in got) != ("coupling" in got)
+    assert rows(entries.copy_findings(h, texts).select("kind", "subject", F.round("score", 4))) == [("copies", "m/a.ts + n/b.ts", 0.6667)]
+
+
+def test_entry_points_settle():
+    from tidemark.operators.entries import Finding, Limits, settled
+
+    pair, small, large = Finding("boundary", "a + b", 0.5, ("a", "b")), Finding("clique", "a + b + c", 0.4, ("a", "b", "c")), Finding("clique", "a + b + c + d", 0.3, ("a", "b", "c", "d"))
+    alone, weak = Finding("boundary", "d", 0.2, ("d",)), Finding("hotspot", "f", 0.001, (), ("f",))
+    picked, out = settled([weak, alone, large, small, pair], Limits())
+    assert picked == [pair, large, weak] and out == {small, alone}
+
+
 def test_interface_files(spark):
     from tidemark.operators import modules
 

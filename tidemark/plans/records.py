@@ -224,7 +224,7 @@ def module_depth(spark: SparkSession, folder: str) -> DataFrame:
 def entry_points(spark: SparkSession, folder: str) -> DataFrame:
     from tidemark.operators import entries
 
-    return entries.entry_points(history_of(spark, folder), import_edges(spark, folder))
+    return entries.entry_points(history_of(spark, folder), import_edges(spark, folder), texts=table(spark, folder, "texts"))
 
 
 def inspected(spark: SparkSession, folder: str) -> DataFrame:
