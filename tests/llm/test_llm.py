@@ -30,6 +30,30 @@ BY_HAND = [
 ]
 
 
+#: Wordings held out while the rules were written.
+UNSEEN = [
+    "// NOTICE: produced with schemac 4 from orders.idl; never edit by hand.\nlet a;\n", "# Emitted by wirec 0.9\nx = 1\n", "/**\n * The contained code was transpiled from lib.ml\n * by mlc, re-run `make js`.\n */\nlet a;\n",
+    "// grammarc v7 generated this module from calc.y\nlet a;\n", "// Source: calc.proto. File generated on 2021-04-05.\nlet a;\n", "-- This document has been automatically generated\nlet a;\n",
+    "// Questo file è stato generato da x.\nlet a;\n", "// 此文件由 gen 自动生成。\nlet a;\n",
+]
+UNSEEN_BY_HAND = [
+    "// Wraps clients generated by the compiler and adds retries.\nlet a;\n", "// Generated names are sorted before they are compared.\nlet a;\n", "# Compares the output of both parsers.\nx = 1\n",
+    "// This class holds rows produced by the reader; do not modify the order of its fields.\nlet a;\n", "// Writes //# sourceMappingURL= lines for the bundler.\nlet a = '//# sourceMappingURL=' + f;\n",
+    "/* Copyright 2019 The Lake Authors\n * Licensed under the Apache License, Version 2.0;\n * see https://www.apache.org/licenses/LICENSE-2.0 */\nlet a;\n",
+    "enum Kind {\n  A = 1,\n  B = 2,\n  C = 3,\n  D = 4,\n  E = 5,\n  F = 6,\n  G = 7,\n  H = 8,\n}\n",
+]
+
+
+def test_reasons_of_unseen_wordings():
+    assert [provenance.reason_of(t) for t in UNSEEN] == ["generated"] * len(UNSEEN)
+    assert [provenance.reason_of(t) for t in UNSEEN_BY_HAND] == [None] * len(UNSEEN_BY_HAND)
+    for text in ("/*\n * lib v2.3.1\n * MIT License\n * Copyright (c) 2015 Jane\n */\nlet a;\n", "// Vendored from https://x.example/a/b at 1a2b3c4\nlet a;\n"):
+        assert provenance.reason_of(text) == "third party"
+    assert provenance.reason_of("class A {\n" + "".join(f"  int getX{i}() {{\n    return this.raw[{i}];\n  }}\n" for i in range(5, 40))) == "generated"
+    assert provenance.reason_of("module.exports = {\n" + "".join(f"  'k{i}': 'it is {'text ' * 80}' + f(),\n" for i in range(3))) == "packed"
+    assert provenance.reason_of("İ" * 9 + "\nlet a;\n// Generated by x\n") is None
+
+
 def test_reasons_of_files():
     assert {provenance.reason_of(t) for t in GENERATED} == {"generated"}
     assert [provenance.reason_of(t) for t in BY_HAND] == [None] * len(BY_HAND)
