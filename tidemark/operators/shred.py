@@ -1,8 +1,8 @@
 """Nested JSON records as an adjacency table, and entity tables joined back from it.
 
-``shred`` turns each body into its nodes (node, parent, label, ordinal, kind, scalar);
-the parent of a node is the position of another node of the same record, so climbing
-towards the root is an array lookup inside the row and needs no shuffle.
+``shred`` turns each body into its nodes (node, parent, label, ordinal, kind, scalar, path);
+``adjacency`` lists them as rows, ``members`` joins object and array nodes with their scalar
+children, and ``entities`` pivots those into one row per object.
 """
 
 from __future__ import annotations
@@ -16,9 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-NODE = "array<struct<node:int,parent:int,label:string,ordinal:int,kind:string,scalar:string>>"
+NODE = "array<struct<node:int,parent:int,label:string,ordinal:int,kind:string,scalar:string,path:array<string>>>"
 
-_ARROW_NODE = pa.struct([("node", pa.int32()), ("parent", pa.int32()), ("label", pa.string()), ("ordinal", pa.int32()), ("kind", pa.string()), ("scalar", pa.string())])
+_ARROW_NODE = pa.struct([("node", pa.int32()), ("parent", pa.int32()), ("label", pa.string()), ("ordinal", pa.int32()), ("kind", pa.string()), ("scalar", pa.string()), ("path", pa.list_(pa.string()))])
+
+#: Steps below the root up to which objects and arrays carry their path.
+REACH = 16
 
 
 class _Number(str):
@@ -104,31 +107,38 @@ def parse_strict(text: str) -> object:
         return _deep(text)
 
 
-def nodes_of(text: str | None) -> list[tuple[int, int | None, str | None, int | None, str, str | None]] | None:
-    """(node, parent, label, ordinal, kind, scalar) in document order; None if the text is no strict JSON."""
+Node = tuple[int, int | None, str | None, int | None, str, str | None, list[str] | None]
+
+
+def nodes_of(text: str | None, reach: int = REACH) -> list[Node] | None:
+    """(node, parent, label, ordinal, kind, scalar, path) in document order; None if the text is no strict JSON.
+
+    ``path``: labels from the root to an object or array at most ``reach`` steps below it, else None.
+    """
     if text is None:
         return None
     try:
         root = parse_strict(text)
     except ValueError:
         return None
-    out: list[tuple[int, int | None, str | None, int | None, str, str | None]] = []
-    todo: list[tuple[object, int | None, str | None, int | None]] = [(root, None, None, None)]
+    out: list[Node] = []
+    todo: list[tuple[object, int | None, str | None, int | None, list[str] | None]] = [(root, None, None, None, [])]
     while todo:
-        value, parent, label, ordinal = todo.pop()
+        value, parent, label, ordinal, path = todo.pop()
         node = len(out)
-        if isinstance(value, _Pairs):
-            out.append((node, parent, label, ordinal, "object", None))
-            todo.extend((v, node, _clean(k), i) for i, (k, v) in reversed(list(enumerate(value))))
-        elif isinstance(value, list):
-            out.append((node, parent, label, ordinal, "array", None))
-            todo.extend((v, node, str(i), i) for i, v in reversed(list(enumerate(value))))
+        if isinstance(value, (_Pairs, list)):
+            named = [(_clean(k), v) for k, v in value] if isinstance(value, _Pairs) else [(str(i), v) for i, v in enumerate(value)]
+            out.append((node, parent, label, ordinal, "object" if isinstance(value, _Pairs) else "array", None, path))
+            below = path is not None and len(path) < reach
+            for i in range(len(named) - 1, -1, -1):
+                k, v = named[i]
+                todo.append((v, node, k, i, [*path, k] if below and isinstance(v, list) else None))
         elif isinstance(value, _Number):
-            out.append((node, parent, label, ordinal, "number", str(value)))
+            out.append((node, parent, label, ordinal, "number", str(value), None))
         elif isinstance(value, str):
-            out.append((node, parent, label, ordinal, "string", _clean(value)))
+            out.append((node, parent, label, ordinal, "string", _clean(value), None))
         else:
-            out.append((node, parent, label, ordinal, "null" if value is None else "boolean", None if value is None else str(value).lower()))
+            out.append((node, parent, label, ordinal, "null" if value is None else "boolean", None if value is None else str(value).lower(), None))
     return out
 
 
@@ -137,22 +147,23 @@ def _clean(text: str) -> str:
     return text if text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-def shred(df: DataFrame, body: str, out: str = "nodes") -> DataFrame:
+def shred(df: DataFrame, body: str, out: str = "nodes", reach: int = REACH) -> DataFrame:
     """All columns but ``body``, and ``out``: the nodes of the body, null where it is null or no strict JSON.
 
     Node 0 is the root; ``label`` is the key or the list position, ``ordinal`` the place
-    among the siblings. Bodies are parsed in Arrow batches, a row at a time; row count and order stay.
+    among the siblings, ``path`` that of an object or array at most ``reach`` steps below the
+    root. Bodies are parsed in Arrow batches, a row at a time; row count and order stay.
     """
     schema = StructType([f for f in df.schema.fields if f.name != body]).add(StructType.fromDDL(f"`{out}` {NODE}").fields[0])
 
     def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = [n for n in batch.schema.names if n != body]
-            flat: list[list] = [[] for _ in range(6)]
+            flat: list[list] = [[] for _ in range(7)]
             starts: list[int | None] = []
             end = 0
             for text in batch.column(batch.schema.get_field_index(body)).to_pylist():
-                nodes = nodes_of(text)
+                nodes = nodes_of(text, reach)
                 starts.append(None if nodes is None else end)
                 if nodes:
                     end += len(nodes)
@@ -167,22 +178,30 @@ def shred(df: DataFrame, body: str, out: str = "nodes") -> DataFrame:
     return df.mapInArrow(parse, schema)
 
 
-def climb(nodes: Column, node: Column, top: Column, steps: int) -> Column:
-    """Labels from below ``top`` down to ``node``; null if ``top`` is more than ``steps`` above it or no ancestor."""
-    start = F.struct(node.alias("at"), F.array().cast("array<string>").alias("labels"))
+def adjacency(shredded: DataFrame, nodes: str = "nodes") -> DataFrame:
+    """One row per node: the record's own columns, then node, parent, label, ordinal, kind, scalar, path."""
+    own = [c for c in shredded.columns if c != nodes]
+    return shredded.select(*own, F.inline(nodes))
 
-    def up(state: Column, _: Column) -> Column:
-        here = F.get(nodes, state["at"])
-        return F.when(state["at"].isNull() | (state["at"] == top), state).otherwise(F.struct(here["parent"].alias("at"), F.concat(F.array(here["label"]), state["labels"]).alias("labels")))
 
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, up, lambda s: s)
-    return F.when(end["at"] == top, end["labels"])
+def _within(record: Sequence[str]) -> Column:
+    """Same record, null-safely: its columns against those of the other side, marked with ``__``."""
+    same = F.lit(True)
+    for c in record:
+        same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return same
 
 
-def adjacency(shredded: DataFrame, nodes: str = "nodes") -> DataFrame:
-    """One row per node: the record's own columns, then node, parent, label, ordinal, kind, scalar."""
-    own = [c for c in shredded.columns if c != nodes]
-    return shredded.select(*own, F.inline(nodes))
+def members(nodes: DataFrame, record: Sequence[str], owners: Column, scalars: Column) -> DataFrame:
+    """``record columns, node, owner_kind, path, label, kind, scalar``: the object and array nodes that meet ``owners``, joined with those of
+    their scalar children that meet ``scalars``.
+
+    Records are matched null-safely. An owner is matched with its own children only, so no
+    key of the join holds more rows than one object has members.
+    """
+    objects = nodes.where(F.col("kind").isin("object", "array")).where(owners).select(*[F.col(c).alias(f"__{c}") for c in record], "node", F.col("kind").alias("owner_kind"), "path")
+    children = nodes.where(~F.col("kind").isin("object", "array")).where(scalars).select(*record, F.col("parent").alias("owner"), "label", "kind", "scalar")
+    return children.join(objects, _within(record) & (F.col("owner") == F.col("node"))).select(*record, "node", "owner_kind", "path", "label", "kind", "scalar")
 
 
 def entities(nodes: DataFrame, record: Sequence[str], fields: Sequence[str]) -> DataFrame:
@@ -193,8 +212,6 @@ def entities(nodes: DataFrame, record: Sequence[str], fields: Sequence[str]) ->
     scalars = nodes.where(F.col("kind").isin("string", "number", "boolean")).where(F.col("label").isin(*fields))
     rows = scalars.groupBy(*record, F.col("parent").alias("owner")).pivot("label", list(fields)).agg(F.max("scalar"))
     children = rows.select(*[F.col(c).alias(f"__{c}") for c in record], "owner", *fields)
-    same = F.col("node") == F.col("owner")
-    for c in record:
-        same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    same = (F.col("node") == F.col("owner")) & _within(record)
     objects = nodes.where(F.col("kind") == "object").select(*record, "node", "parent", "label")
     return objects.join(children, same, "left").select(*record, "node", "parent", "label", *fields)
