@@ -185,12 +185,33 @@ def test_leaks(spark):
     assert leakage.leaks(df, items.where("false")).count() == 0
 
 
-def test_blocks_of_items_give_the_same(spark, monkeypatch):
-    items = spark.createDataFrame([(i, " ".join(f"w{i}x{j} y{j}" for j in range(30))) for i in range(9)], "item_id long, text string")
-    docs = frame(spark, DOCS, [(i, " ".join(f"w{i}x{j} y{j}" for j in range(5, 25)), None, None, None, None) for i in range(9)])
-    whole = [r[:2] for r in rows(leakage.leaks(docs, items))]
-    monkeypatch.setattr(leakage, "BLOCK", 4)
-    assert [r[:2] for r in rows(leakage.leaks(docs, items))] == whole == [(i, i) for i in range(9)]
+def planted(n):
+    """n items of 30 words, and for a few of them documents with a verbatim, an edited, an inserted-into and a thinned passage, and a scrap."""
+    items = {i: [f"i{i}w{j}" if j % 3 else f"common{j % 5}" for j in range(30)] for i in range(n)}
+    docs, want = {}, set()
+    for i in (0, 7, n - 1):
+        w = items[i]
+        for k, text in enumerate((w[5:25], [x if j % 5 else "changed" for j, x in enumerate(w)], [y for j, x in enumerate(w) for y in ([x, "foreign"] if j % 3 == 2 else [x])], [x for j, x in enumerate(w) if j % 4], w[:4])):
+            docs[i * 10 + k] = "so " * 9 + " ".join(text) + " and" * 9
+            if k < 4:
+                want.add((i * 10 + k, i))
+    return items, docs, want
+
+
+@pytest.mark.parametrize("n", [20, 200, 5000])
+def test_answers_do_not_depend_on_the_number_of_items(spark, n):
+    items, docs, want = planted(n)
+    test = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = leakage.leaks(frame(spark, DOCS, [(k, v, None, None, None, None) for k, v in docs.items()]), test)
+    assert {r[:2] for r in rows(got)} == want
+
+
+def test_short_items_near_copies_and_unspaced_texts(spark):
+    near = [f"v{j}" for j in range(40)]
+    items = {1: "vier kurze neue wörter", 2: "eins zwei drei vier fünf sechs sieben acht", 3: "古い移行は名前が変わるたびに写しを残します", **{100 + k: " ".join(near[:20] + [f"own{k}"] + near[20:]) for k in range(8)}}
+    docs = {1: "here: VIER kurze neue Wörter!", 2: "x eins zwei drei vier y", 3: "窓の前。古い移行は名前が変わるたびに写しを残した。", 4: "zzz " * 30 + " ".join(near[:18]), 5: "eins und acht"}
+    got = leakage.leaks(frame(spark, DOCS, [(k, v, None, None, None, None) for k, v in docs.items()]), spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    assert {r[:2] for r in rows(got)} == {(1, 1), (2, 2), (3, 3)} | {(4, 100 + k) for k in range(8)}
 
 
 def test_common_length_is_the_longest_common_subsequence():
