@@ -28,7 +28,7 @@ def test_fifty_files_count_and_fifty_one_do_not(spark):
 
 def test_empty_history(spark):
     h = history(spark, [])
-    for operator in (coupling.couplings, coupling.breadth, coupling.partners, coupling.ubiquitous, coupling.module_couplings, modules.cohesion, modules.area_radius, hotspots.hotspots, hotspots.hot_items, hotspots.heat_kinds, trends.erosion, trends.area_lines, hotspots.territory_heat):
+    for operator in (coupling.couplings, coupling.breadth, coupling.partners, coupling.ubiquitous, coupling.module_couplings, modules.cohesion, modules.area_radius, hotspots.hotspots, hotspots.hot_items, hotspots.heat_kinds, trends.erosion, trends.area_lines, trends.repository_erosion, hotspots.territory_heat):
         assert operator(h).count() == 0, operator
     assert modules.change_radius(h).collect()[0]["measured"] == 0
     assert modules.propagation_cost(h).collect()[0]["cost"] is None
@@ -116,8 +116,95 @@ def test_trend_line_golden_case(spark):
     df = spark.createDataFrame([("k", i, v) for i, v in enumerate([0.8, 0.62, 0.45, 0.3])] + [("short", 0, 1.0), ("short", 1, 2.0)], "k string, i int, v double")
     got = trends.theil_sen(df, "k", "i", "v").collect()
     assert [(r["k"], round(r["slope"], 4), round(r["from"], 4), round(r["to"], 4)) for r in got] == [("k", -0.1683, 0.7942, 0.2892)]
-    assert trends.judge([(i, 0.9 - 0.12 * i, 400) for i in range(6)]) == "eroding"
-    assert trends.judge([(i, 0.5, 400) for i in range(6)]) == "steady" and trends.judge([(0, 1, 1)]) == "unknown"
+
+
+def verdicts(spark, *series):
+    """The verdict of each series of (share, changes); None stands for a slice without evidence."""
+    rows = [(k, [(float(i), float(v), float(n)) for i, p in enumerate(s) if p for v, n in [p]]) for k, s in enumerate(series)]
+    return [r["verdict"] for r in trends.judged(spark.createDataFrame(rows, "k int, s array<struct<x:double,y:double,n:double>>")).orderBy("k").collect()]
+
+
+def test_a_share_moves_only_beyond_noise_and_without_its_ends(spark):
+    fall = [(0.9 - 0.12 * i, 400) for i in range(6)]
+    got = verdicts(spark, fall, fall[::-1], [(0.5, 400)] * 6, [(1.0, 1)], fall[:4], [(0.9, 400), *[(0.5, 400)] * 5, (0.1, 400)], [(0.9 - 0.12 * i, 8) for i in range(6)], [fall[0], None, *fall[1:]])
+    # four slices are too few for a verdict, two are no trend; what only the ends say does not count; eight changes prove little
+    assert got == ["eroding", "improving", "holding", None, "holding", "holding", "holding", "eroding"]
+
+
+def sliced(spark, slices, stats):
+    """A history of baskets by slice."""
+    baskets = [(i, b) for i, s in enumerate(slices) for b in s]
+    ch = [change(k, len(set(b)), slice=i) for k, (i, b) in enumerate(baskets)]
+    return History(frame(spark, CHANGES, ch), frame(spark, ITEMS, [(k, p) for k, (_, b) in enumerate(baskets) for p in b]), frame(spark, STATS, stats))
+
+
+def test_slices_count_from_ten_changes_and_test_areas_never(spark):
+    stats = [stat("m/a", "m"), stat("n/b", "n"), stat("t/x.test.ts", "t", test=True)]
+    h = sliced(spark, [[["m/a"]] * 9 + [["n/b"]] * 10, [["m/a"]] * 10 + [["t/x.test.ts"]] * 12, [["m/a", "n/b"]] * 10], stats)
+    assert rows(trends.slice_cohesion(h).select("slice", "area", "share")) == [(0, "n", 1.0), (1, "m", 1.0), (2, "m", 0.0), (2, "n", 0.0)]
+    assert trends.repository_erosion(h).collect()[0]["verdict"] == "holding" and trends.erosion(h).count() == 0
+    quiet = sliced(spark, [[["m/a"]] * 10, [["m/a"]] * 10, [["m/a"]] * 2], stats)
+    assert tuple(trends.repository_erosion(quiet).first()) == (2, None, None, "unknown", 2)
+
+
+def test_a_quiet_end_of_the_series_takes_part_in_now(spark):
+    stats = [stat(f"m/f{i}", "m", loc=10) for i in range(10)]
+    hot = [["m/f0"]] * 10
+    h = sliced(spark, [hot, hot, hot, hot, [["m/f1"]]], stats)
+    # the last two slices are the fourth and the quiet fifth: three earlier ones count
+    assert {r["path"]: (r["active"], r["hot"], r["kind"]) for r in hotspots.heat_kinds(h).collect()}["m/f0"] == (4, 4, "chronic")
+    short = sliced(spark, [hot, hot, hot, [["m/f1"]]], stats)
+    assert {r["path"]: r["kind"] for r in hotspots.heat_kinds(short).collect()}["m/f0"] == "other"
+
+
+def test_only_ranked_areas_are_compared(spark):
+    stats = [stat(f"{m}/x", m) for m in "mno"] + [stat("t/x.test.ts", "t", test=True)]
+    h = history(spark, [["m/x", "n/x", "t/x.test.ts"]] * 6 + [["o/x", "m/x"]] * 4, stats)
+    assert rows(coupling.module_couplings(h)) == [("m", "n", 6, 1.0)]
+
+
+def test_dependency_direction(spark):
+    stats = [stat("a/x", "a"), stat("a/y", "a"), stat("b/z", "b"), stat("c/q", "c"), stat("t/x.test.ts", "t", test=True), stat("idle/i", "idle")]
+    h = history(spark, [["b/z"]] * 8 + [["a/x", "b/z"]] * 3 + [["a/y", "b/z"]] + [["c/q"]], stats)
+    edges = spark.createDataFrame([("a/x", "b/z"), ("a/x", "b/z"), ("c/q", "b/z"), ("idle/i", "b/z"), ("t/x.test.ts", "b/z"), ("b/z", "b/z")], "src string, dst string")
+    got = {(r["from"], r["to"]): (r["imports"], r["changes_from"], r["changes_to"], r["together"]) for r in modules.dependency_direction(h, edges).collect()}
+    # a/y changed with b/z but does not import it; a module that never changed is told as well
+    assert got == {("a", "b"): (1, 4, 12, 3), ("c", "b"): (1, 1, 12, 0), ("idle", "b"): (1, 0, 12, 0)}
+
+
+def test_unstable_interfaces(spark):
+    users = [f"u{i}" for i in range(5)]
+    h = history(spark, [["api", "u0"], ["api", "u0"], ["api", "u1"], ["api"], ["api", "u2", *[f"w{i}" for i in range(60)]]], [stat("api", "m")])
+    edges = spark.createDataFrame([(u, "api") for u in users] + [("x.test.ts", "api")], "src string, dst string")
+    got = modules.unstable_interfaces(h, edges).collect()
+    # five logical changes count, one of them too large to say what changed together
+    assert [(r["item"], r["module"], r["fan_in"], r["changes"], r["typical"], r["changed_dependents"], [tuple(d) for d in r["dependents"]]) for r in got] == [("api", "m", 5, 5, 1, 2, [("u0", 2), ("u1", 1)])]
+
+
+def test_verdict_takes_parts_of_all_heat(spark):
+    states = lambda data: spark.createDataFrame(data, "area string, heat_share double, state string")
+    h = history(spark, [["m/a"]])
+    got = lambda data: tuple(modules.verdict(h, areas=states(data)).first())
+    assert got([("a", 0.4, "leaks"), ("b", 0.3, "holds"), ("c", 0.3, "unjudged")]) == ("mixed", None, 0.4, 0.7, False, ["a", "b"], ["a"])
+    assert got([("a", 0.2, "leaks"), ("b", 0.29, "holds")])[:4] == ("unknown", "too-little-evidence", 0.2, 0.49)
+    assert got([])[:2] == ("unknown", "no-territories") and got([("a", 0.6, "leaks")])[0] == "strained" and got([("a", 0.6, "holds")])[0] == "holds"
+    stats = [stat("m/a", "m"), stat("n/b", "n")]
+    worse = sliced(spark, [[["m/a"]] * (40 - 8 * i) + [["m/a", "n/b"]] * (8 * i) for i in range(6)], stats)
+    assert tuple(modules.verdict(worse, areas=states([("a", 0.6, "holds")])).first())[:1] == ("mixed",)
+
+
+def test_modules_are_split_until_none_dominates(spark):
+    from tidemark.operators import territories
+
+    frame_ = lambda paths: spark.createDataFrame([(p,) for p in paths], "path string")
+    deep = [f"src/a/b/c/d/e/f/g/h/i/x{i}/y{j}.ts" for i in range(3) for j in range(10)] + ["src/z.ts"]
+    assert {m for _, m in rows(territories.detect_modules(frame_(deep)))} == {"src", *[f"src/a/b/c/d/e/f/g/h/i/x{i}" for i in range(3)]}
+    packages = spark.createDataFrame([("p",), ("q",)], "directory string")
+    two = [f"p/{d}/f{i}.ts" for d in "ab" for i in range(20)] + ["q/x.ts"]
+    assert {m for _, m in rows(territories.detect_modules(frame_(two), packages))} == {"p", "q"}
+    only = [f"p/{d}/f{i}.ts" for d in "ab" for i in range(20)] + ["q/x.test.ts"]
+    assert {m for _, m in rows(territories.detect_modules(frame_(only), packages))} == {"p/a", "p/b", "q"}
+    assert rows(territories.detect_modules(frame_([]))) == []
 
 
 def test_reverts_and_duplicates(spark):

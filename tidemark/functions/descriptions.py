@@ -11,8 +11,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Longest text that is looked at, and longest description.
-READ, LONGEST = 200_000, 200
+#: Longest description.
+LONGEST = 200
 
 _CODE = re.compile(r"^(```|~~~).*?^\1[^\n]*$", re.MULTILINE | re.DOTALL)
 _IMAGE = re.compile(r"!\[[^\]\n]{0,300}\](?:\([^()\n]{0,2000}\)|\[[^\]\n]{0,300}\])")
@@ -34,7 +34,7 @@ def readme_sentence(text: str | None) -> str | None:
     """First sentence of the first paragraph that is no heading, list, quote, table, image or code."""
     if not text:
         return None
-    text = _TAG.sub(" ", _CODE.sub("", text[:READ].replace("\r\n", "\n")))
+    text = _TAG.sub(" ", _CODE.sub("", text.replace("\r\n", "\n")))
     text = _LINK.sub(r"\1", _IMAGE.sub("", text))
     for paragraph in re.split(r"\n[ \t]*\n", text):
         lines = [line for line in paragraph.split("\n") if not _SKIPPED.match(line)]
@@ -56,7 +56,7 @@ def json_description(text: str | None) -> str | None:
 def toml_description(text: str | None) -> str | None:
     """Of a project, package, workspace package or poetry table."""
     try:
-        value = tomllib.loads((text or "")[:READ])
+        value = tomllib.loads(text or "")
     except (tomllib.TOMLDecodeError, RecursionError):
         return None
     tables = [value.get("project"), value.get("package"), (value.get("tool") or {}).get("poetry") if isinstance(value.get("tool"), dict) else None]
@@ -71,7 +71,7 @@ def pom_description(text: str | None) -> str | None:
     if not text or "<!ENTITY" in text or "<!DOCTYPE" in text:
         return None
     try:
-        root = xml.fromstring(text[:READ])
+        root = xml.fromstring(text)
     except xml.ParseError:
         return None
     for child in root:

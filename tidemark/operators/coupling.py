@@ -96,9 +96,20 @@ def area_pairs(touched: DataFrame) -> DataFrame:
     return named_pairs(pair_counts(used), used)
 
 
+def ranked_touched(history: History) -> DataFrame:
+    """``change_id, area``: the ranked areas of every counted change, once; see :func:`tidemark.operators.modules.cohesion`.
+
+    The others stay out of comparisons between areas: a handful of changes makes any share large, and tests go with everything.
+    """
+    from tidemark.operators.modules import cohesion
+
+    ranked = cohesion(history).where("ranked").select("area")
+    return history.touched().select("change_id", "area").distinct().join(ranked, "area", "left_semi").select("change_id", "area")
+
+
 def module_couplings(history: History, min_shared: int = MIN_SHARED, top: int = 200) -> DataFrame:
-    """``a, b, shared, share``: the strongest pairs of modules; share of the less changed one's changes."""
-    pairs = area_pairs(history.touched()).where(F.col("shared") >= min_shared)
+    """``a, b, shared, share``: the strongest pairs of ranked modules; share of the less changed one's changes."""
+    pairs = area_pairs(ranked_touched(history)).where(F.col("shared") >= min_shared)
     exact = F.col("shared") / F.least("changes_a", "changes_b")
     return pairs.select("a", "b", "shared", exact.alias("exact")).orderBy(F.desc("exact"), F.desc("shared"), "a", "b").limit(top).select("a", "b", "shared", rounded("exact").alias("share"))
 
@@ -113,8 +124,9 @@ def strongest_partner(touched: DataFrame, min_shared: int = MIN_SHARED) -> DataF
 def distant_couplings(history: History, imports: DataFrame, min_shared: int = MIN_SHARED, min_degree: float = MIN_DEGREE, top: int = 50) -> DataFrame:
     """``a, b, shared, degree, reach, hidden, score``: couplings across modules or far apart in one, best first.
 
-    score = degree * reach * (1.5 if no import links them) * min(1, shared / 10); reach is
-    1 + log2(1 + module hops) across modules, else the distance over the largest of all. Tests
+    score = degree * reach * (1.5 if no import links them) * min(1, shared / 10), of the rounded
+    degree; reach is 1 + log2(1 + module hops) across modules, else the distance over the largest
+    of all. Equal scores go by degree, shared changes and path. Tests
     and pairs of two contracts are left out. ``imports``: a, b, relation; a relation that is
     missing or null is unknown, which is not hidden.
     """
@@ -126,15 +138,16 @@ def distant_couplings(history: History, imports: DataFrame, min_shared: int = MI
         rows = rows.join(areas.select(F.col("item").alias(x), F.col("area").alias(f"area_{x}")), x, "left")
     rows = rows.join(imports.select("a", "b", "relation"), ["a", "b"], "left")
     rows = rows.where(F.col("crosses_module") | (F.col("distance") >= LOCAL_DISTANCE))
-    widest = rows.select(F.max("distance")).scalar()
-    probe = lambda x: F.concat(F.coalesce(F.col(x), F.lit(ROOT)), F.lit("/_"))
+    widest = rows.select(F.greatest(F.max("distance"), F.lit(1))).scalar()
+    # a file in the module's directory; the root's directory is no step of its own
+    probe = lambda x: F.when(F.coalesce(F.col(x), F.lit(ROOT)) == ROOT, "_").otherwise(F.concat(x, F.lit("/_")))
     hops = directory_distance(probe("area_a"), probe("area_b"))
     reach = F.when(F.col("crosses_module"), 1 + F.log2(1 + hops)).otherwise(F.col("distance") / widest)
     hidden = F.coalesce(F.col("relation") == "none", F.lit(False))
     rows = rows.withColumn("reach", reach).withColumn("hidden", hidden)
     score = F.col("degree") * F.col("reach") * F.when(F.col("hidden"), HIDDEN_BOOST).otherwise(1.0) * F.least(F.lit(1.0), F.col("shared") / FULL_EVIDENCE)
-    ranked = rows.withColumn("exact", score).orderBy(F.desc("exact"), "a", "b").limit(top)
-    return ranked.select("a", "b", "shared", "degree", rounded("reach").alias("reach"), "hidden", rounded("exact").alias("score"))
+    ranked = rows.withColumn("score", rounded(score)).orderBy(F.desc("score"), F.desc("degree"), F.desc("shared"), "a", "b").limit(top)
+    return ranked.select("a", "b", "shared", "degree", rounded("reach").alias("reach"), "hidden", "score")
 
 
 def crossing_pairs(history: History, min_shared: int = MIN_SHARED, min_degree: float = MIN_DEGREE) -> DataFrame:
@@ -147,11 +160,11 @@ def crossing_pairs(history: History, min_shared: int = MIN_SHARED, min_degree: f
 
 
 def territory_pairs(history: History, hottest: int = 24, min_shared: int = MIN_SHARED) -> DataFrame:
-    """``a, b, shared, share``: pairs among the areas of most production heat, ties to the smaller name."""
+    """``a, b, shared, share``: pairs of ranked areas among those of most production heat, ties to the smaller name."""
     from tidemark.operators.hotspots import item_heat
 
     hot = item_heat(history).groupBy(F.col("module").alias("area")).agg(F.sum("production_heat").alias("heat")).orderBy(F.desc("heat"), "area").limit(hottest)
-    pairs = area_pairs(history.touched()).where(F.col("shared") >= min_shared)
+    pairs = area_pairs(ranked_touched(history)).where(F.col("shared") >= min_shared)
     for x in ("a", "b"):
         pairs = pairs.join(hot.select(F.col("area").alias(x)), x, "left_semi")
     return pairs.select("a", "b", "shared", rounded(F.col("shared") / F.least("changes_a", "changes_b")).alias("share"))

@@ -147,7 +147,7 @@ def hidden_couplings(history: History, limits: Limits = Limits()) -> DataFrame:
 
 def hub_findings(history: History, edges: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Unstable interfaces: heat of their dependents times the share of dependents that change along."""
-    hubs = modules.unstable_interfaces(history, edges)
+    hubs = durable(modules.unstable_interfaces(history, edges).drop("changes", "dependents"))
     links = modules.together(history, edges.where("src <> dst").select("src", "dst").distinct())
     changes = history.used().groupBy(F.col("item").alias("src")).agg(F.count(F.lit(1)).alias("n"))
     h = _heat_shares(history).select(F.col("path").alias("src"), "h")
@@ -159,7 +159,7 @@ def clique_findings(history: History, min_share: float = 0.3, limits: Limits = L
     """Groups of modules that change together pair by pair: heat times the weakest share times the evidence."""
     from tidemark.operators.graph import area_cliques
 
-    pairs = coupling.area_pairs(history.touched())
+    pairs = coupling.area_pairs(coupling.ranked_touched(history))
     groups = area_cliques(pairs, min_share=min_share).withColumn("subject", F.array_join("members", " + "))
     heat = _heat_shares(history).groupBy(F.col("module").alias("member")).agg(F.sum("h").alias("h"))
     members = groups.select("subject", F.explode("members").alias("member"))

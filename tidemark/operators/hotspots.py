@@ -141,16 +141,19 @@ def active_slices(history: History) -> DataFrame:
 def heat_kinds(history: History) -> DataFrame:
     """``path, first, active, hot, kind``: chronic, acute or other, over the active slices from a file's first change on.
 
-    chronic: of at least three earlier slices (all but the last two) half were hot, and half of
-    all. acute: hot in both of the last two, with an earlier slice, and not hot in half of the
-    earlier. Slices are few and known, so their numbers go along as an array.
+    The series runs from its first to its last slice, and its last two are now, active or not; only
+    active ones count. chronic: of at least three earlier slices that count half were hot, and half of
+    all that count. acute: hot in both of the last two, with an earlier active slice, and not hot in half of the
+    earlier ones. Slices are few and known, so their numbers go along as an array.
     """
-    slices = active_slices(history).where("active").agg(F.sort_array(F.collect_list("slice")).alias("slices")).scalar()
+    series = active_slices(history)
+    slices = series.where("active").agg(F.sort_array(F.collect_list("slice")).alias("slices")).scalar()
+    newest = history.change_facts().agg(F.max("slice")).scalar()
     touched = slice_scores(history).groupBy("path").agg(F.min("slice").alias("first"))
     hot = hot_items(history).groupBy("path").agg(F.collect_set("slice").alias("hot"))
-    rows = touched.join(hot, "path", "left").withColumn("all", slices)
+    rows = touched.join(hot, "path", "left").withColumn("all", F.coalesce(slices, F.array().cast("array<int>"))).withColumn("newest", newest)
     rows = rows.withColumn("counting", F.filter("all", lambda s: s >= F.col("first")))
-    last = F.slice(F.col("all"), F.greatest(F.size("all") - 1, F.lit(1)), 2)
+    last = F.filter("all", lambda s: s >= F.col("newest") - 1)
     rows = rows.withColumn("last", last).withColumn("earlier", F.array_except("counting", "last"))
     none = F.array().cast("array<int>")
     rows = rows.withColumn("hot", F.coalesce("hot", none))

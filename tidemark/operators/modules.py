@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import rounded, share
 from tidemark.functions.paths import directory_of, is_config, is_test, matches_any, name_of
-from tidemark.operators.coupling import MIN_DEGREE, MIN_SHARED, all_pairs, area_pairs, directed, strong_pairs
-from tidemark.operators.history import History
+from tidemark.operators.coupling import MIN_DEGREE, MIN_SHARED, area_pairs, directed, strong_pairs
+from tidemark.operators.history import ROOT, History
+from tidemark.operators.skew import salted_join
 from tidemark.session import durable
 
 MODULE_FLOOR, MODULE_SHARE = 5, 0.01
@@ -49,7 +50,7 @@ def module_partners(history: History, top: int = 5, min_shared: int = MIN_SHARED
     return best.groupBy(F.col("item").alias("area")).agg(F.transform(listed, lambda x: F.struct(x["partner"].alias("partner"), x["shared"].alias("shared"))).alias("partners"))
 
 
-def _radius_rows(history: History) -> DataFrame:
+def radius_rows(history: History) -> DataFrame:
     """``change_id, area``: distinct areas a counted change touches, areas of tests only left out."""
     only = history.areas().groupBy("area").agg(F.min("test").alias("only")).where("only").select("area")
     return history.touched().join(only, "area", "left_anti").select("change_id", "area").distinct()
@@ -57,7 +58,7 @@ def _radius_rows(history: History) -> DataFrame:
 
 def change_radius(history: History) -> DataFrame:
     """One row ``measured, median, p90, local``: areas per change, by nearest rank; changes without any are not measured."""
-    n = _radius_rows(history).groupBy("change_id").agg(F.count(F.lit(1)).alias("n"))
+    n = radius_rows(history).groupBy("change_id").agg(F.count(F.lit(1)).alias("n"))
     return n.agg(
         F.count(F.lit(1)).alias("measured"),
         F.expr("cast(percentile_disc(0.5) WITHIN GROUP (ORDER BY n) AS bigint)").alias("median"),
@@ -68,7 +69,7 @@ def change_radius(history: History) -> DataFrame:
 
 def area_radius(history: History) -> DataFrame:
     """``area, changes, median``: areas per change, over the changes that touch the area."""
-    rows = _radius_rows(history)
+    rows = radius_rows(history)
     n = rows.groupBy("change_id").agg(F.count(F.lit(1)).alias("n"))
     return rows.join(n, "change_id").groupBy("area").agg(F.count(F.lit(1)).alias("changes"), F.expr("cast(percentile_disc(0.5) WITHIN GROUP (ORDER BY n) AS bigint)").alias("median"))
 
@@ -168,74 +169,125 @@ def propagation_cost(history: History, depth: int = DEPTH, min_changes: int = 3,
     return out.select("nodes", "edges", rounded(exact).alias("cost"))
 
 
-def together(history: History, edges: DataFrame) -> DataFrame:
-    """``src, dst, together``: counted changes that hold both ends of each directed edge, 0 included.
+def changed_along(history: History, edges: DataFrame) -> DataFrame:
+    """``src, dst, change_id``: the counted changes that hold both ends of each directed edge, once.
 
-    Looked up in the pair counts, which are built per change: joining the edges with the
-    changes of their ends would multiply a frequent file's edges by its changes.
+    Pairs are listed per change, of the files that are an end of some edge only: joining the
+    edges with the changes of their ends would multiply a frequent file's edges by its changes.
     """
-    pairs = all_pairs(history).select("a", "b", F.col("shared").alias("together"))
-    rows = edges.withColumn("a", F.least("src", "dst")).withColumn("b", F.greatest("src", "dst")).join(pairs, ["a", "b"], "left")
-    return rows.select("src", "dst", F.coalesce("together", F.lit(0)).alias("together"))
+    edges = edges.where("src <> dst").select("src", "dst").distinct()
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("item")).distinct()
+    used = salted_join(history.used(), ends, "item", "change_id")
+    lists = used.groupBy("change_id").agg(F.array_sort(F.collect_list("item")).alias("items")).where(F.size("items") > 1)
+    heads = lists.select("change_id", "items", F.posexplode("items").alias("i", "a")).where(F.col("i") + 1 < F.size("items"))
+    pairs = heads.select("change_id", "a", F.explode(F.slice("items", F.col("i") + 2, F.size("items") - F.col("i") - 1)).alias("b"))
+    sides = edges.withColumn("a", F.least("src", "dst")).withColumn("b", F.greatest("src", "dst"))
+    return pairs.join(sides, ["a", "b"]).select("src", "dst", "change_id")
+
+
+def together(history: History, edges: DataFrame) -> DataFrame:
+    """``src, dst, together``: how many counted changes hold both ends of each directed edge; edges without any are left out."""
+    return changed_along(history, edges).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("together"))
 
 
 def dependency_direction(history: History, edges: DataFrame, volatility: float = VOLATILITY, top: int = 50) -> DataFrame:
-    """``src, dst, changes_src, changes_dst, together, ratio, rank``: imports of something that changes far more often.
+    """``from, to, imports, changes_from, changes_to, together, ratio, rank``: modules that import something that changes far more often.
 
-    Modules: dst must have the module floor of changes and ``volatility`` times those of src.
+    imports: importing files. together: counted changes in which an importing file changed with
+    a file that it imports. ``to`` must have the module floor of changes and ``volatility`` times
+    those of ``from``, which may be none. Tests and areas of tests only are left out. Best rank first, then
+    more importing files, then the names.
     """
     owner = history.areas()
-    rows = edges.join(owner.select(F.col("item").alias("src"), F.col("area").alias("from")), "src").join(owner.select(F.col("item").alias("dst"), F.col("area").alias("to")), "dst").where(F.col("from") != F.col("to"))
+    tests = owner.groupBy("area").agg(F.min("test").alias("only")).where("only").select("area")
+    owner = owner.join(tests, "area", "left_anti")
+    src = owner.where(~F.col("test")).select(F.col("item").alias("src"), F.col("area").alias("from"))
+    dst = owner.select(F.col("item").alias("dst"), F.col("area").alias("to"))
+    rows = edges.select("src", "dst").distinct().join(src, "src").join(dst, "dst").where(F.col("from") != F.col("to"))
+    felt = changed_along(history, rows).join(rows, ["src", "dst"]).select("from", "to", "change_id").distinct()
+    felt = felt.groupBy("from", "to").agg(F.count(F.lit(1)).alias("together"))
     tally = area_tally(history.touched())
-    pairs = area_pairs(history.touched())
-    both = directed(pairs).select(F.col("item").alias("from"), F.col("partner").alias("to"), F.col("shared").alias("together"))
-    links = rows.groupBy("from", "to").agg(F.count(F.lit(1)).alias("imports"))
-    links = links.join(tally.select(F.col("area").alias("from"), F.col("changes").alias("changes_from")), "from").join(tally.select(F.col("area").alias("to"), F.col("changes").alias("changes_to")), "to")
-    links = links.join(both, ["from", "to"], "left").fillna(0, ["together"])
+    links = rows.groupBy("from", "to").agg(F.count_distinct("src").alias("imports"))
+    links = links.join(tally.select(F.col("area").alias("from"), F.col("changes").alias("changes_from")), "from", "left")
+    links = links.join(tally.select(F.col("area").alias("to"), F.col("changes").alias("changes_to")), "to")
+    links = links.join(felt, ["from", "to"], "left").fillna(0, ["together", "changes_from"])
     floor = module_floor(history).select("floor").scalar()
     links = links.where((F.col("changes_to") >= floor) & (F.col("changes_to") >= volatility * F.col("changes_from")))
     links = links.withColumn("ratio", rounded(F.col("changes_to") / F.greatest(F.lit(1), F.col("changes_from"))))
-    links = links.withColumn("exact", F.log2("ratio") * F.log2(1 + F.col("together"))).orderBy(F.desc("exact"), "from", "to").limit(top)
+    links = links.withColumn("exact", F.log2("ratio") * F.log2(1 + F.col("together"))).orderBy(F.desc("exact"), F.desc("imports"), "from", "to").limit(top)
     return links.select("from", "to", "imports", "changes_from", "changes_to", "together", "ratio", rounded("exact").alias("rank"))
 
 
-def unstable_interfaces(history: History, edges: DataFrame, fan_in: int = FAN_IN, least: int = INTERFACE_CHANGES, top: int = 50) -> DataFrame:
-    """``item, fan_in, changes, changed_dependents``: files that many import and that change more than their importers.
+def unstable_interfaces(history: History, edges: DataFrame, fan_in: int = FAN_IN, least: int = INTERFACE_CHANGES, top: int = 50, shown: int = 5) -> DataFrame:
+    """``item, module, fan_in, changes, typical, changed_dependents, dependents``: files that many import and that change more than their importers.
 
-    changes must exceed the floor of the median of the dependents' changes; tests are left out.
-    A dependent is changed if it shares a counted change with the item.
+    changes: logical changes of any size; they must exceed typical, the floor of the median over the
+    importers. Tests import nothing here and are no interfaces. A dependent is changed if it
+    shares a counted change with the item; dependents: the ``shown`` that share most, with how many.
     """
-    links = edges.where("src <> dst").select("src", "dst").distinct()
-    changes = history.used().groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    rows = together(history, links).join(changes.withColumnRenamed("item", "src"), "src", "left").fillna(0, ["n"])
-    hubs = rows.groupBy("dst").agg(F.count(F.lit(1)).alias("fan_in"), F.floor(F.median("n")).alias("typical"), F.count_if(F.col("together") > 0).alias("changed_dependents"))
+    links = edges.where("src <> dst").select("src", "dst").distinct().where(~is_test(F.col("src")) & ~is_test(F.col("dst")))
+    changes = history.held().groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    rows = links.join(changes.select(F.col("item").alias("src"), "n"), "src", "left").fillna(0, ["n"])
+    hubs = rows.groupBy("dst").agg(F.count(F.lit(1)).alias("fan_in"), F.floor(F.median("n")).alias("typical"))
     hubs = hubs.join(changes.select(F.col("item").alias("dst"), F.col("n").alias("changes")), "dst")
-    hubs = hubs.where((F.col("fan_in") >= fan_in) & (F.col("changes") >= least) & (F.col("changes") > F.col("typical")) & ~is_test(F.col("dst")))
-    return hubs.select(F.col("dst").alias("item"), "fan_in", "changes", "changed_dependents").orderBy(F.desc("changed_dependents"), F.desc("changes"), F.desc("fan_in"), "item").limit(top)
-
-
-def verdict(history: History, holds: float = 0.75, min_coverage: float = 0.5, mixed: float = 0.2, strained: float = 0.5) -> DataFrame:
-    """One row ``judged, coverage, leak_share, level``: how much of the heat lies in modules whose boundary leaks.
-
-    A module below the floor is not judged; above ``holds`` containment it holds, else it leaks
-    if it has a partner. Levels by rounded shares: unknown, holds, mixed, strained.
+    hubs = hubs.where((F.col("fan_in") >= fan_in) & (F.col("changes") >= least) & (F.col("changes") > F.col("typical")))
+    mine = links.join(hubs.select("dst"), "dst", "left_semi")
+    shared = changed_along(history, mine).groupBy("dst", "src").agg(F.count(F.lit(1)).alias("k"))
+    place = F.row_number().over(Window.partitionBy("dst").orderBy(F.desc("k"), "src"))
+    counts = shared.groupBy("dst").agg(F.count(F.lit(1)).alias("changed_dependents"))
+    best = shared.withColumn("place", place).where(F.col("place") <= shown)
+    best = best.groupBy("dst").agg(F.sort_array(F.collect_list(F.struct("place", F.col("src").alias("item"), F.col("k").alias("shared")))).alias("d"))
+    hubs = hubs.join(counts, "dst", "left").join(best, "dst", "left").fillna(0, ["changed_dependents"])
+    hubs = hubs.join(history.areas().select(F.col("item").alias("dst"), F.col("area").alias("module")), "dst", "left")
+    shown_ = F.transform(F.coalesce("d", F.array().cast("array<struct<place:int,item:string,shared:bigint>>")), lambda x: F.struct(x["item"].alias("item"), x["shared"].alias("shared")))
+    rows = hubs.select(F.col("dst").alias("item"), F.coalesce("module", F.lit(ROOT)).alias("module"), "fan_in", "changes", "typical", "changed_dependents", shown_.alias("dependents"))
+    return rows.orderBy(F.desc("changed_dependents"), F.desc("changes"), F.desc("fan_in"), "item").limit(top)
+
+
+#: A design that erodes is judged one level worse.
+WORSE = {"holds": "mixed", "mixed": "strained", "strained": "strained", "unknown": "unknown"}
+
+
+def standings(history: History, holds: float = 0.75) -> DataFrame:
+    """``area, heat_share, state``: whether each real module holds or leaks, or is unjudged.
+
+    heat_share: rounded part of all production heat, that of the root area and of areas of tests only included in
+    the whole. Below the module floor or without a counted change an area is unjudged; above ``holds``
+    containment it holds, else it leaks if it has a partner and is unjudged without one.
     """
     from tidemark.operators.coupling import strongest_partner
     from tidemark.operators.hotspots import item_heat
 
-    heat = item_heat(history).groupBy(F.col("module").alias("area")).agg(F.sum("heat").alias("heat"))
-    rows = cohesion(history).where(~F.col("test_only")).join(heat, "area", "left").fillna(0, ["heat"])
+    heat = item_heat(history).groupBy(F.col("module").alias("area")).agg(F.sum("production_heat").alias("heat"))
+    total = heat.agg(F.sum("heat")).scalar()
+    rows = cohesion(history).where(~F.col("test_only") & (F.col("area") != ROOT)).join(heat, "area", "left")
     rows = rows.join(strongest_partner(history.touched()).select("area", F.lit(True).alias("paired")), "area", "left")
     floor = module_floor(history).select("floor").scalar()
     exact = share("local", "changes")
     state = F.when(exact.isNull() | (F.col("changes") < floor), "unjudged").when(exact > holds, "holds").when(F.col("paired"), "leaks").otherwise("unjudged")
-    rows = rows.withColumn("state", state)
-    total = rows.agg(
-        F.count_if(F.col("state") != "unjudged").alias("judged"),
-        F.sum("heat").alias("all"),
-        F.coalesce(F.sum(F.when(F.col("state") != "unjudged", F.col("heat"))), F.lit(0)).alias("seen"),
-        F.coalesce(F.sum(F.when(F.col("state") == "leaks", F.col("heat"))), F.lit(0)).alias("leaking"),
-    )
-    coverage, leak = rounded(share("seen", "all")), rounded(share("leaking", "seen"))
-    level = F.when(F.col("coverage").isNull() | (F.col("coverage") < min_coverage) | F.col("leak_share").isNull(), "unknown").when(F.col("leak_share") < mixed, "holds").when(F.col("leak_share") < strained, "mixed").otherwise("strained")
-    return total.select("judged", coverage.alias("coverage"), leak.alias("leak_share")).withColumn("level", level)
+    return rows.select("area", F.coalesce(rounded(share(F.coalesce("heat", F.lit(0)), total)), F.lit(0.0)).alias("heat_share"), state.alias("state"))
+
+
+def verdict(history: History, holds: float = 0.75, min_coverage: float = 0.5, mixed: float = 0.2, strained: float = 0.5, areas: DataFrame | None = None) -> DataFrame:
+    """One row ``level, reason, leak_share, coverage, eroding, judged, leaking``: whether the design holds up to the way the code changes.
+
+    ``areas``: area, heat_share, state, of modules (:func:`standings`) unless others are given.
+    Shares are parts of **all** heat, at most 1, and levels follow from them as rounded: unknown below
+    ``min_coverage`` judged heat, else holds, mixed from ``mixed`` and strained from ``strained`` leaking heat on;
+    one level worse if the history erodes. judged and leaking: names, hottest first.
+    reason, where the level is unknown: no-territories, quiet-window (no counted change) or too-little-evidence.
+    """
+    from tidemark.operators.trends import repository_erosion
+
+    rows = areas if areas is not None else standings(history, holds)
+    judged, leaking = F.col("state") != "unjudged", F.col("state") == "leaks"
+    listed = lambda which: F.transform(F.sort_array(F.collect_list(F.when(which, F.struct(-F.col("heat_share"), "area")))), lambda x: x["area"])
+    part = lambda which: rounded(F.least(F.lit(1.0), F.coalesce(F.sum(F.when(which, F.col("heat_share"))), F.lit(0.0))))
+    total = rows.agg(F.count(F.lit(1)).alias("n"), listed(judged).alias("judged"), listed(leaking).alias("leaking"), part(judged).alias("coverage"), part(leaking).alias("leak_share"))
+    total = total.withColumn("eroding", F.coalesce(repository_erosion(history).select(F.col("verdict") == "eroding").scalar(), F.lit(False)))
+    changed = history.counted().agg(F.count(F.lit(1))).scalar()
+    base = F.when((F.size("judged") == 0) | (F.col("coverage") < min_coverage), "unknown").when(F.col("leak_share") < mixed, "holds").when(F.col("leak_share") < strained, "mixed").otherwise("strained")
+    worse = F.create_map(*[F.lit(x) for pair in WORSE.items() for x in pair])
+    total = total.withColumn("base", base).withColumn("level", F.when(F.col("eroding"), F.element_at(worse, F.col("base"))).otherwise(F.col("base")))
+    reason = F.when(F.col("level") == "unknown", F.when(F.col("n") == 0, "no-territories").when(changed == 0, "quiet-window").otherwise("too-little-evidence"))
+    return total.select("level", reason.alias("reason"), "leak_share", "coverage", "eroding", "judged", "leaking")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.paths import ancestors_of, directory_of
 from tidemark.operators.history import History
 from tidemark.operators.hotspots import item_heat
+from tidemark.session import durable
 
 DOMINANT, DOMINANT_FILES = 0.7, 20
 LEVELS, RECOMMENDED = 6, 25
@@ -18,31 +19,61 @@ TOO_BIG, INDEPENDENT, MIN_CHANGES, MIN_FOLDER = 0.4, 0.7, 8, 3
 MAX_DIRECTORIES = 200_000
 
 
-def detect_modules(files: DataFrame, homes: DataFrame | None = None, rounds: int = 8) -> DataFrame:
-    """``path, module``: the nearest package directory of each file, else its top directory; a dominant module is split.
+def split_depths(rows: DataFrame, *keys: str) -> DataFrame:
+    """``keys..., depth``: the first depth at which the paths of a group lie in two directories at least; 1 where none is.
 
-    A module that holds more than 70 % of all files, and twenty at least, is replaced by its
-    sub-directories one level down until none does; each round is one small aggregate. ``homes``: directory.
+    A path of fewer directories takes no part in a depth. A lone ``src`` is passed through.
     """
+    at = rows.select(*keys, F.posexplode(F.slice(ancestors_of(F.col("path")), 2, 1_000_000)).alias("i", "directory"))
+    wide = at.groupBy(*keys, "i").agg(F.min("directory").alias("least"), F.max("directory").alias("most")).where("least <> most")
+    first = wide.groupBy(*keys).agg(F.min("i").alias("i"))
+    every = rows.select(*keys).distinct() if keys else None
+    if every is None:
+        return first.select(F.coalesce(F.col("i") + 1, F.lit(1)).alias("depth"))
+    return every.join(first, list(keys), "left").select(*keys, F.coalesce(F.col("i") + 1, F.lit(1)).alias("depth"))
+
+
+def _by_directory(depth: Column) -> Column:
+    """The first ``depth`` directories of a path, all it has if fewer, ``.`` at the root."""
+    up = ancestors_of(F.col("path"))
+    return F.get(up, F.least(depth, F.size(up) - 1))
+
+
+def detect_modules(files: DataFrame, homes: DataFrame | None = None) -> DataFrame:
+    """``path, module``: the nearest package directory of each file, else a directory at the first depth that splits the rest.
+
+    If that makes fewer than two modules, all files are grouped by directory instead. A module of
+    more than 70 % of all files, and twenty at least, is split by directory as well, and its parts
+    again, until none is or it has no directories to split by; a package is spared if another
+    package holds code that is no test. Each round is one aggregate of a row per module or depth, and every
+    split lies deeper in the tree, so the paths' depth bounds the rounds. ``homes``: directory.
+    """
+    from tidemark.functions.paths import is_test
     from tidemark.operators.textual import nearest_ancestor
 
     rows = files.where(F.col("path").isNotNull()).select("path").distinct()
     near = nearest_ancestor(rows, homes) if homes is not None else rows.withColumn("home", F.lit(None).cast("string"))
-    up = ancestors_of(F.col("path"))
-    rows = near.select("path", F.coalesce("home", F.get(up, 1), F.lit(".")).alias("module"))
-    for _ in range(rounds):
-        top = rows.groupBy("module").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "module").limit(1).collect()
-        total = rows.count()
-        if not top or top[0]["n"] < DOMINANT_FILES or top[0]["n"] <= DOMINANT * total:
+    outside = split_depths(near.where(F.col("home").isNull()).select("path")).select("depth").scalar()
+    rows = durable(near.select("path", F.coalesce("home", _by_directory(F.coalesce(outside, F.lit(1)))).alias("module"), F.col("home").isNotNull().alias("package")))
+    if rows.select("module").distinct().limit(2).count() < 2:
+        depth = split_depths(rows.select("path")).first()
+        rows = rows.select("path", _by_directory(F.lit(depth["depth"] if depth else 1)).alias("module"), F.lit(False).alias("package"))
+    while True:
+        sizes = rows.groupBy("module", "package").agg(F.count(F.lit(1)).alias("n"), F.bool_and(is_test(F.col("path"))).alias("tests"))
+        total = sizes.agg(F.sum("n"), F.count_if(F.col("package") & ~F.col("tests"))).first()
+        top = sizes.orderBy(F.desc("n"), "module").first()
+        if top is None or top["n"] < DOMINANT_FILES or top["n"] <= DOMINANT * total[0]:
+            break
+        if top["package"] and total[1] - (not top["tests"]) > 0:
             break
-        name = top[0]["module"]
-        depth = 0 if name == "." else name.count("/") + 1
-        child = F.coalesce(F.get(up, depth + 1), F.lit(name))
-        split = rows.select("path", F.when(F.col("module") == name, child).otherwise(F.col("module")).alias("module"))
-        if split.where(F.col("module") != name).select("module").subtract(rows.select("module")).isEmpty():
+        mine = F.col("module") == top["module"]
+        depth = split_depths(rows.where(mine).select("path")).first()
+        fresh = F.when(mine, _by_directory(F.lit(depth["depth"] if depth else 1))).otherwise(F.col("module"))
+        parts = rows.where(mine).select(fresh.alias("m")).distinct().limit(2).count()
+        if parts < 2:
             break
-        rows = split
-    return rows
+        rows = durable(rows.select("path", fresh.alias("module"), (F.col("package") & ~mine).alias("package")))
+    return rows.select("path", "module")
 
 
 def directory_facts(history: History) -> DataFrame:

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import rounded
+from tidemark.functions.paths import is_test
 from tidemark.operators.graph import components
+from tidemark.operators.history import History
 
 UNIT_RANGE, FALLBACK_UNIT = (2, 8), 4
-SHINGLE, MIN_SHINGLES, SIMILARITY = 5, 20, 0.8
+#: Tokens of a shingle, shingles of a text at least, and their common part from which two coupled files are copies.
+SHINGLE, MIN_SHINGLES, SIMILARITY = 5, 20, 0.5
 MAX_BYTES, MAX_LINE = 1_048_576, 300
 
 #: Tokens of a source text: comments, strings, words, numbers, single marks. Loops are possessive, so long literals need no stack.
@@ -50,9 +53,9 @@ def complexity(text: Column) -> Column:
 
 
 def accepted(text: Column) -> Column:
-    """A source text worth measuring: not above 1 MiB, no NUL in the first 8 KiB, mean line not above 300 characters."""
+    """A source text worth measuring: not above 1 MiB, no NUL in the first 8 KiB of its bytes, mean line not above 300 characters."""
     loc = F.size(F.filter(F.split(text, "\n", -1), lambda line: line.rlike(r"\S")))
-    return (F.octet_length(text) <= MAX_BYTES) & ~F.substring(text, 1, 8192).contains("\x00") & (F.length(text) <= MAX_LINE * loc)
+    return (F.octet_length(text) <= MAX_BYTES) & (F.locate("\x00", F.substring(F.encode(text, "UTF-8"), 1, 8192).cast("string")) == 0) & (F.length(text) <= MAX_LINE * loc)
 
 
 def tokens(text: Column) -> Column:
@@ -86,7 +89,9 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY, min_shingles: int = MIN_SHINGLES) -> DataFrame:
-    """``a, b, similarity``: the given pairs of items whose texts are alike; of several texts of an item the smallest counts."""
+    """``a, b, similarity``: the given pairs of items whose texts are alike; of several texts of an item the smallest counts. A file and its own test (``test_pair``) are no copies."""
+    if "test_pair" in pairs.columns:
+        pairs = pairs.where(~F.col("test_pair"))
     sets = texts.where(F.col("item").isNotNull() & F.col("text").isNotNull()).groupBy("item").agg(F.min("text").alias("text")).select("item", shingles(tokens(F.col("text"))).alias("s")).where(F.size("s") >= min_shingles)
     rows = pairs.select("a", "b").join(sets.select(F.col("item").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("item").alias("b"), F.col("s").alias("sb")), "b")
     return rows.withColumn("exact", jaccard(F.col("sa"), F.col("sb"))).where(F.col("exact") >= least).select("a", "b", rounded("exact").alias("similarity"))
@@ -98,6 +103,36 @@ def copy_families(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY,
     return components(alike).select(F.col("node").alias("item"), F.col("component").alias("family"))
 
 
+def family_facts(families: DataFrame, texts: DataFrame, history: History) -> DataFrame:
+    """``family, files, least, most, test_only, shared, all``: facts of copy families, most important first.
+
+    least and most: similarity over all pairs of a family, linked or not, found in one task per
+    family without listing the pairs; families are copies among coupled files, so they are small. shared and all: counted
+    changes that touched two members, and every member.
+    """
+    sets = texts.join(families.select(F.col("item"), "family"), "item").where(F.col("text").isNotNull()).groupBy("family", "item").agg(F.min("text").alias("text")).select("family", "item", shingles(tokens(F.col("text"))).alias("s"))
+
+    def ranges(rows):
+        import pyarrow as pa
+
+        own = [set(s) for s in rows["s"].to_pylist()]
+        least, most = 1.0, 0.0
+        for i, a in enumerate(own):
+            for b in own[i + 1 :]:
+                both = len(a & b)
+                alike = both / ((len(a) + len(b) - both) or 1)
+                least, most = min(least, alike), max(most, alike)
+        return pa.table({"family": [rows["family"][0].as_py()], "least": [least], "most": [most]})
+
+    spread_ = sets.groupBy("family").applyInArrow(ranges, "family string, least double, most double")
+    whole = families.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("item")).alias("files"), F.bool_and(is_test(F.col("item"))).alias("test_only"))
+    changed = history.used().join(families, "item").groupBy("family", "change_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").join(whole.select("family", "n"), "family")
+    counts = changed.groupBy("family").agg(F.count(F.lit(1)).alias("shared"), F.count_if(F.col("k") == F.col("n")).alias("all"))
+    rows = whole.join(spread_, "family").join(counts, "family", "left").fillna(0, ["shared", "all"])
+    rows = rows.select("family", "files", rounded("least").alias("least"), rounded("most").alias("most"), "test_only", "shared", "all")
+    return rows.orderBy("test_only", F.desc("all"), F.desc("shared"), F.desc(F.size("files")), "family")
+
+
 def nearest_ancestor(paths: DataFrame, homes: DataFrame) -> DataFrame:
     """``path, home``: the deepest of the given directories above each path, null if there is none.
 

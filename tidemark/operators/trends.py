@@ -2,32 +2,41 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import rounded
 from tidemark.operators.history import History
-from tidemark.operators.modules import area_tally
+from tidemark.operators.modules import MODULE_FLOOR, MODULE_SHARE, area_tally
 
 TREND_POINTS, VERDICT_POINTS = 3, 5
 MIN_SHIFT, SIGMAS, ALLOWANCE, SHARE_FLOOR = 0.1, 2.0, 1.15, 0.05
-SLICE_CHANGES = 5
+SLICE_CHANGES = 10
+#: How many of the latest slices count as still changing.
+RECENT = 2
 
 
 def _slice_shares(history: History, least: int = SLICE_CHANGES) -> DataFrame:
-    slices = history.change_facts().where(F.col("slice").isNotNull()).select("change_id", "slice")
-    rows = area_tally(history.touched().join(slices, "change_id"), "slice").where(F.col("changes") >= least)
+    """Exact shares; an area counts in a slice from the module floor of that slice's counted changes on, and from ``least``."""
+    slices = history.change_facts().where(F.col("slice").isNotNull() & (F.col("size") <= history.max_size)).select("change_id", "slice")
+    floor = slices.groupBy("slice").agg(F.greatest(F.lit(least), F.lit(MODULE_FLOOR), F.ceil(F.count(F.lit(1)) * MODULE_SHARE)).cast("long").alias("floor"))
+    only = history.areas().groupBy("area").agg(F.min("test").alias("only")).where("only").select("area")
+    rows = area_tally(history.touched().join(slices, "change_id"), "slice").join(F.broadcast(floor), "slice")  # a row per slice
+    rows = rows.where(F.col("changes") >= F.col("floor")).join(only, "area", "left_anti")
     return rows.select("slice", "area", "changes", (F.col("local") / F.col("changes")).alias("share"))
 
 
 def slice_cohesion(history: History, least: int = SLICE_CHANGES) -> DataFrame:
-    """``slice, area, changes, share``: local share of each area's changes per slice, from ``least`` changes on."""
+    """``slice, area, changes, share``: local share of each area's changes per slice, where it has enough of them; no areas of tests only."""
     return _slice_shares(history, least).withColumn("share", rounded("share"))
 
 
+def _line(s: Column) -> tuple[Column, Column]:
+    """Slope and intercept of the robust line through an array of points (x, y): medians of the pairwise slopes and of y - slope x."""
+    slope = _median(F.flatten(F.transform(s, lambda p: F.transform(F.filter(s, lambda q: q["x"] > p["x"]), lambda q: (q["y"] - p["y"]) / (q["x"] - p["x"])))))
+    return slope, _median(F.transform(s, lambda p: p["y"] - slope * p["x"]))
+
+
 def theil_sen(points: DataFrame, key: str, x: str, y: str, least: int = TREND_POINTS) -> DataFrame:
     """``key, points, slope, from, to``: the robust line of each key, exact; none below ``least`` points.
 
@@ -54,48 +63,87 @@ def area_lines(history: History) -> DataFrame:
     return rows.select("area", "points", *[rounded(c).alias(c) for c in ("slope", "from", "to")])
 
 
-def line(points: list[tuple[float, float]]) -> tuple[float, float, float] | None:
-    """(slope, from, to) of a short series, None below three points."""
-    if len(points) < TREND_POINTS:
-        return None
-    median = lambda v: (sorted(v)[(len(v) - 1) // 2] + sorted(v)[len(v) // 2]) / 2
-    slope = median([(q - p) / (j - i) for i, p in points for j, q in points if j > i])
-    intercept = median([p - slope * i for i, p in points])
-    return slope, intercept + slope * points[0][0], intercept + slope * points[-1][0]
-
-
-def shift_of(points: list[tuple[float, float, float]]) -> str:
-    """eroding, improving or steady for (slice, share, changes): the line's shift must exceed its noise."""
-    fit = line([(i, v) for i, v, _ in points])
-    if fit is None:
-        return "steady"
-    total = sum(n for _, _, n in points)
-    p = min(1 - SHARE_FLOOR, max(SHARE_FLOOR, sum(v * n for _, v, n in points) / total))
-    middle = sum(i * n for i, _, n in points) / total
-    spread = sum(n / (p * (1 - p)) * (i - middle) ** 2 for i, _, n in points)
-    error = ALLOWANCE * (points[-1][0] - points[0][0]) / math.sqrt(spread) if spread > 0 else math.inf
-    shift = fit[2] - fit[1]
-    if abs(shift) < max(MIN_SHIFT, SIGMAS * error):
-        return "steady"
-    return "eroding" if shift < 0 else "improving"
-
-
-def judge(points: list[tuple[float, float, float]]) -> str:
-    """The shift, if it stands without the first and the last point as well; unknown below five points."""
-    if len(points) < VERDICT_POINTS:
-        return "unknown"
-    whole = shift_of(points)
-    return whole if whole == shift_of(points[1:]) == shift_of(points[:-1]) else "steady"
+def _moved(s: Column, slope: Column) -> Column:
+    """Whether a line's shift over the points (x, y, n) exceeds its noise: eroding, improving or holding.
+
+    A share has a binomial variance; that of a weighted line's slope is 1 / sum(w (x - mean)^2).
+    """
+    total = F.aggregate(s, F.lit(0.0), lambda t, p: t + p["n"])
+    sum_ = lambda f: F.aggregate(s, F.lit(0.0), lambda t, p: t + f(p))
+    pooled = F.least(F.lit(1 - SHARE_FLOOR), F.greatest(F.lit(SHARE_FLOOR), sum_(lambda p: p["y"] * p["n"]) / total))
+    middle = sum_(lambda p: p["x"] * p["n"]) / total
+    spread = sum_(lambda p: p["n"] * (p["x"] - middle) * (p["x"] - middle)) / (pooled * (1 - pooled))
+    span = F.element_at(s, -1)["x"] - F.element_at(s, 1)["x"]
+    needed = F.greatest(F.lit(MIN_SHIFT), SIGMAS * ALLOWANCE * span / F.sqrt(spread))
+    shift = slope * span
+    return F.when(shift <= -needed, "eroding").when(shift >= needed, "improving").otherwise("holding")
+
+
+def judged(series: DataFrame, s: str = "s") -> DataFrame:
+    """The rows with ``slope, intercept, verdict`` of their array of points (x, y, n) in order: three points at least, else null.
+
+    A fall or a rise stands only if the points without the first and the last, taken off together, say the same, which takes five.
+    """
+    points = F.col(s)
+    rows = series.withColumn("enough", F.size(points) >= TREND_POINTS)
+    slope, intercept = _line(points)
+    rows = rows.withColumn("slope", F.when(F.col("enough"), slope))
+    rows = rows.withColumn("intercept", F.when(F.col("enough"), _median(F.transform(points, lambda p: p["y"] - F.col("slope") * p["x"]))))
+    rows = rows.withColumn("inner", F.when(F.size(points) >= VERDICT_POINTS, F.slice(points, 2, F.greatest(F.size(points) - 2, F.lit(0)))))
+    rows = rows.withColumn("inner_slope", F.when(F.col("inner").isNotNull(), _line(F.col("inner"))[0]))
+    whole, within = _moved(points, F.col("slope")), _moved(F.col("inner"), F.col("inner_slope"))
+    verdict = F.when(F.col("inner").isNotNull() & (whole == within), whole).otherwise("holding")
+    return rows.withColumn("verdict", F.when(F.col("enough"), verdict)).drop("enough", "inner", "inner_slope")
+
+
+def _series(rows: DataFrame, *keys: str) -> DataFrame:
+    point = F.struct(F.col("slice").cast("double").alias("x"), F.col("share").alias("y"), F.col("changes").cast("double").alias("n"))
+    return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(point)).alias("s"))
 
 
 def erosion(history: History) -> DataFrame:
-    """``area, points, state``: eroding, improving, steady or unknown; a series of slices per area goes to one call."""
+    """``area, windows, from, to, verdict, recent``: how each area's cohesion moved over the slices; none below three of them.
+
+    verdict: eroding, improving or holding, see :func:`judged`. recent: the area has evidence in
+    one of the last two slices of the series. Everything is computed in arrays of at most a point a slice.
+    """
+    newest = history.change_facts().agg(F.max("slice")).scalar()
+    rows = judged(_series(_slice_shares(history), "area").where(F.size("s") >= TREND_POINTS))
+    at = lambda i: F.col("intercept") + F.col("slope") * F.element_at("s", i)["x"]
+    return rows.select("area", F.size("s").cast("long").alias("windows"), rounded(at(1)).alias("from"), rounded(at(-1)).alias("to"), "verdict", (F.element_at("s", -1)["x"] > newest - RECENT).alias("recent"))
+
 
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        points = sorted(zip(rows["slice"].astype(float), rows["share"], rows["changes"].astype(float), strict=True))
-        return pd.DataFrame({"area": [key[0]], "points": [len(points)], "state": [judge(points)]})
+def slice_measures(history: History) -> DataFrame:
+    """``slice, changes, active, measured, median, p90, local``: counted changes of each slice and their radius; see :func:`tidemark.operators.modules.change_radius`."""
+    from tidemark.operators.hotspots import active_slices
+    from tidemark.operators.modules import radius_rows
 
-    return _slice_shares(history).groupBy("area").applyInPandas(one, "area string, points long, state string")
+    facts = history.change_facts().where(F.col("slice").isNotNull()).select("change_id", "slice")
+    n = radius_rows(history).groupBy("change_id").agg(F.count(F.lit(1)).alias("n")).join(facts, "change_id")
+    radius = n.groupBy("slice").agg(
+        F.count(F.lit(1)).alias("measured"),
+        F.expr("cast(percentile_disc(0.5) WITHIN GROUP (ORDER BY n) AS bigint)").alias("median"),
+        F.expr("cast(percentile_disc(0.9) WITHIN GROUP (ORDER BY n) AS bigint)").alias("p90"),
+        rounded(F.avg(F.when(F.col("n") == 1, 1.0).otherwise(0.0))).alias("local"),
+    )
+    return active_slices(history).join(radius, "slice", "left").select("slice", "changes", "active", F.coalesce("measured", F.lit(0)).alias("measured"), "median", "p90", "local")
+
+
+def repository_erosion(history: History) -> DataFrame:
+    """``windows, from, to, verdict, inactive_since``: one row, whether changes stay local as often as they used to.
+
+    Judged over the active slices that have a radius; unknown below three of them. inactive_since:
+    the first slice of the quiet end of the series, null if its last slice is active. No row without any slice.
+    """
+    slices = slice_measures(history)
+    points = slices.where("active and local is not null").select("slice", F.col("local").alias("share"), F.col("measured").alias("changes"))
+    ends = {"newest": F.max("slice"), "last": F.max(F.when(F.col("active"), F.col("slice"))), "first": F.min("slice")}
+    # the series of the whole history is one row of at most a point a slice
+    series = points.agg(F.sort_array(F.collect_list(F.struct(F.col("slice").cast("double").alias("x"), F.col("share").alias("y"), F.col("changes").cast("double").alias("n")))).alias("s"))
+    rows = judged(series).withColumns({name: slices.agg(c).scalar() for name, c in ends.items()}).where("newest is not null")
+    at = lambda i: F.when(F.col("slope").isNotNull(), rounded(F.col("intercept") + F.col("slope") * F.try_element_at("s", F.lit(i))["x"]))
+    quiet = F.when(F.col("last").isNull(), F.col("first")).when(F.col("last") < F.col("newest"), F.col("last") + 1)
+    return rows.select(F.size("s").cast("long").alias("windows"), at(1).alias("from"), at(-1).alias("to"), F.coalesce("verdict", F.lit("unknown")).alias("verdict"), quiet.cast("long").alias("inactive_since"))
 
 
 def module_trends(history: History, before: str = "before", now: str = "current") -> DataFrame:

@@ -44,6 +44,16 @@ def _without(spark: SparkSession, folder: str) -> DataFrame:
     return coupling.breadth(coupling.without_items(history, coupling.ubiquitous(history)))
 
 
+def _unstable(spark: SparkSession, folder: str) -> DataFrame:
+    rows = modules.unstable_interfaces(history_of(spark, folder), import_edges(spark, folder), fan_in=2)
+    return rows.withColumn("dependents", F.array_join(F.transform("dependents", lambda x: F.concat_ws(" ", x["item"], x["shared"])), "; "))
+
+
+def _verdict(spark: SparkSession, folder: str) -> DataFrame:
+    rows = modules.verdict(history_of(spark, folder))
+    return rows.withColumn("judged", F.array_join("judged", " ")).withColumn("leaking", F.array_join("leaking", " "))
+
+
 QUERIES = {
     "counted_changes": lambda spark, folder: history_of(spark, folder).counted(),
     "change_facts": lambda spark, folder: history_of(spark, folder).change_facts(),
@@ -68,8 +78,9 @@ QUERIES = {
     "territory_pairs": _plain(coupling.territory_pairs),
     "propagation_cost": _plain(modules.propagation_cost),
     "dependency_direction": lambda spark, folder: modules.dependency_direction(history_of(spark, folder), import_edges(spark, folder), volatility=1.1),
-    "unstable_interfaces": lambda spark, folder: modules.unstable_interfaces(history_of(spark, folder), import_edges(spark, folder), fan_in=2),
-    "verdict": _plain(modules.verdict),
+    "unstable_interfaces": _unstable,
+    "verdict": _verdict,
+    "module_standings": _plain(modules.standings),
     "hotspot_score": lambda spark, folder: hotspots.hotspot_scores(history_of(spark, folder)).select("path", F.round("score", 6).alias("score")),
     "hotspots": _plain(hotspots.hotspots),
     "competition_ranks": _plain(hotspots.module_ranks),
@@ -87,6 +98,8 @@ QUERIES = {
     "slice_cohesion": _plain(trends.slice_cohesion),
     "theil_sen": _plain(trends.area_lines),
     "erosion_verdict": _plain(trends.erosion),
+    "repository_erosion": _plain(trends.repository_erosion),
+    "slice_measures": _plain(trends.slice_measures),
     "trend_modules": _plain(trends.module_trends),
 }
 
@@ -125,8 +138,10 @@ area_pairs AS (
   JOIN area_n x ON x.area = a JOIN area_n y ON y.area = b),
 area_directed AS (SELECT a AS area, b AS partner, shared FROM area_pairs UNION ALL SELECT b, a, shared FROM area_pairs),
 spans AS (SELECT change_id, count(*) AS areas FROM area_used GROUP BY 1),
+tests_only AS (SELECT module AS area FROM facts GROUP BY 1 HAVING bool_and(test)),
 tally AS (SELECT area, count(*) AS changes, count(*) FILTER (areas = 1) AS local FROM area_used JOIN spans USING (change_id) GROUP BY 1),
 floors AS (SELECT count(*) AS counted, greatest(5, ceil(count(*) * 0.01))::BIGINT AS floor FROM counted),
+ranked AS (SELECT area FROM tally, floors WHERE changes >= floor AND area IN (SELECT module FROM facts) AND area NOT IN (SELECT area FROM tests_only)),
 scored AS (
   SELECT *, CASE WHEN max(revisions) OVER () > 0 THEN ln(1 + revisions) / ln(1 + max(revisions) OVER ()) ELSE 0 END
     * CASE WHEN max(bulk) OVER () > 0 THEN ln(1 + bulk) / ln(1 + max(bulk) OVER ()) ELSE 0 END AS score
@@ -136,6 +151,8 @@ heats AS (SELECT path, module, test, changes * bulk AS heat, CASE WHEN test THEN
 edges AS (
   SELECT path AS src, partner AS dst FROM partners WHERE imports IN ('file→partner', 'both') AND path IS NOT NULL AND partner IS NOT NULL
   UNION SELECT partner, path FROM partners WHERE imports IN ('partner→file', 'both') AND path IS NOT NULL AND partner IS NOT NULL),
+felt AS (
+  SELECT DISTINCT src, dst, x.change_id FROM edges JOIN used x ON x.item = src JOIN used y ON y.item = dst AND y.change_id = x.change_id WHERE src <> dst),
 relations AS (
   SELECT least(path, partner) AS a, greatest(path, partner) AS b, CASE WHEN coalesce(bool_or(imports IN ('file→partner', 'partner→file', 'both')), false) THEN 'linked'
     WHEN coalesce(bool_or(imports = 'none'), false) THEN 'none' END AS relation
@@ -153,7 +170,8 @@ hot AS (
   WHERE k <= ceil(n * 0.1) AND score > 0),
 slice_area AS (SELECT DISTINCT slice, change_id, area FROM touched JOIN change_facts USING (change_id) WHERE slice IS NOT NULL),
 slice_tally AS (SELECT slice, area, count(*) AS changes, count(*) FILTER (areas = 1) AS local FROM slice_area JOIN spans USING (change_id) GROUP BY 1, 2),
-shares AS (SELECT slice, area, changes, local / changes AS share FROM slice_tally WHERE changes >= 5),
+slice_n AS (SELECT slice, greatest(10, 5, ceil(count(*) * 0.01)) AS floor FROM change_facts WHERE slice IS NOT NULL AND size <= 50 GROUP BY 1),
+shares AS (SELECT slice, area, changes, local / changes AS share FROM slice_tally JOIN slice_n USING (slice) WHERE changes >= floor AND area NOT IN (SELECT area FROM tests_only)),
 lines_ AS (
   SELECT area, points, first, last, slope, (SELECT median(share - slope * slice) FROM shares s WHERE s.area = q.area) AS intercept FROM (
     SELECT area, count(*) AS points, min(slice) AS first, max(slice) AS last,
@@ -161,7 +179,34 @@ lines_ AS (
     FROM shares s GROUP BY area HAVING count(*) >= 3) q),
 radius AS (
   SELECT DISTINCT change_id, area FROM touched WHERE area NOT IN (SELECT module FROM facts GROUP BY module HAVING bool_and(test))),
-radius_n AS (SELECT change_id, count(*) AS n FROM radius GROUP BY 1)
+radius_n AS (SELECT change_id, count(*) AS n FROM radius GROUP BY 1),
+slice_radius AS (
+  SELECT slice, count(*) AS measured, quantile_disc(n, 0.5)::BIGINT AS median, quantile_disc(n, 0.9)::BIGINT AS p90, avg(CASE WHEN n = 1 THEN 1.0 ELSE 0.0 END) AS local
+  FROM radius_n JOIN change_facts USING (change_id) WHERE slice IS NOT NULL GROUP BY 1),
+slice_measures AS (
+  SELECT slice, changes, active, coalesce(measured, 0) AS measured, median, p90, floor(local * 10000 + 0.5) / 10000 AS local FROM slices LEFT JOIN slice_radius USING (slice)),
+points AS (
+  SELECT 'area' AS of, area AS key, slice::DOUBLE AS x, share AS y, changes::DOUBLE AS n FROM shares
+  UNION ALL SELECT 'all', '', slice, local, measured FROM slice_measures WHERE active AND local IS NOT NULL),
+ends AS (SELECT of, key, count(*) AS k, min(x) AS lo, max(x) AS hi FROM points GROUP BY 1, 2),
+parts AS (
+  SELECT 'whole' AS part, p.* FROM points p JOIN ends USING (of, key) WHERE k >= 3
+  UNION ALL SELECT 'inner', p.* FROM points p JOIN ends USING (of, key) WHERE k >= 5 AND x > lo AND x < hi),
+part_slopes AS (SELECT a.part, a.of, a.key, median((b.y - a.y) / (b.x - a.x)) AS slope FROM parts a JOIN parts b ON a.part = b.part AND a.of = b.of AND a.key = b.key AND a.x < b.x GROUP BY 1, 2, 3),
+part_lines AS (
+  SELECT part, of, key, any_value(slope) AS slope, median(y - slope * x) AS intercept, min(x) AS lo, max(x) AS hi, count(*) AS k,
+    least(0.95, greatest(0.05, sum(y * n) / sum(n))) AS p, sum(n * x) / sum(n) AS middle FROM parts JOIN part_slopes USING (part, of, key) GROUP BY 1, 2, 3),
+part_moves AS (
+  SELECT l.part, l.of, l.key, any_value(l.slope) AS slope, any_value(intercept) AS intercept, any_value(lo) AS lo, any_value(hi) AS hi, any_value(l.k) AS k,
+    CASE WHEN any_value(l.slope * (hi - lo)) <= -greatest(0.1, 2 * 1.15 * any_value(hi - lo) / sqrt(sum(n * (x - middle) ** 2 / (p * (1 - p))))) THEN 'eroding'
+      WHEN any_value(l.slope * (hi - lo)) >= greatest(0.1, 2 * 1.15 * any_value(hi - lo) / sqrt(sum(n * (x - middle) ** 2 / (p * (1 - p))))) THEN 'improving' ELSE 'holding' END AS moved
+  FROM part_lines l JOIN parts USING (part, of, key) GROUP BY 1, 2, 3),
+judged AS (
+  SELECT w.*, CASE WHEN w.moved = i.moved THEN w.moved ELSE 'holding' END AS verdict FROM part_moves w LEFT JOIN part_moves i ON i.part = 'inner' AND i.of = w.of AND i.key = w.key WHERE w.part = 'whole'),
+whole_series AS (
+  SELECT (SELECT count(*) FROM points WHERE of = 'all') AS windows, intercept + slope * lo AS "from", intercept + slope * hi AS "to", coalesce(verdict, 'unknown') AS verdict,
+    CASE WHEN last IS NULL THEN first WHEN last < newest THEN last + 1 END::BIGINT AS inactive_since
+  FROM (SELECT max(slice) AS newest, min(slice) AS first, max(slice) FILTER (active) AS last FROM slices) LEFT JOIN judged ON of = 'all' WHERE newest IS NOT NULL)
 """
 
 _S = {
@@ -185,7 +230,7 @@ FROM coupled LEFT JOIN facts x ON x.path = a LEFT JOIN facts y ON y.path = b""",
   SELECT a AS item, b FROM pairs UNION ALL SELECT b, a FROM pairs) p, floors
 WHERE item NOT IN (SELECT item FROM per_item, floors WHERE n >= 10 AND n > 0.3 * counted) AND b NOT IN (SELECT item FROM per_item, floors WHERE n >= 10 AND n > 0.3 * counted) GROUP BY 1""",
     "module_coupling": f"""SELECT a, b, shared, {_R('shared / least(changes_a, changes_b)')} AS share FROM area_pairs WHERE shared >= 3
-ORDER BY shared / least(changes_a, changes_b) DESC, shared DESC, a, b LIMIT 200""",
+  AND a IN (SELECT area FROM ranked) AND b IN (SELECT area FROM ranked) ORDER BY shared / least(changes_a, changes_b) DESC, shared DESC, a, b LIMIT 200""",
     "strongest_partner": """SELECT area, partner, shared FROM (
   SELECT *, row_number() OVER (PARTITION BY area ORDER BY shared DESC, partner) AS k FROM area_directed WHERE shared >= 3) WHERE k = 1""",
     "crossing_pairs": """SELECT least(ma, mb) AS a, greatest(ma, mb) AS b, count(*) AS couplings, sum(shared)::BIGINT AS shared FROM (
@@ -214,18 +259,21 @@ FROM (SELECT module AS area, count(*) AS files, bool_and(test) AS test_only FROM
       SELECT change_id, area, coalesce(regexp_matches(item, '(^|/)(index|[^/]*-index|read[^/]*)\\.ts$') AND item IN (SELECT path FROM facts WHERE NOT test), false) AS e FROM touched WHERE NOT test)
     GROUP BY 1, 2) GROUP BY 1)
 LEFT JOIN (SELECT DISTINCT module AS area, true AS has FROM facts WHERE NOT test AND regexp_matches(path, '(^|/)(index|[^/]*-index|read[^/]*)\\.ts$')) USING (area)""",
-    "unstable_interfaces": f"""SELECT item, fan_in, changes, changed_dependents FROM (
-  SELECT dst AS item, count(*) AS fan_in, floor(median(coalesce(n, 0))) AS typical, count(*) FILTER (t > 0) AS changed_dependents FROM (
-    SELECT src, dst, p.n, (SELECT count(*) FROM used x JOIN used y ON x.change_id = y.change_id WHERE x.item = src AND y.item = dst) AS t
-    FROM (SELECT DISTINCT src, dst FROM edges WHERE src <> dst) LEFT JOIN per_item p ON p.item = src) GROUP BY 1) h
-JOIN (SELECT item, n AS changes FROM per_item) USING (item)
-WHERE fan_in >= 2 AND changes >= 5 AND changes > typical AND NOT {_TEST('item')} ORDER BY changed_dependents DESC, changes DESC, fan_in DESC, item LIMIT 50""",
+    "unstable_interfaces": f"""SELECT item, coalesce(module, '.') AS module, fan_in, changes, typical, coalesce(k, 0) AS changed_dependents, coalesce(l, '') AS dependents FROM (
+  SELECT dst AS item, count(*) AS fan_in, floor(median(coalesce(n, 0)))::BIGINT AS typical
+  FROM (SELECT DISTINCT src, dst FROM edges WHERE src <> dst AND NOT {_TEST('src')} AND NOT {_TEST('dst')}) LEFT JOIN (SELECT item, count(*) AS n FROM held GROUP BY 1) ON item = src GROUP BY 1) h
+JOIN (SELECT item, count(*) AS changes FROM held GROUP BY 1) USING (item)
+LEFT JOIN (SELECT dst AS item, count(*) AS k, array_to_string(list(src || ' ' || n ORDER BY n DESC, src)[1:5], '; ') AS l FROM (
+  SELECT src, dst, count(*) AS n FROM felt WHERE NOT {_TEST('src')} AND NOT {_TEST('dst')} GROUP BY 1, 2) GROUP BY 1) USING (item)
+LEFT JOIN (SELECT path, module FROM facts) ON path = item
+WHERE fan_in >= 2 AND changes >= 5 AND changes > typical ORDER BY changed_dependents DESC, changes DESC, fan_in DESC, item LIMIT 50""",
     "dependency_direction": f"""SELECT "from", "to", imports, changes_from, changes_to, together, ratio, {_R('log2(ratio) * log2(1 + together)')} AS rank FROM (
-  SELECT x.module AS "from", y.module AS "to", count(*) AS imports FROM edges JOIN facts x ON x.path = src JOIN facts y ON y.path = dst WHERE x.module <> y.module GROUP BY 1, 2) l
-JOIN (SELECT area AS "from", changes AS changes_from FROM tally) USING ("from") JOIN (SELECT area AS "to", changes AS changes_to FROM tally) USING ("to")
-LEFT JOIN LATERAL (SELECT coalesce(max(shared), 0) AS together FROM area_directed WHERE area = l."from" AND partner = l."to") ON true,
-LATERAL (SELECT {_R('changes_to / greatest(1, changes_from)')} AS ratio), floors
-WHERE changes_to >= floor AND changes_to >= 1.1 * changes_from ORDER BY log2(ratio) * log2(1 + together) DESC, "from", "to" LIMIT 50""",
+  SELECT x.module AS "from", y.module AS "to", count(DISTINCT src) AS imports, coalesce(max(f.n), 0) AS together FROM edges JOIN facts x ON x.path = src JOIN facts y ON y.path = dst
+  LEFT JOIN (SELECT v.module AS a, w.module AS b, count(DISTINCT change_id) AS n FROM felt JOIN facts v ON v.path = src JOIN facts w ON w.path = dst WHERE NOT v.test GROUP BY 1, 2) f ON f.a = x.module AND f.b = y.module
+  WHERE x.module <> y.module AND NOT x.test AND x.module NOT IN (SELECT area FROM tests_only) AND y.module NOT IN (SELECT area FROM tests_only) GROUP BY 1, 2) l
+LEFT JOIN (SELECT area AS "from", changes AS cf FROM tally) USING ("from") JOIN (SELECT area AS "to", changes AS changes_to FROM tally) USING ("to"),
+LATERAL (SELECT coalesce(cf, 0) AS changes_from), LATERAL (SELECT {_R('changes_to / greatest(1, changes_from)')} AS ratio), floors
+WHERE changes_to >= floor AND changes_to >= 1.1 * changes_from ORDER BY log2(ratio) * log2(1 + together) DESC, imports DESC, "from", "to" LIMIT 50""",
     "propagation_cost": f"""SELECT nodes, edges, CASE WHEN nodes > 1 THEN {_R('reached / (nodes * (nodes - 1))')} END AS cost FROM (
   WITH nodes AS (SELECT item FROM per_item WHERE n >= 3 AND NOT {_TEST('item')}),
   one AS (SELECT a, b FROM coupled WHERE a IN (SELECT item FROM nodes) AND b IN (SELECT item FROM nodes)),
@@ -233,14 +281,37 @@ WHERE changes_to >= floor AND changes_to >= 1.1 * changes_from ORDER BY log2(rat
   two AS (SELECT a, b FROM e UNION SELECT x.a, y.b FROM e x JOIN e y ON x.b = y.a WHERE x.a <> y.b),
   three AS (SELECT a, b FROM two UNION SELECT x.a, y.b FROM two x JOIN e y ON x.b = y.a WHERE x.a <> y.b)
   SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM one) AS edges, (SELECT count(*) FROM three) AS reached)""",
-    "verdict": f"""SELECT judged, coverage, leak_share, CASE WHEN coverage IS NULL OR coverage < 0.5 OR leak_share IS NULL THEN 'unknown'
-  WHEN leak_share < 0.2 THEN 'holds' WHEN leak_share < 0.5 THEN 'mixed' ELSE 'strained' END AS level FROM (
-  SELECT count(*) FILTER (state <> 'unjudged') AS judged, {_R("coalesce(sum(heat) FILTER (state <> 'unjudged'), 0) / nullif(sum(heat), 0)")} AS coverage,
-    {_R("coalesce(sum(heat) FILTER (state = 'leaks'), 0) / nullif(sum(heat) FILTER (state <> 'unjudged'), 0)")} AS leak_share FROM (
-    SELECT m.area, coalesce(h.heat, 0) AS heat, CASE WHEN changes IS NULL OR changes < floor THEN 'unjudged' WHEN local / changes > 0.75 THEN 'holds'
-      WHEN m.area IN (SELECT area FROM area_directed WHERE shared >= 3) THEN 'leaks' ELSE 'unjudged' END AS state
-    FROM (SELECT module AS area, bool_and(test) AS just FROM facts GROUP BY 1) m LEFT JOIN tally USING (area)
-    LEFT JOIN (SELECT module AS area, sum(heat) AS heat FROM heats GROUP BY 1) h USING (area), floors WHERE NOT just))""",
+    "verdict": f"""SELECT level, CASE WHEN level = 'unknown' THEN CASE WHEN n = 0 THEN 'no-territories' WHEN (SELECT count(*) FROM counted) = 0 THEN 'quiet-window' ELSE 'too-little-evidence' END END AS reason,
+  leak_share, coverage, eroding, judged, leaking FROM (
+  SELECT *, CASE WHEN base = 'unknown' OR NOT eroding THEN base WHEN base = 'holds' THEN 'mixed' ELSE 'strained' END AS level FROM (
+    SELECT *, CASE WHEN judged = '' OR coverage < 0.5 THEN 'unknown' WHEN leak_share < 0.2 THEN 'holds' WHEN leak_share < 0.5 THEN 'mixed' ELSE 'strained' END AS base FROM (
+      SELECT count(*) AS n, {_R("least(1, coalesce(sum(h) FILTER (state <> 'unjudged'), 0))")} AS coverage, {_R("least(1, coalesce(sum(h) FILTER (state = 'leaks'), 0))")} AS leak_share,
+        coalesce(string_agg(area, ' ' ORDER BY h DESC, area) FILTER (state <> 'unjudged'), '') AS judged, coalesce(string_agg(area, ' ' ORDER BY h DESC, area) FILTER (state = 'leaks'), '') AS leaking,
+        coalesce((SELECT verdict = 'eroding' FROM whole_series), false) AS eroding FROM (
+        SELECT m.area, coalesce({_R('heat / nullif((SELECT sum(production_heat) FROM heats), 0)')}, 0) AS h, CASE WHEN changes IS NULL OR changes < floor THEN 'unjudged' WHEN local / changes > 0.75 THEN 'holds'
+          WHEN m.area IN (SELECT area FROM area_directed WHERE shared >= 3) THEN 'leaks' ELSE 'unjudged' END AS state
+        FROM (SELECT module AS area, bool_and(test) AS just FROM facts GROUP BY 1) m LEFT JOIN tally USING (area)
+        LEFT JOIN (SELECT module AS area, sum(production_heat) AS heat FROM heats GROUP BY 1) h USING (area), floors WHERE NOT just AND m.area <> '.')))) """,
+    "module_standings": f"""SELECT m.area, coalesce({_R('heat / nullif((SELECT sum(production_heat) FROM heats), 0)')}, 0) AS heat_share, CASE WHEN changes IS NULL OR changes < floor THEN 'unjudged' WHEN local / changes > 0.75 THEN 'holds'
+    WHEN m.area IN (SELECT area FROM area_directed WHERE shared >= 3) THEN 'leaks' ELSE 'unjudged' END AS state
+  FROM (SELECT module AS area, bool_and(test) AS just FROM facts GROUP BY 1) m LEFT JOIN tally USING (area)
+  LEFT JOIN (SELECT module AS area, sum(production_heat) AS heat FROM heats GROUP BY 1) h USING (area), floors WHERE NOT just AND m.area <> '.'""",
+    "erosion_verdict": f"""SELECT key AS area, k AS windows, {_R('intercept + slope * lo')} AS "from", {_R('intercept + slope * hi')} AS "to", verdict, hi > (SELECT max(slice) FROM change_facts) - 2 AS recent FROM judged WHERE of = 'area'""",
+    "repository_erosion": f"""SELECT windows, {_R('"from"')} AS "from", {_R('"to"')} AS "to", verdict, inactive_since FROM whole_series""",
+    "slice_measures": "SELECT slice, changes, active, measured, median, p90, local FROM slice_measures",
+    "distant_coupling": f"""SELECT a, b, shared, degree, {_R('reach')} AS reach, hidden, {_R('degree * reach * CASE WHEN hidden THEN 1.5 ELSE 1 END * least(1, shared / 10)')} AS score FROM (
+  SELECT *, CASE WHEN crosses THEN 1 + log2(1 + {_DIST('pa', 'pb')}) ELSE distance / greatest(1, max(distance) OVER ()) END AS reach FROM (
+    SELECT c.a, c.b, shared, {_R('exact')} AS degree, {_DIST('c.a', 'c.b')} AS distance, coalesce(x.module, '.') <> coalesce(y.module, '.') AS crosses, coalesce(relation = 'none', false) AS hidden,
+      CASE WHEN coalesce(x.module, '.') = '.' THEN '_' ELSE x.module || '/_' END AS pa, CASE WHEN coalesce(y.module, '.') = '.' THEN '_' ELSE y.module || '/_' END AS pb
+    FROM coupled c LEFT JOIN facts x ON x.path = c.a LEFT JOIN facts y ON y.path = c.b LEFT JOIN relations r ON r.a = c.a AND r.b = c.b
+    WHERE NOT {_TEST('c.a')} AND NOT {_TEST('c.b')} AND NOT ({_CONTRACT('c.a')} AND {_CONTRACT('c.b')}))
+  WHERE crosses OR distance >= 3) ORDER BY score DESC, degree DESC, shared DESC, a, b LIMIT 50""",
+    "reasons": """SELECT path, array_to_string(list_filter([
+  CASE WHEN revisions > 0 THEN format('changed in {} {} of {} files', revisions, CASE WHEN revisions = 1 THEN 'commit' ELSE 'commits' END, n) END,
+  CASE WHEN bulk > 0 THEN format('size {}', bulk) END,
+  CASE WHEN changes >= 5 AND NOT test AND breadth >= 10 AND path IN (SELECT path FROM (
+    SELECT path, breadth, rank() OVER (ORDER BY breadth DESC) AS k, count(*) OVER () AS of FROM scored WHERE changes >= 5 AND NOT test) WHERE k <= ceil(of * 0.05)) THEN format('changes together with {} different files', breadth) END],
+  lambda x: x IS NOT NULL), '; ') AS reasons FROM (SELECT *, count(*) OVER () AS n FROM scored) ORDER BY score DESC, path LIMIT 50""",
     "hotspot_score": "SELECT path, round(score, 6) AS score FROM scored",
     "hotspots": f"""SELECT path, revisions, bulk AS size, {_R('score')} AS score, row_number() OVER (ORDER BY score DESC, path) AS rank FROM scored ORDER BY score DESC, path LIMIT 50""",
     "competition_ranks": "SELECT path, module, rank() OVER (PARTITION BY module ORDER BY revisions DESC) AS revision_rank, rank() OVER (PARTITION BY module ORDER BY bulk DESC) AS size_rank FROM scored",
@@ -258,10 +329,10 @@ WHERE changes_to >= floor AND changes_to >= 1.1 * changes_from ORDER BY log2(rat
   WHEN earlier >= 3 AND 2 * hot_earlier >= earlier AND 2 * hot >= active THEN 'chronic'
   WHEN hot_last = 2 AND others > 0 AND NOT 2 * hot_earlier >= greatest(earlier, 1) THEN 'acute' ELSE 'other' END AS kind FROM (
   SELECT f.path, f.first::BIGINT AS first, count(*) FILTER (s.slice >= f.first) AS active, count(*) FILTER (s.slice >= f.first AND h.slice IS NOT NULL) AS hot,
-    count(*) FILTER (s.slice >= f.first AND s.back > 2) AS earlier, count(*) FILTER (s.slice >= f.first AND s.back > 2 AND h.slice IS NOT NULL) AS hot_earlier,
-    count(*) FILTER (s.back <= 2 AND h.slice IS NOT NULL) AS hot_last, count(*) FILTER (s.back > 2) AS others
+    count(*) FILTER (s.slice >= f.first AND NOT s.now) AS earlier, count(*) FILTER (s.slice >= f.first AND NOT s.now AND h.slice IS NOT NULL) AS hot_earlier,
+    count(*) FILTER (s.now AND h.slice IS NOT NULL) AS hot_last, count(*) FILTER (NOT s.now) AS others
   FROM (SELECT path, min(slice) AS first FROM slice_scores GROUP BY 1) f
-  CROSS JOIN (SELECT slice, row_number() OVER (ORDER BY slice DESC) AS back FROM slices WHERE active) s
+  CROSS JOIN (SELECT slice, slice >= (SELECT max(slice) FROM change_facts) - 1 AS now FROM slices WHERE active) s
   LEFT JOIN hot h ON h.path = f.path AND h.slice = s.slice GROUP BY 1, 2)""",
     "trend_items": """SELECT item, count(*) FILTER (window_id = 'before') AS was, count(*) FILTER (window_id = 'current') AS is,
   count(*) FILTER (window_id = 'current') - count(*) FILTER (window_id = 'before') AS delta
@@ -274,7 +345,7 @@ FROM held JOIN change_facts USING (change_id) WHERE size <= 50 AND window_id IN
     "chronic_heat": f"""SELECT area, coalesce(chronic, 0) AS chronic, coalesce(acute, 0) AS acute, CASE WHEN heat > 0 THEN {_R('coalesce(hot, 0) / heat')} END AS share FROM (
   SELECT module AS area, sum(production_heat) AS heat, count(*) FILTER (kind = 'chronic') AS chronic, count(*) FILTER (kind = 'acute') AS acute, sum(production_heat) FILTER (kind = 'chronic') AS hot
   FROM heats LEFT JOIN (@heat_kind@) k USING (path) GROUP BY 1)""",
-    "territory_pairs": f"""SELECT a, b, shared, {_R('shared / least(changes_a, changes_b)')} AS share FROM area_pairs WHERE shared >= 3
+    "territory_pairs": f"""SELECT a, b, shared, {_R('shared / least(changes_a, changes_b)')} AS share FROM area_pairs WHERE shared >= 3 AND a IN (SELECT area FROM ranked) AND b IN (SELECT area FROM ranked)
   AND a IN (SELECT module FROM heats GROUP BY 1 ORDER BY sum(production_heat) DESC, module LIMIT 24) AND b IN (SELECT module FROM heats GROUP BY 1 ORDER BY sum(production_heat) DESC, module LIMIT 24)""",
     "fan_in": "SELECT dst AS item, count(DISTINCT src) AS dependents FROM edges WHERE src <> dst GROUP BY 1",
     "slice_cohesion": f"SELECT slice, area, changes, {_R('share')} AS share FROM shares",

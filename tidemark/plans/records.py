@@ -46,8 +46,9 @@ def accepted_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def copy_families(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = coupling.couplings(history_of(spark, folder), min_degree=0.1)
-    return textual.copy_families(pairs, table(spark, folder, "texts"))
+    history, texts = history_of(spark, folder), table(spark, folder, "texts")
+    families = durable(textual.copy_families(coupling.couplings(history), texts))
+    return textual.family_facts(families, texts, history).withColumn("files", F.array_join("files", " "))
 
 
 def package_of(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,7 +82,7 @@ def ticket_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cliques(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = coupling.area_pairs(history_of(spark, folder).touched())
+    pairs = coupling.area_pairs(coupling.ranked_touched(history_of(spark, folder)))
     rows = graph.area_cliques(pairs, min_share=0.1)
     return rows.select(F.array_join("members", " ").alias("members"), "size", "partial")
 
@@ -295,7 +296,7 @@ def clique_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of modules that changes touched as a whole, without variants of each other."""
     from tidemark.operators import groups
 
-    touched = durable(history_of(spark, folder).touched().select("change_id", "area").distinct())
+    touched = durable(coupling.ranked_touched(history_of(spark, folder)))
     rows = groups.clique_groups(touched, coupling.area_pairs(touched), min_share=0.1)
     return rows.select(F.array_join("members", " ").alias("members"), "shared", "partial")
 

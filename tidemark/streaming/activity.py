@@ -65,15 +65,25 @@ def anchored_runs(events: DataFrame, time: str, key: str, span_s: int) -> DataFr
 
 
 def drain(stream: DataFrame, folder: str | None = None, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there now, into a folder (files) or, for complete results, into a table in memory; returns the result."""
+    """Runs a stream over all that is there now, into files of a shared folder; returns the result, for complete results that of the last batch."""
     spark = stream.sparkSession
+    base = folder or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share, or name one")
+        base = tempfile.mkdtemp(prefix="tidemark-stream-")
+    out = f"{base.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     if mode == "append":
-        base = folder or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-stream-")
-        out = f"{base.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
         query = stream.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
         query.awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{out}/data")
-    name = f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    # a complete result replaces the last one in a folder, so that it never has to fit the driver
+    last: list[str] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        last[:] = [f"{out}/data-{number}"]
+        batch.write.mode("overwrite").parquet(last[0])
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(last[0]) if last else spark.createDataFrame([], stream.schema)
