@@ -94,3 +94,24 @@ def value_ranks(df: DataFrame, key: str | None, value: str) -> DataFrame:
     out = local.join(offsets, ["__part", "__key"])
     rank = F.col("__before") + F.col("__upto") - F.col("__n") + 1
     return out.select(*([F.col("__key").alias(key)] if key else []), F.col("__value").alias(value), rank.alias("rank"), "total")
+
+
+def last_before(rows: DataFrame, key: str, order: str, columns: Sequence[str]) -> DataFrame:
+    """The rows with ``before_<c>`` of each column: its last non-null value among the key's rows of a smaller ``order``.
+
+    An as-of lookup without a task per key: rows are range-partitioned by (key, order), so that a
+    heavy key spans several ranges; each range looks back within itself, and the last values of
+    a key's ranges (a row per range and key) are carried on to its later ranges. Rows of equal
+    order see the same. ``order`` must be a whole number; null keys look up nothing.
+    """
+    from tidemark.session import durable
+
+    ranged = durable(rows.repartitionByRange(key, order).withColumn("__range", F.spark_partition_id()))
+    inside = Window.partitionBy("__range", key).orderBy(order)
+    looked = ranged.withColumns({f"__in_{c}": F.last(c, ignorenulls=True).over(inside.rangeBetween(Window.unboundedPreceding, -1)) for c in columns})
+    ends = ranged.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key"), "__range").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns])
+    carried = Window.partitionBy("__key").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("__key", F.col("__range").alias("__at"), *[F.last(c, ignorenulls=True).over(carried).alias(f"__far_{c}") for c in columns])
+    known = ends.where(" or ".join(f"__far_{c} is not null" for c in columns))
+    out = looked.join(known, (F.col(key) == F.col("__key")) & (F.col("__range") == F.col("__at")), "left")
+    return out.select(*rows.columns, *[F.coalesce(f"__in_{c}", f"__far_{c}").alias(f"before_{c}") for c in columns])

@@ -1,131 +1,140 @@
 """Which file of today a change belongs to: renames carry history on, deletions end lives.
 
-Only additions, deletions and renames change what is known about names, and only names
-that renames connect can touch each other's history. So those few rows are walked newest to
-oldest per family of names; every other row looks its name's state up at its place in the log.
+A name's history is cut by three kinds of events: a file was given the name (a birth), left it
+by a rename, or was deleted under it. Every row looks up the nearest newer events of its name;
+what they say is settled among the events alone, which are few: renames point to newer renames,
+and deadness spreads from the deletions that ended a life to the events that depend on them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.graph import components
+from tidemark.operators.heavy import last_before
 from tidemark.operators.mechanical import commit_rows
 from tidemark.operators.skew import salted_join
+from tidemark.session import durable
 
 #: Object ids of empty content; two empty files are not the same file.
-EMPTY_BLOBS = ("e69de29bb2d1d6434b8b29ae775ad8c2e48c5391", "473a0f4c3be8a93681a267e3b1e9a7dcda1185436fe141f7749120a303721813")
-
-
-@dataclass
-class Names:
-    """What the commits newer than the present one have taught about names."""
-
-    today: dict[str, str] = field(default_factory=dict)  # name -> path of its file today
-    births: dict[str, tuple[str | None, bool]] = field(default_factory=dict)  # name -> (first blob, of a dead file)
-    dead: set[str] = field(default_factory=set)  # names a later deleted file had
-
-    def read(self, events: list[dict]) -> list[tuple[str, bool]]:
-        """(path today, belongs to an earlier life) for each event of one commit; then what they teach is noted."""
-        out, lessons = [], []
-        for e in events:
-            name, source = e["path"], e["renamed_from"]
-            today = self.today.get(name, name)
-            birth = self.births.get(name) if e["removed"] else None
-            ends = False
-            if birth is not None:
-                same = birth[0] is not None and birth[0] == e["blob"] and birth[0] not in EMPTY_BLOBS
-                ends = birth[1] or not same
-            earlier = ends or name in self.dead
-            out.append((today, earlier))
-            if source is not None:
-                self.today[source] = today
-            lessons.append((e, ends, earlier, source is not None and not earlier and source in self.dead))
-        for e, ends, earlier, frees in lessons:
-            name, source = e["path"], e["renamed_from"]
-            if frees:
-                self.dead.discard(source)
-            if e["created"] or source is not None:
-                self.dead.discard(name)
-                self.births[name] = (e["blob"] if e["created"] else None, earlier)
-            for gone in ([name] if ends else []) + ([source] if earlier and source is not None else []):
-                self.births.pop(gone, None)
-                self.dead.add(gone)
-        return out
-
-
-def _walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Events sorted by family and place in the log; a family's state lives only while its rows pass."""
-    family: str | None = None
-    names, known = Names(), {}
-    pos: int | None = None
-    events: list[dict] = []
-    out: list[tuple[str, int, bool, str, bool]] = []
-
-    def commit() -> None:
-        for e, (today, earlier) in zip(events, names.read(events), strict=True):
-            out.append((e["path"], pos, True, today, earlier))
-        for n in sorted({n for e in events for n in (e["path"], e["renamed_from"]) if n is not None}):
-            state = (names.today.get(n, n), n in names.dead)
-            if known.get(n, (n, False)) != state:
-                known[n] = state
-                out.append((n, pos, False, *state))
-
-    def ready() -> pa.RecordBatch:
-        columns = list(zip(*out, strict=True)) or [()] * 5
-        kinds = (pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.bool_())
-        out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["name", "pos", "own", "today", "earlier"])
-
-    for batch in batches:
-        for e in batch.to_pylist():
-            if (e["family"], e["log_pos"]) != (family, pos):
-                if events:
-                    commit()
-                    events = []
-                if e["family"] != family:
-                    family, names, known = e["family"], Names(), {}
-                pos = e["log_pos"]
-            events.append(e | {"removed": bool(e["removed"]), "created": bool(e["created"])})
-        if len(out) > 10_000:
-            yield ready()
-    if events:
-        commit()
-    yield ready()
+EMPTY_BLOBS = (
+    "e69de29bb2d1d6434b8b29ae775ad8c2e48c5391",
+    "473a0f4c3be8a93681a267e3b1e9a7dcda1185436fe141f7749120a303721813",
+)
+
+
+def _rows(commit_files: DataFrame, commits: DataFrame) -> DataFrame:
+    """``sha, path, renamed_from, removed, created, blob, log_pos`` of each distinct (sha, path) whose commit is known."""
+    log = commit_rows(commits).select("sha", "log_pos")
+    flag = lambda c: F.coalesce(F.bool_or(c), F.lit(False)).alias(c)
+    each = commit_files.where(F.col("path").isNotNull()).groupBy("sha", "path").agg(F.max("renamed_from").alias("renamed_from"), flag("removed"), flag("created"), F.max(F.coalesce("blob_new", "blob_old")).alias("blob"))
+    return each.join(log, "sha")
+
+
+def _at(entries: DataFrame, column: str) -> DataFrame:
+    """``name, log_pos, own (null), column``: what is known of a name at each commit: the entry of the largest ``weight``."""
+    return entries.groupBy("name", "log_pos").agg(F.max_by(column, "weight").alias(column))
+
+
+def _surroundings(rows: DataFrame) -> DataFrame:
+    """The rows with the nearest newer events of their path: ``event`` (of any kind) and ``leave`` (a rename away).
+
+    An event is known by the row that shows it and by what it does to the name. Smaller ``log_pos`` is
+    newer. Where one commit does several things to a name, a rename away counts before an end, and that before a birth.
+    """
+    rows = rows.withColumn("row", F.xxhash64("sha", "path"))
+    shows = lambda does: F.struct("row", F.lit(does).alias("does"))
+    born = F.col("created") | F.col("renamed_from").isNotNull()
+    own = rows.where(F.col("removed") | born).select(F.col("path").alias("name"), "log_pos", F.when(F.col("removed"), shows("end")).otherwise(shows("birth")).alias("event"), F.when(F.col("removed"), 1).otherwise(0).alias("weight"), F.lit(None).cast("bigint").alias("leave"))
+    away = rows.where(F.col("renamed_from").isNotNull()).select(F.col("renamed_from").alias("name"), "log_pos", shows("leave").alias("event"), F.lit(2).alias("weight"), F.col("row").alias("leave"))
+    known = own.unionByName(away).groupBy("name", "log_pos").agg(F.max_by("event", F.struct("weight", "event")).alias("event"), F.max("leave").alias("leave"))
+    asked = rows.select(F.col("path").alias("name"), "log_pos", F.struct(*rows.columns).alias("own"))
+    looked = last_before(asked.unionByName(known, allowMissingColumns=True), "name", "log_pos", ["event", "leave"]).where(F.col("own").isNotNull())
+    return looked.select("own.*", F.col("before_event").alias("event"), F.col("before_leave").alias("leave"))
+
+
+def _todays(renames: DataFrame) -> DataFrame:
+    """``leave, today``: where the file that left a name is today. Each rename points to the newer one by which its file went on;
+    pointers double until all have reached the end."""
+    now = durable(renames.select(F.col("row").alias("leave"), F.col("leave").alias("next"), F.col("path").alias("today")))
+    while not now.where(F.col("next").isNotNull()).isEmpty():
+        far = now.select(F.col("leave").alias("next"), F.col("next").alias("after"), F.col("today").alias("then"))
+        now = durable(now.join(far, "next", "left").select("leave", F.col("after").alias("next"), F.coalesce("then", "today").alias("today")))
+    return now.select("leave", "today")
+
+
+def _spread(ends: DataFrame, hands: DataFrame) -> DataFrame:
+    """``row, does``: the events before (older than) which a name's file belongs to an earlier life, from the deletions that end one.
+
+    Other deletions and renames away hand on what is known where they stand; a birth begins anew.
+    """
+    dead = fresh = durable(ends.select("row", F.lit("end").alias("does")))
+    while not fresh.isEmpty():
+        step = hands.join(fresh.select(F.col("row").alias("from"), F.col("does").alias("by")), ["from", "by"], "left_semi").select("row", "does").distinct()
+        fresh = durable(step.join(dead, ["row", "does"], "left_anti"))
+        dead = durable(dead.unionByName(fresh))
+    return dead
+
+
+def _ended(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``row`` of the deletions that end a life, and ``row, does`` of the events before which the name's file is of an earlier life.
+
+    A deletion ends a life if a newer birth gave the name to a file that does not start with the
+    content deleted, or is itself of an earlier life, and nothing between has used that birth up: a
+    deletion that ended a life, or a file of an earlier life that left the name. What is used up
+    depends on newer events only, so the rounds settle from the newest on.
+    """
+    born = F.col("created") | F.col("renamed_from").isNotNull()
+    births = durable(events.where(born).select(F.col("path").alias("name"), "log_pos", F.struct(F.lit(True).alias("free"), F.when(F.col("created"), F.col("blob")).alias("blob"), F.col("event.row").alias("from"), F.col("event.does").alias("by")).alias("taken"), F.lit(0).alias("weight")))
+    deletions = durable(events.where("removed").select(F.col("path").alias("name"), "log_pos", F.struct("row", "blob").alias("own")))
+    leaves = events.where(F.col("renamed_from").isNotNull()).select("row", F.lit("leave").alias("does"), F.col("renamed_from").alias("name"), "log_pos")
+    at = F.col("event.row").alias("from"), F.col("event.does").alias("by")
+    hands = durable(events.where(F.col("event").isNotNull()).select("row", F.explode(F.array_compact(F.array(F.when(F.col("removed"), "end"), F.when(F.col("renamed_from").isNotNull(), "leave")))).alias("does"), *at))
+    used = F.struct(F.lit(False).alias("free"), F.lit(None).cast("string").alias("blob"), F.lit(None).cast("bigint").alias("from"), F.lit(None).cast("string").alias("by"))
+    spent, dead, before = None, None, None
+    while True:
+        entries = births if spent is None else births.unionByName(spent)
+        looked = last_before(deletions.unionByName(_at(entries, "taken"), allowMissingColumns=True), "name", "log_pos", ["taken"]).where(F.col("own").isNotNull() & F.col("before_taken.free"))
+        t = F.col("before_taken")
+        same = F.coalesce((t["blob"] == F.col("own.blob")) & ~t["blob"].isin(*EMPTY_BLOBS), F.lit(False))
+        rows = looked.select("own.row", "name", "log_pos", t["from"].alias("from"), t["by"].alias("by"), same.alias("same"))
+        if dead is None:
+            ends = rows.where("not same")
+        else:
+            gone = dead.select(F.col("row").alias("from"), F.col("does").alias("by"), F.lit(True).alias("gone"))
+            ends = rows.join(gone, ["from", "by"], "left").where("not same or gone")
+        ends = durable(ends.select("row", "name", "log_pos"))
+        state = ends.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("row"))).first()
+        dead = _spread(ends, hands)
+        whole = (*state, *dead.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("row", "does"))).first())
+        if whole == before:
+            return ends.select("row"), dead
+        before = whole
+        spent = ends.select("name", "log_pos", used.alias("taken"), F.lit(1).alias("weight")).unionByName(leaves.join(dead, ["row", "does"], "left_semi").select("name", "log_pos", used.alias("taken"), F.lit(1).alias("weight")))
 
 
 def lives(commit_files: DataFrame, commits: DataFrame) -> DataFrame:
     """``sha, path, today, earlier``: each distinct (sha, path) with the path its file has today.
 
-    ``earlier``: the change belongs to a file that was deleted later, its name given to
-    another. Smaller ``log_pos`` is newer; rows whose commit is not in ``commits`` are left out.
-    Names without renames, additions or deletions are their own file.
+    ``earlier``: the change belongs to a file that was deleted later, its name given to another:
+    the deletion itself and all older changes of that file, back to its birth. A deletion
+    without a newer file of the name ends nothing, nor does one that a newer addition of the same (not empty) content
+    undoes. Smaller ``log_pos`` is newer; the rows of one commit are all read against newer commits. Rows whose
+    commit is not in ``commits`` are left out. A name may hold any share of the rows.
     """
-    log = commit_rows(commits).select("sha", "log_pos")
-    rows = commit_files.where(F.col("path").isNotNull()).groupBy("sha", "path").agg(
-        F.max("renamed_from").alias("renamed_from"), F.bool_or("removed").alias("removed"), F.bool_or("created").alias("created"), F.max(F.coalesce("blob_new", "blob_old")).alias("blob")
-    ).join(log, "sha")
-    structural = F.coalesce("removed", F.lit(False)) | F.coalesce("created", F.lit(False)) | F.col("renamed_from").isNotNull()
-    events = rows.where(structural)
-    families = components(events.where(F.col("renamed_from").isNotNull()).select(F.col("renamed_from").alias("a"), F.col("path").alias("b")))
-    events = events.join(families.select(F.col("node").alias("path"), F.col("component").alias("family")), "path", "left").withColumn("family", F.coalesce("family", "path"))
-    kept = events.select("family", "path", "renamed_from", "removed", "created", "blob", "log_pos")
-    ordered = kept.repartition("family").sortWithinPartitions("family", "log_pos", "path")
-    walked = ordered.mapInArrow(_walk, "name string, pos long, own boolean, today string, earlier boolean")
-    states = walked.groupBy("name").agg(
-        F.sort_array(F.collect_list(F.when(~F.col("own"), F.struct("pos", "today", "earlier")))).alias("states"),
-        F.collect_list(F.when(F.col("own"), F.struct("pos", "today", "earlier"))).alias("own"),
-    )
-    every = salted_join(rows.select("sha", "path", "log_pos"), states.withColumnRenamed("name", "path"), "path", "sha", "left")
-    before = F.filter("states", lambda s: s["pos"] < F.col("log_pos"))
-    at = F.coalesce(F.get(F.filter("own", lambda s: s["pos"] == F.col("log_pos")), 0), F.element_at(F.when(F.size(before) > 0, before), -1))
-    every = every.withColumn("at", at)
-    return every.select("sha", "path", F.coalesce("at.today", "path").alias("today"), F.coalesce("at.earlier", F.lit(False)).alias("earlier"))
+    rows = durable(_surroundings(_rows(commit_files, commits)))
+    events = durable(rows.where(F.col("removed") | F.col("created") | F.col("renamed_from").isNotNull()))
+    today = _todays(events.where(F.col("renamed_from").isNotNull()))
+    ends, dead = _ended(events)
+    # most rows have no newer event at all and need no lookup
+    plain = rows.where(F.col("event").isNull()).select("sha", "path", F.col("path").alias("today"), F.lit(False).alias("earlier"))
+    asked = rows.where(F.col("event").isNotNull()).select("sha", "path", "row", "leave", F.xxhash64("event.row", "event.does").alias("at"))
+    asked = salted_join(asked, dead.select(F.xxhash64("row", "does").alias("at"), F.lit(True).alias("gone")), "at", "sha", "left")
+    asked = salted_join(asked, today.withColumnRenamed("today", "named"), "leave", "sha", "left")
+    asked = asked.join(ends.withColumn("ends", F.lit(True)), "row", "left")
+    known = asked.select("sha", "path", F.coalesce("named", "path").alias("today"), (F.coalesce("ends", F.lit(False)) | F.coalesce("gone", F.lit(False))).alias("earlier"))
+    return plain.unionByName(known)
 
 
 def renamed_names(commit_files: DataFrame) -> DataFrame:
