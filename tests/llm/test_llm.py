@@ -2,6 +2,7 @@ import math
 import random
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -263,6 +264,28 @@ def test_languages_of_held_out_texts(spark):
     assert language.mislabelled(frame(spark, DOCS, [])).count() == 0
 
 
+def test_segments_of_mixed_texts(spark):
+    profiles = language.fit(frame(spark, DOCS, [(i, t, c, None, None, None) for i, (c, t) in enumerate(TRAINING.items())]))
+    part = {c: t.split(". ")[0] for c, t in TRAINING.items() if c != "ja"}
+    mixed = {1: ["de", "de", "en"], 2: ["fr", "ru", "fr"], 3: ["en"]}
+    docs = frame(spark, DOCS, [(k, "\n\n".join(f"{part[c]}." for c in cs), None, None, None, None) for k, cs in mixed.items()] + [(4, "let a = 1;", None, None, None, None)])
+    got = {r["doc_id"]: r["segments"] for r in language.identify(docs.select("doc_id", "text"), profiles).collect()}
+    assert {k: [(s["lang"], s["sentences"]) for s in v] for k, v in got.items()} == {1: [("de", 2), ("en", 1)], 2: [("fr", 1), ("ru", 1), ("fr", 1)], 3: [("en", 1)], 4: []}
+    assert all(0.5 < s["confidence"] <= 1 for v in got.values() for s in v)
+
+
+def test_letters_beyond_sixteen_bits_are_their_own():
+    one, other = (language.raw_grams([t]) for t in ("AAA", "\U00010041" * 3))
+    assert not set(one.codes.tolist()) & set(other.codes.tolist())
+    bundle = language.Letters().bind(np.array([[0x10041, 0x41, 0, 0], [0x41, 0x41, 0, 0]], np.uint32))
+    assert abs(int(bundle[0].astype(int) @ bundle[1])) < 0.2 * language.DIMENSIONS
+
+
+def test_one_group_of_copies_does_not_fill_the_training_sample(spark):
+    data = [(i, TRAINING["de"], "de", None, None, None) for i in range(40)] + [(100 + i, t, c, None, None, None) for i, (c, t) in enumerate(TRAINING.items())]
+    assert language.fit(frame(spark, DOCS, data), limit=5).codes == ("de", "en", "fr", "ja", "ru")
+
+
 def test_labels(spark):
     data = {"en": "en", " EN ": "en", "en-GB": "en", "pt_BR": "pt", "deu": "de", "ger": "de", "Polish": "pl", "zh-Hans-CN": "zh", "": None, None: None, "und": None, "xx": None, "english please": None, "N/A": None}
     df = spark.createDataFrame([(k,) for k in data], "l string").select("l", language.label_of(F.col("l")).alias("c"))

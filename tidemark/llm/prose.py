@@ -58,14 +58,31 @@ def lines_of(text: str) -> Iterator[tuple[str, bool]]:
         yield held, kind
 
 
+def without_spans(sentence: str) -> str:
+    """The sentence without code spans, addresses, paths and tags."""
+    return _SPAN.sub(" ", sentence) if "/" in sentence or "`" in sentence or "<" in sentence else sentence
+
+
+def _plain_word(token: str) -> bool:
+    """A word that is no identifier; only unusual tokens need the pattern."""
+    if token.isalpha() and (token[1:].islower() or token.isupper() or len(token) == 1):
+        return True
+    return token[0].isalpha() and not _NAME.search(token)
+
+
 def cleaned(sentence: str) -> tuple[str, int, int]:
-    """Words of the sentence's main script joined by blanks, their number, number of unspaced letters."""
+    """Words of the main script of a sentence without spans, joined by blanks, their number, number of unspaced letters."""
+    tokens = _TOKEN.findall(sentence)
+    if sentence.isascii():
+        words = [t for t in tokens if _plain_word(t)]
+        return " ".join(words).lower(), len(words), 0
     unspaced: list[str] = []
     others: dict[bool, list[str]] = {False: [], True: []}
-    for token in _TOKEN.findall(_SPAN.sub(" ", sentence)):
-        if _UNSPACED.search(token):
+    any_unspaced = _UNSPACED.search(sentence) is not None
+    for token in tokens:
+        if any_unspaced and _UNSPACED.search(token):
             unspaced.extend(r for r in _RUN.findall(token) if _UNSPACED.match(r))
-        elif token[0].isalpha() and not _NAME.search(token):
+        elif _plain_word(token):
             others["\u0370" <= token[0] <= "\u1fff"].append(token)
     spaced = max(others.values(), key=lambda w: sum(map(len, w)))
     n = sum(map(len, unspaced))
@@ -77,12 +94,13 @@ def cleaned(sentence: str) -> tuple[str, int, int]:
 def sentences(text: str | None) -> list[str]:
     """Cleaned prose sentences in order; nothing for a null, empty or prose-free text."""
     out: list[str] = []
-    for line, _ in lines_of(unicodedata.normalize("NFKC", text or "")):
+    text = text or ""
+    for line, _ in lines_of(text if text.isascii() else unicodedata.normalize("NFKC", text)):
         for part in _SENTENCE.split(line):
             if not part or part.isspace():
                 continue
-            words, spaced, unspaced = cleaned(part)
-            odd = len(_ODD.findall(_SPAN.sub(" ", part)))
-            if (spaced >= MIN_WORDS or unspaced >= MIN_UNSPACED) and odd * 12 <= len(part):
+            bare = without_spans(part)
+            words, spaced, unspaced = cleaned(bare)
+            if (spaced >= MIN_WORDS or unspaced >= MIN_UNSPACED) and len(_ODD.findall(bare)) * 12 <= len(part):
                 out.append(words)
     return out
