@@ -1,9 +1,9 @@
-"""Byte-level BPE over a whole corpus, inside the JVM.
+"""Byte-level BPE over a whole corpus.
 
-The vocabulary of distinct pre-split words is built once (map-side counts). Every distinct
-word is encoded by a higher-order fold that applies the lowest-ranked merge until none is
-left; ranks come from a literal map. Frequent words (at most HOT of them, by construction)
-are then looked up in place; only rare words are joined.
+Every distinct pre-split word is encoded once, by a higher-order fold that applies the
+lowest-ranked merge until none is left; ranks come from a literal map. Documents are dealt to
+buckets, and the distinct words of each bucket are joined with their ids: so a frequent word is one
+row a bucket, however often it occurs, and each bucket's texts are filled from its own dictionary.
 """
 
 from __future__ import annotations
@@ -14,9 +14,12 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from tidemark.session import durable, spread
 
@@ -24,11 +27,9 @@ from tidemark.session import durable, spread
 _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 #: Fixed: the public pre-splitting pattern of byte-level BPE.
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-#: Words with more than 1/HOT of all occurrences are looked up in place; there are fewer than HOT.
-HOT = 8192
 #: Longer words (in bytes) go through a heap instead of the fold, whose time grows with the square of the length.
 LONG = 512
-_BUCKETS, _HOT_BUCKETS = 8192, 4096
+_BUCKETS = 8192
 _IDS = "array<int>"
 
 
@@ -146,35 +147,65 @@ def word_ids(words: DataFrame, bpe: ByteBpe) -> DataFrame:
     return short.unionByName(long.mapInArrow(heap, f"{', '.join(f'{n} {t}' for n, t in words.dtypes)}, ids {_IDS}"))
 
 
+def _filled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``__key, ids``: buckets come one after the other, each with its dictionary first and then its texts by hash; equal texts of a key once."""
+    bucket: int | None = None
+    words: list[pa.Array] = []
+    ids: list[pa.Array] = []
+    known: tuple[pa.Array, pa.Array, np.ndarray] | None = None
+    hash_: int | None = None
+    keys: set = set()
+    for batch in batches:
+        of, tag = batch.column("__bucket").to_numpy(), batch.column("__tag").to_numpy()
+        cuts = np.flatnonzero((of[1:] != of[:-1]) | (tag[1:] != tag[:-1])) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(of)], strict=True):
+            if a == b:
+                continue
+            part = batch.slice(a, b - a)
+            if of[a] != bucket:
+                bucket, words, ids, known, hash_, keys = int(of[a]), [], [], None, None, set()
+            if tag[a] == 0:
+                words.append(part.column("word"))
+                ids.append(part.column("ids"))
+                continue
+            if known is None:
+                lists = pa.concat_arrays([x for x in ids] or [pa.array([], pa.list_(pa.int32()))])
+                known = pa.concat_arrays([x for x in words] or [pa.array([], pa.string())]), lists, pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            hashes = part.column("__hash").to_numpy()
+            if hashes[0] == hash_ or (hashes[1:] == hashes[:-1]).any():
+                kept = []
+                for i, (h, k) in enumerate(zip(hashes.tolist(), part.column("__key").to_pylist(), strict=True)):
+                    if h != hash_:
+                        hash_, keys = h, set()
+                    if k not in keys:
+                        keys.add(k)
+                        kept.append(i)
+                part = part.take(pa.array(kept, pa.int64()))
+            else:
+                hash_, keys = int(hashes[-1]), {part.column("__key")[-1].as_py()}
+            own = part.column("words")
+            at = pc.index_in(own.flatten(), value_set=known[0])
+            sizes = np.r_[0, np.cumsum(known[2][at.to_numpy(zero_copy_only=False)])].astype(np.int32)
+            ends = np.r_[0, np.cumsum(pc.list_value_length(own).to_numpy(zero_copy_only=False))].astype(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(sizes[ends]), known[1].take(at).flatten())
+            yield pa.RecordBatch.from_arrays([part.column("__key"), lists], ["__key", "ids"])
+
+
 def encode(documents: DataFrame, bpe: ByteBpe, key: str = "doc_id", text: str = "text", out: str = "ids") -> DataFrame:
     """``key, out``: the ids of every text, without special tokens; their spelling is ordinary text.
 
     A null and an empty text give an empty array. Equal (key, text) rows give one row; a
-    key with several texts, or null, keeps a row for each text.
+    key with several texts, or null, keeps a row for each text. Texts are shuffled once; a task
+    holds the distinct words of one bucket, and the number of buckets grows with the input.
     """
     docs = documents.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text")).withColumn("__hash", F.xxhash64("__text"))
-    docs = spread(docs, "__key")
-    split = docs.select(F.explode(words_of(F.col("__text"))).alias("word"))
-    vocabulary = durable(word_ids(split.groupBy("word").agg(F.count(F.lit(1)).alias("n")), bpe))
-    total = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)) / HOT).first()[0]
-    hot = vocabulary.where(F.col("n") > total).select(F.pmod(F.hash("word"), F.lit(_HOT_BUCKETS)), "word", "ids").collect()
-    buckets: list[dict[str, list[int]]] = [{} for _ in range(_HOT_BUCKETS)]
-    for bucket, word, ids in hot:
-        buckets[bucket][word] = ids
-    table = F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), f"array<map<string,{_IDS}>>")
-    known = lambda w: F.try_element_at(F.get(table, F.pmod(F.hash(w), F.lit(_HOT_BUCKETS))), w)
-
-    found = docs.select("__key", "__hash", words_of(F.col("__text")).alias("words")).withColumn("known", F.transform("words", known))
-    holes = F.filter(F.transform("known", lambda k, i: F.when(k.isNull(), i)), lambda i: i.isNotNull())
-    found = found.withColumn("holes", holes)
-    # a rare word's place holds minus its number among the document's rare words
-    flat = F.flatten(F.transform("known", lambda k, i: F.coalesce(k, F.array(-F.array_position("holes", i).cast("int")))))
-    coded = found.select("__key", "__hash", flat.alias("flat"), F.transform("holes", lambda i: F.get("words", i)).alias("rare"))
-    coded = coded.groupBy("__key", "__hash").agg(F.first("flat").alias("flat"), F.first("rare").alias("rare"))
-    asked = coded.select("__key", "__hash", F.posexplode("rare").alias("at", "word"))
-    answered = asked.join(vocabulary.where(F.col("n") <= total).select("word", "ids"), "word")
-    lists = answered.groupBy("__key", "__hash").agg(F.sort_array(F.collect_list(F.struct("at", "ids")))["ids"].alias("lists"))
-    right = lists.select(F.col("__key").alias("__k"), F.col("__hash").alias("__h"), "lists")
-    whole = coded.drop("rare").join(right, F.col("__key").eqNullSafe(F.col("__k")) & (F.col("__hash") == F.col("__h")), "left")
-    filled = F.flatten(F.transform("flat", lambda x: F.when(x < 0, F.get("lists", -x - 1)).otherwise(F.array(x))))
-    return whole.select(F.col("__key").alias(key), F.when(F.col("lists").isNull(), F.col("flat")).otherwise(filled).cast(_IDS).alias(out))
+    parts = max(2 * docs.sparkSession.sparkContext.defaultParallelism, 2 * docs.rdd.getNumPartitions())
+    docs = docs.withColumn("__bucket", F.pmod(F.xxhash64("__key", "__hash"), F.lit(parts)).cast("int"))
+    held = durable(spread(docs, "__key").select("__bucket", F.explode(words_of(F.col("__text"))).alias("word")).distinct())
+    # few bytes but much work a word: as many tasks as asked for, not as few as the bytes would need
+    vocabulary = word_ids(held.select("word").repartition(parts, "word").distinct(), bpe)
+    known = held.join(vocabulary, "word").withColumn("__tag", F.lit(0))
+    rows = known.unionByName(docs.withColumn("__tag", F.lit(1)), allowMissingColumns=True).repartition(parts, "__bucket").sortWithinPartitions("__bucket", "__tag", "__hash")
+    placed = rows.select("__bucket", "__tag", "__key", "__hash", "word", "ids", F.when(F.col("__tag") == 1, words_of(F.col("__text"))).alias("words"))
+    schema = StructType([placed.schema["__key"]]).add("ids", ArrayType(IntegerType()))
+    return placed.mapInArrow(_filled, schema).select(F.col("__key").alias(key), F.col("ids").alias(out))
