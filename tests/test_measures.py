@@ -214,7 +214,7 @@ def test_reverts_and_duplicates(spark):
     assert rows(mechanical.named_reverts(c)) == [("half", "p"), ("r", "o")]
     assert rows(mechanical.confirmed_reverts(c, f)) == [("r", "o", 2)]
     assert rows(mechanical.duplicates(c, f)) == [("c2", "c1")]
-    assert rows(mechanical.kind_counts(c, f)) == [(0, 2, 1, 5)]
+    assert rows(mechanical.kind_counts(c, f)) == [(0, 0, 0, 2, 1, 5)]
 
 
 def test_reverts_pair_newest_first(spark):

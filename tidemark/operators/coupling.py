@@ -16,8 +16,7 @@ LOCAL_DISTANCE, HIDDEN_BOOST, FULL_EVIDENCE = 3, 1.5, 10
 
 def all_pairs(history: History) -> DataFrame:
     """``a, b, shared, changes_a, changes_b`` of all items with a counted change in common."""
-    used = history.used()
-    return named_pairs(pair_counts(used), used)
+    return history.once("pairs", lambda: named_pairs(pair_counts(history.used()), history.used()))
 
 
 def degree(shared: Column, a: Column, b: Column) -> Column:
@@ -33,6 +32,12 @@ def strong_pairs(history: History, min_shared: int = MIN_SHARED, min_degree: flo
 
 def couplings(history: History, min_shared: int = MIN_SHARED, min_degree: float = MIN_DEGREE) -> DataFrame:
     """``a, b, shared, degree, distance, test_pair, crosses_module, kind``: pairs at or above both thresholds."""
+    if (min_shared, min_degree) == (MIN_SHARED, MIN_DEGREE):
+        return history.once("couplings", lambda: _couplings(history, min_shared, min_degree))
+    return _couplings(history, min_shared, min_degree)
+
+
+def _couplings(history: History, min_shared: int, min_degree: float) -> DataFrame:
     pairs = strong_pairs(history, min_shared, min_degree)
     areas = history.areas()
     side = lambda x: areas.select(F.col("item").alias(x), F.col("area").alias(f"area_{x}"))
@@ -96,6 +101,11 @@ def area_pairs(touched: DataFrame) -> DataFrame:
     return named_pairs(pair_counts(used), used)
 
 
+def module_pairs(history: History) -> DataFrame:
+    """:func:`area_pairs` of all modules of a history."""
+    return history.once("module_pairs", lambda: area_pairs(history.touched()))
+
+
 def ranked_touched(history: History) -> DataFrame:
     """``change_id, area``: the ranked areas of every counted change, once; see :func:`tidemark.operators.modules.cohesion`.
 
@@ -104,7 +114,7 @@ def ranked_touched(history: History) -> DataFrame:
     from tidemark.operators.modules import cohesion
 
     ranked = cohesion(history).where("ranked").select("area")
-    return history.touched().select("change_id", "area").distinct().join(ranked, "area", "left_semi").select("change_id", "area")
+    return history.once("ranked", lambda: history.touched().select("change_id", "area").distinct().join(ranked, "area", "left_semi").select("change_id", "area"))
 
 
 def module_couplings(history: History, min_shared: int = MIN_SHARED, top: int = 200) -> DataFrame:
@@ -114,9 +124,9 @@ def module_couplings(history: History, min_shared: int = MIN_SHARED, top: int =
     return pairs.select("a", "b", "shared", exact.alias("exact")).orderBy(F.desc("exact"), F.desc("shared"), "a", "b").limit(top).select("a", "b", "shared", rounded("exact").alias("share"))
 
 
-def strongest_partner(touched: DataFrame, min_shared: int = MIN_SHARED) -> DataFrame:
-    """``area, partner, shared``: the area that each shares most changes with, ties to the smaller name."""
-    rows = directed(area_pairs(touched)).where(F.col("shared") >= min_shared)
+def strongest_partner(touched: DataFrame | None, min_shared: int = MIN_SHARED, pairs: DataFrame | None = None) -> DataFrame:
+    """``area, partner, shared``: the area that each shares most changes with, ties to the smaller name; from ``pairs`` of areas where they are at hand."""
+    rows = directed(area_pairs(touched) if pairs is None else pairs).where(F.col("shared") >= min_shared)
     best = rows.groupBy("item").agg(F.min_by("partner", F.struct(-F.col("shared"), F.col("partner"))).alias("partner"), F.max("shared").alias("shared"))
     return best.select(F.col("item").alias("area"), "partner", "shared")
 

@@ -118,7 +118,7 @@ def boundaries(history: History, limits: Limits = Limits()) -> DataFrame:
     rows = rows.where((F.col("h") >= limits.heat) & (F.col("cohesion") <= limits.containment))
     boost = F.when(2 * F.coalesce("hc", F.lit(0.0)) >= F.col("h"), CHRONIC_BOOST).otherwise(1.0)
     score = F.col("h") * (1 - F.col("cohesion")) * boost * (1 + F.coalesce("fix", F.lit(0.0)))
-    leaks = durable(rows.select("area", score.alias("score")).join(coupling.strongest_partner(history.touched()).select("area", "partner"), "area", "left"))
+    leaks = durable(rows.select("area", score.alias("score")).join(coupling.strongest_partner(None, pairs=coupling.module_pairs(history)).select("area", "partner"), "area", "left"))
     other = leaks.select(F.col("area").alias("partner"), F.col("partner").alias("back"), F.col("score").alias("more"))
     told = leaks.join(other, "partner", "left").withColumn("mutual", F.coalesce(F.col("back") == F.col("area"), F.lit(False)))
     first = (F.col("score") > F.col("more")) | ((F.col("score") == F.col("more")) & (F.col("area") < F.col("partner")))
@@ -191,6 +191,7 @@ def entry_points(history: History, edges: DataFrame, limits: Limits = Limits(),
     other are one entry, whose freed place goes to the next. Copies need ``texts`` (item, text).
     Only the best of each kind reach the driver, more of them if so many were folded away that the next ones count.
     """
+    history = history.keeping()
     kinds = [boundaries(history, limits), chronic_files(history, limits), hidden_couplings(history, limits), hub_findings(history, edges, limits), clique_findings(history, limits=limits)]
     if texts is not None:
         kinds.append(copy_findings(history, texts, limits))

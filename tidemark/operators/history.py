@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from tidemark.functions.paths import is_test
 from tidemark.operators.heavy import key_dictionary, key_id
 from tidemark.operators.revisions import MAX_CHANGE_SIZE, co_changed_pairs, counted_changes
 from tidemark.operators.skew import salted_join
+from tidemark.session import durable
 
 #: The area of an item that belongs to no module.
 ROOT = "."
@@ -19,36 +21,51 @@ ROOT = "."
 @dataclass(frozen=True)
 class History:
     """``changes`` (change_id, size, slice, window_id, subject_kind, time_s), ``change_items`` (change_id, item)
-    and ``items`` (path, module, test, loc, complexity, revisions ...). Rows may repeat and be null."""
+    and ``items`` (path, module, test, loc, complexity, revisions ...). Rows may repeat and be null.
+
+    A history that is :meth:`keeping` writes what several measures share once, to the checkpoint folder."""
 
     changes: DataFrame
     change_items: DataFrame
     items: DataFrame | None = None
     max_size: int = MAX_CHANGE_SIZE
+    kept: dict[str, DataFrame] | None = field(default=None, compare=False, repr=False)
+
+    def keeping(self) -> History:
+        """The same history, for a report of many measures: shared intermediate results are made once and read again."""
+        return self if self.kept is not None else replace(self, kept={})
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """``make()``; of a history that is keeping, its durable result of the first time."""
+        if self.kept is None:
+            return make()
+        if name not in self.kept:
+            self.kept[name] = durable(make())
+        return self.kept[name]
 
     def counted(self) -> DataFrame:
         """``change_id`` of every change of at most ``max_size`` files, once."""
-        return counted_changes(self.changes, self.max_size)
+        return self.once("counted", lambda: counted_changes(self.changes, self.max_size))
 
     def change_facts(self) -> DataFrame:
         """One row per non-null ``change_id``: window_id, slice, time_s, subject_kind, size (of differing rows, the largest of each)."""
         kept = [F.max(c).alias(c) for c in ("window_id", "slice", "time_s", "subject_kind", "size")]
-        return self.changes.where(F.col("change_id").isNotNull()).groupBy("change_id").agg(*kept)
+        return self.once("change_facts", lambda: self.changes.where(F.col("change_id").isNotNull()).groupBy("change_id").agg(*kept))
 
     def held(self) -> DataFrame:
         """``change_id, item``: distinct, without nulls; changes of any size."""
-        return self.change_items.where(F.col("change_id").isNotNull() & F.col("item").isNotNull()).select("change_id", "item").distinct()
+        return self.once("held", lambda: self.change_items.where(F.col("change_id").isNotNull() & F.col("item").isNotNull()).select("change_id", "item").distinct())
 
     def used(self) -> DataFrame:
         """``change_id, item`` of counted changes."""
-        return self.held().join(self.counted(), "change_id", "left_semi")
+        return self.once("used", lambda: self.held().join(self.counted(), "change_id", "left_semi"))
 
     def facts(self) -> DataFrame:
         """One row per non-null path: module, test, loc, complexity, score, revisions, breadth (of repeated rows, the largest of each)."""
         numbers = {"loc": F.col("loc"), "complexity": F.col("complexity.total"), "score": F.col("score"), "revisions": F.col("revisions"), "changes": F.col("changes"), "breadth": F.col("breadth")}
         rows = self.items.where(F.col("path").isNotNull())
         out = rows.groupBy("path").agg(F.min("module").alias("module"), F.max("test").alias("marked"), *[F.max(c).alias(n) for n, c in numbers.items()])
-        return out.select("path", F.coalesce("module", F.lit(ROOT)).alias("module"), F.coalesce("marked", is_test(F.col("path"))).alias("test"), *numbers)
+        return self.once("facts", lambda: out.select("path", F.coalesce("module", F.lit(ROOT)).alias("module"), F.coalesce("marked", is_test(F.col("path"))).alias("test"), *numbers))
 
     def areas(self) -> DataFrame:
         """``item, area, test``: the module of each known item."""
@@ -58,8 +75,11 @@ class History:
         """``change_id, item, area, test`` of counted changes; an unknown item lies in the root area."""
         from tidemark.functions.paths import is_test as by_path
 
-        rows = salted_join(self.used(), self.areas(), "item", "change_id", "left")
-        return rows.select("change_id", "item", F.coalesce("area", F.lit(ROOT)).alias("area"), F.coalesce("test", by_path(F.col("item"))).alias("test"))
+        def make() -> DataFrame:
+            rows = salted_join(self.used(), self.areas(), "item", "change_id", "left")
+            return rows.select("change_id", "item", F.coalesce("area", F.lit(ROOT)).alias("area"), F.coalesce("test", by_path(F.col("item"))).alias("test"))
+
+        return self.once("touched", make)
 
 
 def pair_counts(used: DataFrame, change: str = "change_id", item: str = "item", seed: int = 0) -> DataFrame:

@@ -16,14 +16,18 @@ ACTIVE_CHANGES = 10
 BANDS = (0.02, 0.05, 0.10, 0.20, 0.35, 0.50, 0.70)
 
 
-def item_activity(commit_files: DataFrame, commits: DataFrame, history: History) -> DataFrame:
+def item_activity(commit_files: DataFrame, commits: DataFrame, history: History, kinds: DataFrame | None = None, lives: DataFrame | None = None) -> DataFrame:
     """``path, revisions, lines_added, lines_deleted, changes``: real commits and lines of each path, and its logical changes of any size.
 
-    A commit is real if a row of it in ``commits`` is no pure move. Exact copies of a row count
+    A commit is real if it has no mechanical kind (``kinds``: sha, kind), or, where none are given, if a row of it in
+    ``commits`` is no pure move. With ``lives`` (sha, path, today, earlier) activity counts for the path that the
+    file has today, and that of earlier files of the name for nobody. Exact copies of a row count
     once; null line counts are 0.
     """
-    real = commits.where(~F.col("move_only") & F.col("sha").isNotNull()).select("sha").distinct()
+    real = commits.where(~F.col("move_only") & F.col("sha").isNotNull()).select("sha").distinct() if kinds is None else kinds.where(F.col("kind").isNull()).select("sha")
     rows = commit_files.where(F.col("path").isNotNull()).select("sha", "path", "added", "deleted").distinct().join(real, "sha", "left_semi")
+    if lives is not None:
+        rows = rows.join(lives.where(~F.col("earlier")).select("sha", "path", "today"), ["sha", "path"]).select("sha", F.col("today").alias("path"), "added", "deleted")
     each = rows.groupBy("path", "sha").agg(F.sum("added").alias("added"), F.sum("deleted").alias("deleted"))
     lines = each.groupBy("path").agg(F.count(F.lit(1)).alias("revisions"), F.coalesce(F.sum("added"), F.lit(0)).alias("lines_added"), F.coalesce(F.sum("deleted"), F.lit(0)).alias("lines_deleted"))
     changes = history.held().groupBy(F.col("item").alias("path")).agg(F.count(F.lit(1)).alias("changes"))
@@ -43,7 +47,7 @@ def hotspot_scores(history: History) -> DataFrame:
     rows = history.facts().select("path", "module", "test", F.coalesce("revisions", F.lit(0)).alias("revisions"), (F.coalesce("loc", F.lit(0)) + F.coalesce("complexity", F.lit(0))).alias("size"), F.coalesce("breadth", F.lit(0)).alias("breadth"), F.coalesce("changes", F.lit(0)).alias("changes"))
     most = rows.agg(F.max("revisions").alias("most_revisions"), F.max("size").alias("most_size"))
     rows = rows.withColumns({"mr": most.select("most_revisions").scalar(), "ms": most.select("most_size").scalar()})
-    return rows.withColumn("score", _norm(F.col("revisions"), F.col("mr")) * _norm(F.col("size"), F.col("ms"))).drop("mr", "ms")
+    return history.once("scores", lambda: rows.withColumn("score", _norm(F.col("revisions"), F.col("mr")) * _norm(F.col("size"), F.col("ms"))).drop("mr", "ms"))
 
 
 def hotspots(history: History, top: int = 50) -> DataFrame:
@@ -163,7 +167,7 @@ def heat_kinds(history: History) -> DataFrame:
     chronic = (F.size("earlier") >= 3) & (2 * hot_earlier >= F.size("earlier")) & (2 * hot_all >= F.size("counting"))
     acute = both & (F.size(F.array_except("all", "last")) > 0) & ~(2 * hot_earlier >= F.greatest(F.size("earlier"), F.lit(1)))
     kind = F.when(chronic, "chronic").when(acute, "acute").otherwise("other")
-    return rows.select("path", F.col("first").cast("long").alias("first"), F.size("counting").cast("long").alias("active"), hot_all.cast("long").alias("hot"), kind.alias("kind"))
+    return history.once("heat_kinds", lambda: rows.select("path", F.col("first").cast("long").alias("first"), F.size("counting").cast("long").alias("active"), hot_all.cast("long").alias("hot"), kind.alias("kind")))
 
 
 def window_trends(history: History, before: str = "before", now: str = "current") -> DataFrame:

@@ -5,15 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.numbers import rounded, share
 from tidemark.functions.paths import directories_of, extension_of
-from tidemark.operators.textual import bound
 
 #: Languages whose imports the scan knows; other files have unknown imports, which is not none.
 SCANNED = "ts tsx mts cts js jsx mjs cjs".split()
 _SPECIFIER = r"""(?m)(?:^|[;\s])(?:import|export)\s+(?:type\s+)?(?:[\w*\s{},$]+?\s+from\s+)?["']([^"'\n]+)["']|\b(?:import|require)\(\s*["']([^"'\n]+)["']\s*\)"""
-_EXPORTED = r"(?m)^export\s+(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(?:const|let|var|function\*?|class|interface|type|enum|namespace)\s+([\w$]+)"
-_LISTED = r"(?m)^export\s+(?:type\s+)?\{([^}]*)\}"
 #: Suffixes by which a specifier's file is sought, best first; a stage's first hit wins.
 STAGES = ("", ".ts", ".tsx", ".mts", ".d.ts", ".js", ".jsx", ".mjs", "/index.ts", "/index.tsx", "/index.js")
 
@@ -24,14 +20,6 @@ def specifiers(text: Column) -> Column:
     return F.array_distinct(F.filter(hits, lambda s: s != ""))
 
 
-def exported_names(text: Column) -> Column:
-    """Distinct names that a source text exports by declaration or list; re-exports by star are not followed."""
-    declared = F.regexp_extract_all(text, F.lit(_EXPORTED), F.lit(1))
-    lists = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(_LISTED), F.lit(1)), lambda g: F.split(g, ",")))
-    named = F.transform(lists, lambda n: F.regexp_extract(n, r"([\w$]+)\s*$", 1))
-    return F.array_distinct(F.filter(F.concat(declared, named), lambda n: n != ""))
-
-
 def joined_path(base: Column, relative: Column) -> Column:
     """``relative`` as seen from the directory of ``base``, without ``.`` and ``..``; null if it leaves the root."""
     parts = F.concat(directories_of(base), F.split(relative, "/", -1))
@@ -90,17 +78,3 @@ def complete_files(imports: DataFrame, texts: DataFrame, resolved_: DataFrame) -
     """``item``: scanned files none of whose imports is missing."""
     scanned = texts.where(F.col("item").isNotNull() & F.col("text").isNotNull() & extension_of(F.col("item")).isin(SCANNED)).select("item").distinct()
     return scanned.join(resolved_.where("state = 'missing'").select("item"), "item", "left_anti")
-
-
-def module_depth(texts: DataFrame, areas: DataFrame) -> DataFrame:
-    """``area, lines, names, depth``: implementation lines per distinct exported name of each module's scanned files; tests are left out.
-
-    depth is null for a module that exports nothing.
-    """
-    rows = texts.where(F.col("text").isNotNull() & extension_of(F.col("item")).isin(SCANNED)).groupBy("item").agg(F.min("text").alias("text")).join(areas.where(~F.col("test")), "item")
-    loc = F.size(F.filter(F.split("text", "\n", -1), lambda line: line.rlike(r"\S")))
-    each = rows.select("area", loc.cast("long").alias("lines"), bound(exported_names(F.col("text")), lambda n: n).alias("names"))
-    lines = each.groupBy("area").agg(F.sum("lines").alias("lines"))
-    names = each.select("area", F.explode("names").alias("name")).distinct().groupBy("area").agg(F.count(F.lit(1)).alias("names"))
-    out = lines.join(names, "area", "left").fillna(0, ["names"])
-    return out.select("area", "lines", "names", rounded(share("lines", "names")).alias("depth"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import rounded, share
 from tidemark.functions.paths import directory_of, is_config, is_test, matches_any, name_of
-from tidemark.operators.coupling import MIN_DEGREE, MIN_SHARED, area_pairs, directed, strong_pairs
+from tidemark.operators.coupling import MIN_DEGREE, MIN_SHARED, directed, module_pairs, strong_pairs
 from tidemark.operators.history import ROOT, History
 from tidemark.operators.skew import salted_join
 from tidemark.session import durable
@@ -38,12 +38,12 @@ def cohesion(history: History) -> DataFrame:
     files = history.areas().groupBy("area").agg(F.count(F.lit(1)).alias("files"), F.min("test").alias("test_only"))
     rows = files.join(area_tally(history.touched()), "area", "left").fillna(0, ["changes", "local"])
     floor = module_floor(history).select("floor").scalar()
-    return rows.select("area", "files", "test_only", "changes", "local", rounded(share("local", "changes")).alias("cohesion"), (~F.col("test_only") & (F.col("changes") >= floor)).alias("ranked"))
+    return history.once("cohesion", lambda: rows.select("area", "files", "test_only", "changes", "local", rounded(share("local", "changes")).alias("cohesion"), (~F.col("test_only") & (F.col("changes") >= floor)).alias("ranked")))
 
 
 def module_partners(history: History, top: int = 5, min_shared: int = MIN_SHARED) -> DataFrame:
     """``area, partners``: per module the areas it shares most changes with: array of (partner, shared)."""
-    rows = directed(area_pairs(history.touched())).where(F.col("shared") >= min_shared)
+    rows = directed(module_pairs(history)).where(F.col("shared") >= min_shared)
     place = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("shared"), "partner"))
     best = rows.withColumn("place", place).where(F.col("place") <= top)
     listed = F.sort_array(F.collect_list(F.struct("place", "partner", "shared")))
@@ -89,7 +89,7 @@ def fix_density(history: History) -> DataFrame:
     wide = rows.where(fix & (F.col("areas") > 1)).select("change_id").distinct().agg(F.count(F.lit(1)).alias("spanning"))
     whole = kinds.agg(F.count(F.lit(1)).alias("changes"), F.count_if(fix).alias("fixes")).select(F.lit("*").alias("area"), "changes", "fixes", wide.scalar().alias("spanning"))
     out = by_area.unionByName(whole)
-    return out.select("area", "changes", "fixes", "spanning", F.when(known.scalar(), rounded(share("fixes", "changes"))).alias("share"))
+    return history.once("fixes", lambda: out.select("area", "changes", "fixes", "spanning", F.when(known.scalar(), rounded(share("fixes", "changes"))).alias("share")))
 
 
 #: Conventional entry files of a module, at its root or in its ``src``.
@@ -261,7 +261,7 @@ def standings(history: History, holds: float = 0.75) -> DataFrame:
     heat = item_heat(history).groupBy(F.col("module").alias("area")).agg(F.sum("production_heat").alias("heat"))
     total = heat.agg(F.sum("heat")).scalar()
     rows = cohesion(history).where(~F.col("test_only") & (F.col("area") != ROOT)).join(heat, "area", "left")
-    rows = rows.join(strongest_partner(history.touched()).select("area", F.lit(True).alias("paired")), "area", "left")
+    rows = rows.join(strongest_partner(None, pairs=module_pairs(history)).select("area", F.lit(True).alias("paired")), "area", "left")
     floor = module_floor(history).select("floor").scalar()
     exact = share("local", "changes")
     state = F.when(exact.isNull() | (F.col("changes") < floor), "unjudged").when(exact > holds, "holds").when(F.col("paired"), "leaks").otherwise("unjudged")

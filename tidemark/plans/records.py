@@ -181,7 +181,7 @@ WHERE name IS NOT NULL GROUP BY 1""",
     "duplicate_commits": f"WITH {_FIRST} SELECT sha, first FROM twice",
     "mechanical_kinds": f"""WITH {_FIRST}, k AS (
   SELECT CASE WHEN move_only THEN 'moves' WHEN sha IN (SELECT revert FROM undone UNION SELECT original FROM undone) THEN 'reverts' WHEN sha IN (SELECT sha FROM twice) THEN 'duplicates' END AS kind FROM firsts)
-SELECT count(*) FILTER (kind = 'moves') AS moves, count(*) FILTER (kind = 'reverts') AS reverts, count(*) FILTER (kind = 'duplicates') AS duplicates, count(*) FILTER (kind IS NULL) AS real FROM k""",
+SELECT 0::BIGINT AS ignored, 0::BIGINT AS whitespace, count(*) FILTER (kind = 'moves') AS moves, count(*) FILTER (kind = 'reverts') AS reverts, count(*) FILTER (kind = 'duplicates') AS duplicates, count(*) FILTER (kind IS NULL) AS real FROM k""",
     "anchored_runs": f"""WITH RECURSIVE {_FIRST}, times AS (SELECT DISTINCT subject, time_s FROM firsts WHERE subject IS NOT NULL), run AS (
   SELECT subject, min(time_s) AS first FROM times GROUP BY 1
   UNION ALL
@@ -217,9 +217,28 @@ def link_couplings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def module_depth(spark: SparkSession, folder: str) -> DataFrame:
-    from tidemark.operators import imports
+    from tidemark.operators import exports, modules
+
+    history = history_of(spark, folder)
+    files = history.facts().select(F.col("path").alias("item"), F.col("module").alias("area"), "test", "loc")
+    entries = modules.entry_points(history, globs=["**/src/**/read-*.ts", "**/src/**/read_*.ts"])
+    return exports.module_depth(table(spark, folder, "texts"), files, entries)
 
-    return imports.module_depth(table(spark, folder, "texts"), history_of(spark, folder).areas())
+
+def exported_names(spark: SparkSession, folder: str) -> DataFrame:
+    """What every scanned file exports, stars and re-exports followed."""
+    from tidemark.operators import exports
+
+    texts = table(spark, folder, "texts")
+    return exports.visible_exports(texts, texts.where(F.col("item").isNotNull()).select(F.col("item").alias("path")))[0]
+
+
+def life_activity(spark: SparkSession, folder: str) -> DataFrame:
+    """Activity of today's files: renames followed, earlier files of a name and mechanical commits left out."""
+    from tidemark.operators import hotspots
+
+    commits, files = _commits(spark, folder)
+    return hotspots.item_activity(files, commits, history_of(spark, folder), mechanical.kinds(commits, files), lineage.lives(files, commits))
 
 
 def entry_points(spark: SparkSession, folder: str) -> DataFrame:
@@ -237,16 +256,22 @@ def inspected(spark: SparkSession, folder: str) -> DataFrame:
     return report.inspect(tables, ["packages/summit-dispatch-registry/src/**"])["couplings"].select("a", "b", "shared")
 
 
-QUERIES |= {"import_scan": import_scan, "link_couplings": link_couplings, "module_depth": module_depth, "entry_points": entry_points, "inspect": inspected}
-
-SQL["module_depth"] = PRELUDE + f""", sources AS (
-  SELECT path, text FROM (SELECT item AS path, min(text) AS text FROM texts WHERE item IS NOT NULL AND text IS NOT NULL GROUP BY 1) WHERE {_EXT} IN {_IN("ts tsx mts cts js jsx mjs cjs".split())}),
-scanned AS (SELECT module AS area, len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '\\S'))) AS n, list_concat(
-  regexp_extract_all(text, '(?m)^export\\s+(?:default\\s+)?(?:declare\\s+)?(?:abstract\\s+)?(?:async\\s+)?(?:const|let|var|function\\*?|class|interface|type|enum|namespace)\\s+([\\w$]+)', 1),
-  list_transform(flatten(list_transform(regexp_extract_all(text, '(?m)^export\\s+(?:type\\s+)?\\{{([^}}]*)\\}}', 1), lambda g: string_split(g, ','))), lambda x: regexp_extract(x, '([\\w$]+)\\s*$', 1))) AS names
-  FROM sources JOIN facts USING (path) WHERE NOT test)
-SELECT area, lines, coalesce(names, 0) AS names, CASE WHEN names > 0 THEN floor(lines / names * 10000 + 0.5) / 10000 END AS depth FROM (SELECT area, sum(n)::BIGINT AS lines FROM scanned GROUP BY 1)
-LEFT JOIN (SELECT area, count(DISTINCT name) AS names FROM (SELECT area, unnest(names) AS name FROM scanned) WHERE name <> '' GROUP BY 1) USING (area)"""
+QUERIES |= {"import_scan": import_scan, "link_couplings": link_couplings, "module_depth": module_depth, "exported_names": exported_names, "life_activity": life_activity, "entry_points": entry_points, "inspect": inspected}
+
+_NAMES = """sources AS (SELECT item AS path, min(text) AS text FROM texts WHERE item IS NOT NULL AND text IS NOT NULL GROUP BY 1),
+shown AS (
+  SELECT path, unnest(regexp_extract_all(text, '(?m)^export\\s+(?:declare\\s+)?(?:abstract\\s+)?(?:async\\s+)?(?:const|let|var|function\\*?|class|interface|type|enum|namespace)\\s+([\\w$]+)', 1)) AS name FROM sources
+  UNION SELECT path, 'default' FROM sources WHERE regexp_matches(text, '(?m)^export\\s+default\\b')
+  UNION SELECT path, regexp_extract(x, '([\\w$]+)\\s*$', 1) FROM (SELECT path, unnest(string_split(unnest(regexp_extract_all(text, '(?m)^export\\s+(?:type\\s+)?\\{([^}]*)\\}', 1)), ',')) AS x FROM sources)),
+names AS (SELECT path, name FROM shown WHERE name <> '' AND lower(regexp_extract(path, '\\.([^./]*)$', 1)) IN ('ts', 'tsx', 'mts', 'cts', 'js', 'jsx', 'mjs', 'cjs'))"""
+# the given texts hand nothing on, so a name's binding is its own file's
+SQL["exported_names"] = f"WITH {_NAMES} SELECT path AS file, name, path || '#' || name AS binding FROM names"
+SQL["module_depth"] = PRELUDE + f""", {_NAMES},
+entries AS (SELECT path, module AS area FROM facts WHERE NOT test AND NOT regexp_matches(path, '\\.config\\.[cm]?[jt]s$') AND regexp_matches(path, '(^|/)src/(.*/)?read[-_][^/]*\\.ts$')),
+behind AS (SELECT module AS area, sum(coalesce(loc, 0))::BIGINT AS lines FROM facts WHERE NOT test AND NOT regexp_matches(path, '\\.config\\.[cm]?[jt]s$') AND path NOT IN (SELECT path FROM entries) GROUP BY 1)
+SELECT area, exports, lines, floor(lines / exports * 10000 + 0.5) / 10000 AS depth FROM (
+  SELECT area, count(DISTINCT name) AS exports FROM entries JOIN names USING (path)
+  WHERE area NOT IN (SELECT area FROM entries LEFT JOIN sources USING (path) WHERE text IS NULL) GROUP BY 1) JOIN behind USING (area) WHERE lines > 0"""
 SQL["inspect"] = PRELUDE + """, focus AS (SELECT path FROM facts WHERE path LIKE 'packages/summit-dispatch-registry/src/%')
 SELECT a, b, shared FROM coupled WHERE a IN (SELECT path FROM focus) OR b IN (SELECT path FROM focus)"""
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.paths import matches_any
-from tidemark.operators import coupling, entries, hotspots, modules, trends
+from tidemark.operators import coupling, entries, hotspots, modules, trends, views
 from tidemark.operators.history import History
 
 SCHEMA_VERSION = 1
@@ -17,15 +17,18 @@ SCHEMA_VERSION = 1
 SUBJECTS = {
     "files": ("path",), "couplings": ("a", "b"), "modules": ("area",), "moduleCoupling": ("a", "b"), "distantCouplings": ("a", "b"), "unstableInterfaces": ("item",),
     "dependencyDirection": ("from", "to"), "changeRadius": (), "propagationCost": (), "series": (), "erosion": ("area",), "fixDensity": ("area",), "territories": ("directory",), "entryPoints": ("subject",), "verdict": (),
+    "repositoryErosion": (), "weakStructure": ("area",), "thresholds": (),
 }
 ORDER = {
-    "files": ["-score", "path"], "couplings": ["-degree", "-shared", "a", "b"], "modules": ["cohesion", "-changes", "area"], "moduleCoupling": ["-share", "a", "b"], "distantCouplings": ["-score", "a", "b"],
-    "unstableInterfaces": ["-changed_dependents", "item"], "dependencyDirection": ["-rank", "from", "to"], "series": ["slice"], "erosion": ["area"], "fixDensity": ["-share", "area"], "territories": ["-heat", "directory"], "entryPoints": ["place"],
+    "files": ["-score", "path"], "couplings": ["kind", "-degree", "-shared", "a", "b"], "modules": ["-ranked", "cohesion", "-changes", "area"], "moduleCoupling": ["-share", "-shared", "a", "b"], "distantCouplings": ["-score", "-degree", "-shared", "a", "b"],
+    "unstableInterfaces": ["-changed_dependents", "-changes", "-fan_in", "item"], "dependencyDirection": ["-rank", "-imports", "from", "to"], "series": ["slice"], "erosion": ["area"], "fixDensity": ["-share", "area"], "territories": ["-heat", "directory"], "entryPoints": ["place"],
+    "weakStructure": ["-heat_share", "area"], "thresholds": ["name"],
 }
 
 
 def report(history: History, edges: DataFrame, relations: DataFrame) -> dict[str, DataFrame]:
-    """The tables of a report, none of them computed yet."""
+    """The tables of a report. What several of them share is computed now, once; the tables themselves are not."""
+    history = history.keeping()
     scores = hotspots.hotspot_scores(history).select("path", "module", "test", "revisions", "changes", "breadth", "size", "score")
     return {
         "files": scores,
@@ -37,7 +40,10 @@ def report(history: History, edges: DataFrame, relations: DataFrame) -> dict[str
         "dependencyDirection": modules.dependency_direction(history, edges),
         "changeRadius": modules.change_radius(history),
         "propagationCost": modules.propagation_cost(history),
-        "series": hotspots.active_slices(history),
+        "series": trends.slice_measures(history),
+        "repositoryErosion": trends.repository_erosion(history),
+        "weakStructure": views.weak_structure(history),
+        "thresholds": views.thresholds(history),
         "erosion": trends.erosion(history),
         "fixDensity": modules.fix_density(history),
         "territories": hotspots.territory_heat(history),
