@@ -69,11 +69,13 @@ def _spread(ends: DataFrame, hands: DataFrame) -> DataFrame:
 
     Other deletions and renames away hand on what is known where they stand; a birth begins anew.
     """
-    dead = fresh = durable(ends.select("row", F.lit("end").alias("does")))
-    while not fresh.isEmpty():
+    dead = fresh = ends.select("row", F.lit("end").alias("does"))
+    while True:
         step = hands.join(fresh.select(F.col("row").alias("from"), F.col("does").alias("by")), ["from", "by"], "left_semi").select("row", "does").distinct()
         fresh = durable(step.join(dead, ["row", "does"], "left_anti"))
-        dead = durable(dead.unionByName(fresh))
+        if fresh.isEmpty():
+            break
+        dead = dead.unionByName(fresh)
     return dead
 
 

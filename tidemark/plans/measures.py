@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import coupling, hotspots, modules, trends
+from tidemark.operators import coupling, hotspots, modules, trends, views
 from tidemark.operators.history import History
 from tidemark.session import table
 
@@ -101,6 +101,13 @@ QUERIES = {
     "repository_erosion": _plain(trends.repository_erosion),
     "slice_measures": _plain(trends.slice_measures),
     "trend_modules": _plain(trends.module_trends),
+    "weak_structure": _plain(views.weak_structure),
+    "co_change": lambda spark, folder: views.co_change(history_of(spark, folder), import_relations(spark, folder)),
+    "least_cohesive": _plain(views.least_cohesive),
+    "overview_hotspots": _plain(views.overview_hotspots),
+    "thresholds": _plain(views.thresholds),
+    "contract_activity": lambda spark, folder: views.contract_activity(table(spark, folder, "commit_files"), table(spark, folder, "commits"), history_of(spark, folder)),
+    "leaking_entry_points": lambda spark, folder: views.leaking_entry_points(history_of(spark, folder), modules.entry_points(history_of(spark, folder), globs=["**/index.ts", "**/*-index.ts", "**/read*.ts"])),
 }
 
 _R = lambda x: f"(floor(({x}) * 10000 + 0.5) / 10000)"
@@ -356,6 +363,30 @@ FROM held JOIN change_facts USING (change_id) WHERE size <= 50 AND window_id IN
   FROM area_used JOIN spans USING (change_id) JOIN change_facts USING (change_id) GROUP BY 1) WHERE was > 0 AND is_n > 0""",
 }
 
+_ENTRY = "regexp_matches(item, '(^|/)(index|[^/]*-index|read[^/]*)\\.ts$') AND item IN (SELECT path FROM facts WHERE NOT test)"
+_S |= {
+    "weak_structure": f"""SELECT s.area, heat_share, {_R('local / changes')} AS containment, state = 'leaks' AS leaks, partner, CASE WHEN partner IS NOT NULL THEN {_R('shared / changes')} END AS partner_share
+FROM (@standings@) s JOIN tally USING (area) LEFT JOIN (SELECT area, partner, shared FROM (SELECT *, row_number() OVER (PARTITION BY area ORDER BY shared DESC, partner) AS k FROM area_directed WHERE shared >= 3) WHERE k = 1) USING (area)
+WHERE state <> 'unjudged'""",
+    "co_change": f"""SELECT CASE WHEN x.h >= y.h THEN p.a ELSE p.b END AS a, CASE WHEN x.h >= y.h THEN p.b ELSE p.a END AS b, shared, coalesce(f, 0) AS file_pairs, coalesce(g, 0) AS hidden_pairs FROM (@pairs@) p
+JOIN (SELECT module, sum(production_heat) AS h FROM heats GROUP BY 1) x ON x.module = p.a JOIN (SELECT module, sum(production_heat) AS h FROM heats GROUP BY 1) y ON y.module = p.b
+LEFT JOIN (SELECT least(coalesce(v.module, '.'), coalesce(w.module, '.')) AS ma, greatest(coalesce(v.module, '.'), coalesce(w.module, '.')) AS mb, count(*) AS f, count(*) FILTER (relation = 'none') AS g
+  FROM coupled c LEFT JOIN facts v ON v.path = c.a LEFT JOIN facts w ON w.path = c.b LEFT JOIN relations r ON r.a = c.a AND r.b = c.b
+  WHERE coalesce(v.module, '.') <> coalesce(w.module, '.') AND NOT {_TEST('c.a')} AND NOT {_TEST('c.b')} AND NOT ({_CONTRACT('c.a')} AND {_CONTRACT('c.b')}) GROUP BY 1, 2) q ON q.ma = p.a AND q.mb = p.b""",
+    "least_cohesive": f"SELECT area, changes, {_R('local / changes')} AS cohesion FROM tally WHERE area IN (SELECT area FROM ranked) ORDER BY cohesion, changes DESC, area LIMIT 5",
+    "overview_hotspots": f"""SELECT path, {_R('score')} AS score, rest = 0 AS includes_tests, rest > 0 AND tests > 0 AS toggleable FROM (
+  SELECT *, count(*) FILTER (test) OVER () AS tests, count(*) FILTER (NOT test) OVER () AS rest FROM scored) WHERE NOT test OR rest = 0 ORDER BY scored.score DESC, path LIMIT 10""".replace("scored.score", "score"),
+    "thresholds": """SELECT unnest(['max_change_size', 'hub_breadth', 'hub_changes', 'hub_share', 'local_distance', 'clique_share', 'fan_in', 'interface_changes', 'volatility', 'copy_similarity', 'leakage', 'implementation_changes',
+  'min_shared', 'min_degree', 'propagation_depth', 'ubiquitous_share', 'ubiquitous_changes', 'convention_share', 'slice_changes', 'erosion_shift', 'erosion_sigmas', 'mean_line', 'max_bytes', 'module_changes']) AS name,
+  unnest([50, 10, 5, 0.05, 3, 0.3, 5, 5, 2, 0.5, 0.5, 5, 3, 0.3, 3, 0.3, 10, 0.05, 10, 0.1, 2, 300, 1048576, floor]::DOUBLE[]) AS value FROM floors""",
+    "contract_activity": f"""SELECT path, coalesce(module, '.') AS module, revisions, changes, lines_added, lines_deleted FROM (@activity@) LEFT JOIN (SELECT path, module FROM facts) USING (path) WHERE {_CONTRACT('path')}""",
+    "leaking_entry_points": f"""SELECT item, area, leakage FROM (SELECT DISTINCT t.item, t.area FROM touched t WHERE NOT t.test AND {_ENTRY.replace('item', 't.item', 2)}
+    AND EXISTS (SELECT 1 FROM touched u WHERE u.change_id = t.change_id AND u.area = t.area AND NOT u.test AND NOT ({_ENTRY.replace('item', 'u.item', 2)})))
+  JOIN (SELECT area, leakage FROM (@churn@) WHERE leaky AND area NOT IN (SELECT area FROM tests_only)) USING (area)""",
+}
+for _name, _marks in {"weak_structure": {"@standings@": "module_standings"}, "co_change": {"@pairs@": "territory_pairs"}, "contract_activity": {"@activity@": "item_activity"}, "leaking_entry_points": {"@churn@": "interface_churn"}}.items():
+    for _mark, _of in _marks.items():
+        _S[_name] = _S[_name].replace(_mark, _S[_of])
 _S["chronic_heat"] = _S["chronic_heat"].replace("@heat_kind@", _S["heat_kind"])
 
 SQL = {name: PRELUDE + body for name, body in _S.items() if name != "coupling"}

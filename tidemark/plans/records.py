@@ -262,7 +262,7 @@ _NAMES = """sources AS (SELECT item AS path, min(text) AS text FROM texts WHERE
 shown AS (
   SELECT path, unnest(regexp_extract_all(text, '(?m)^export\\s+(?:declare\\s+)?(?:abstract\\s+)?(?:async\\s+)?(?:const|let|var|function\\*?|class|interface|type|enum|namespace)\\s+([\\w$]+)', 1)) AS name FROM sources
   UNION SELECT path, 'default' FROM sources WHERE regexp_matches(text, '(?m)^export\\s+default\\b')
-  UNION SELECT path, regexp_extract(x, '([\\w$]+)\\s*$', 1) FROM (SELECT path, unnest(string_split(unnest(regexp_extract_all(text, '(?m)^export\\s+(?:type\\s+)?\\{([^}]*)\\}', 1)), ',')) AS x FROM sources)),
+  UNION SELECT path, regexp_extract(x, '([\\w$]+)\\s*$', 1) FROM (SELECT path, unnest(flatten(list_transform(regexp_extract_all(text, '(?m)^export\\s+(?:type\\s+)?\\{([^}]*)\\}', 1), lambda g: string_split(g, ',')))) AS x FROM sources)),
 names AS (SELECT path, name FROM shown WHERE name <> '' AND lower(regexp_extract(path, '\\.([^./]*)$', 1)) IN ('ts', 'tsx', 'mts', 'cts', 'js', 'jsx', 'mjs', 'cjs'))"""
 # the given texts hand nothing on, so a name's binding is its own file's
 SQL["exported_names"] = f"WITH {_NAMES} SELECT path AS file, name, path || '#' || name AS binding FROM names"
