@@ -67,16 +67,17 @@ def _todays(renames: DataFrame) -> DataFrame:
 def _spread(ends: DataFrame, hands: DataFrame) -> DataFrame:
     """``row, does``: the events before (older than) which a name's file belongs to an earlier life, from the deletions that end one.
 
-    Other deletions and renames away hand on what is known where they stand; a birth begins anew.
+    Other deletions and renames away hand on what is known where they stand, each from one newer event; a birth
+    begins anew. Pointers to those events double until all have met an end or a beginning.
     """
-    dead = fresh = ends.select("row", F.lit("end").alias("does"))
-    while True:
-        step = hands.join(fresh.select(F.col("row").alias("from"), F.col("does").alias("by")), ["from", "by"], "left_semi").select("row", "does").distinct()
-        fresh = durable(step.join(dead, ["row", "does"], "left_anti"))
-        if fresh.isEmpty():
-            break
-        dead = dead.unionByName(fresh)
-    return dead
+    at = F.xxhash64("from", "by")
+    now = hands.join(ends.select("row", F.lit(True).alias("gone")), "row", "left").select("row", "does", F.xxhash64("row", "does").alias("id"), (F.coalesce("gone", F.lit(False)) & (F.col("does") == "end")).alias("gone"), at.alias("next"))
+    now = durable(now.withColumn("next", F.when(~F.col("gone"), F.col("next"))))
+    while not now.where(F.col("next").isNotNull()).isEmpty():
+        far = now.select(F.col("id").alias("next"), F.col("gone").alias("then"), F.col("next").alias("after"))
+        step = now.join(far, "next", "left").select("row", "does", "id", (F.col("gone") | F.coalesce("then", F.lit(False))).alias("gone"), F.col("after").alias("next"))
+        now = durable(step.withColumn("next", F.when(~F.col("gone"), F.col("next"))))
+    return now.where("gone").select("row", "does")
 
 
 def _ended(events: DataFrame) -> tuple[DataFrame, DataFrame]:
