@@ -121,6 +121,8 @@ def test_partners_against_brute_force(spark, monkeypatch):
     strong = {k for k, (s, a, b, ca, cb, n) in want.items() if s >= 3 and 20 * s >= 3 * (a + b) and s * n >= 2 * ca * cb}
     assert {tuple(r) for r in stripes.strong_partners(frame(spark, ITEMS, ci), frame(spark, CHANGES, ch)).collect()} == strong
     assert stripes.partners(frame(spark, ITEMS, []), frame(spark, CHANGES, [])).count() == 0
+    sure = {(r["item_a"], r["item_b"]) for r in stripes.partners(frame(spark, ITEMS, ci), frame(spark, CHANGES, ch)).collect() if r["llr"] >= 2} & strong
+    assert {tuple(r) for r in stripes.strong_partners(frame(spark, ITEMS, ci), frame(spark, CHANGES, ch), min_llr=2).collect()} == sure
 
 
 def test_log_likelihood(spark):

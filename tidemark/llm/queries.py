@@ -120,6 +120,9 @@ SQL = {
 SELECT module, path FROM (
   SELECT g AS module, i AS path, row_number() OVER (PARTITION BY g ORDER BY fused DESC, i) AS k, count(*) OVER (PARTITION BY g) AS n FROM w
 ) WHERE k = 1 AND n >= 20""",
+    "p4_ranking": _FUSED
+    + """
+SELECT g AS module, i AS path, round(fused, 6) AS fused, row_number() OVER (PARTITION BY g ORDER BY fused DESC, i) AS place, count(*) OVER (PARTITION BY g) AS of FROM w""",
     "p5_found": _PAIRS
     + """
 SELECT item_a, item_b FROM wide WHERE shared >= 3 AND 20 * shared >= 3 * (changes_a + changes_b) AND shared * total >= 2 * counted_a * counted_b""",

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.heavy import key_dictionary, key_id
+from tidemark.operators.skew import salted_join
 
 #: Items with more than 1/HEAVY of all rows are heavy; there are fewer than HEAVY of them.
 HEAVY = 1000
@@ -169,7 +170,8 @@ def partners(change_items: DataFrame, changes: DataFrame, max_size: int = 50, mi
     stats = flagged.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count("valid").alias("c"))
     known = key_dictionary(rows, "item", seed).join(stats, "id")
     side = lambda x: known.select(F.col("id").alias(x), F.col("key").alias(f"key_{x}"), F.col("n").alias(f"n_{x}"), F.col("c").alias(f"c_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("counted", valid.select(F.count(F.lit(1))).scalar())
+    # an item may have any number of neighbours: the pairs of one key are salted by the other
+    both = salted_join(salted_join(pairs, side("a"), "a", "b"), side("b"), "b", "a").withColumn("counted", valid.select(F.count(F.lit(1))).scalar())
     first = F.col("key_a") < F.col("key_b")
     pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
     out = both.select(
@@ -191,9 +193,9 @@ def partners(change_items: DataFrame, changes: DataFrame, max_size: int = 50, mi
     )
 
 
-def strong_partners(change_items: DataFrame, changes: DataFrame, max_size: int = 50, min_shared: int = 3, min_degree: float = 0.3, min_lift: float = 2.0) -> DataFrame:
-    """``item_a, item_b``: pairs of :func:`partners` at or above all three thresholds (exact at the edges)."""
+def strong_partners(change_items: DataFrame, changes: DataFrame, max_size: int = 50, min_shared: int = 3, min_degree: float = 0.3, min_lift: float = 2.0, min_llr: float = 0.0) -> DataFrame:
+    """``item_a, item_b``: pairs of :func:`partners` at or above all thresholds (exact at the edges); ``min_llr``: least log-likelihood ratio, none by default."""
     rows = partners(change_items, changes, max_size, min_shared)
     degree = 2 * F.col("shared") >= F.lit(min_degree) * (F.col("changes_a") + F.col("changes_b"))
     whole = F.col("shared") * F.col("counted") >= F.lit(min_lift) * F.col("counted_a") * F.col("counted_b")
-    return rows.where(F.col("degree").isNotNull() & ((F.col("degree") >= min_degree) | degree) & whole).select("item_a", "item_b")
+    return rows.where(F.col("degree").isNotNull() & ((F.col("degree") >= min_degree) | degree) & whole & (F.col("llr") >= min_llr)).select("item_a", "item_b")
