@@ -99,7 +99,7 @@ def named_pairs(pairs: DataFrame, used: DataFrame, item: str = "item", seed: int
     left = checked.select(F.col("id").alias("a"), F.col("key").alias("ka"), F.col("n").alias("na"))
     right = checked.select(F.col("id").alias("b"), F.col("key").alias("kb"), F.col("n").alias("nb"))
     # an item may have any number of neighbours: the pairs of one key are salted by the other
-    rows = salted_join(salted_join(pairs, left, "a", "b"), right, "b", "a")
+    rows = salted_join(salted_join(pairs, left, "a", "b", salts=4), right, "b", "a", salts=4)
     forward = F.col("ka") < F.col("kb")
     return rows.select(
         F.least("ka", "kb").alias("a"),
