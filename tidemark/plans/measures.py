@@ -196,18 +196,18 @@ points AS (
   SELECT 'area' AS of, area AS key, slice::DOUBLE AS x, share AS y, changes::DOUBLE AS n FROM shares
   UNION ALL SELECT 'all', '', slice, local, measured FROM slice_measures WHERE active AND local IS NOT NULL),
 ends AS (SELECT of, key, count(*) AS k, min(x) AS lo, max(x) AS hi FROM points GROUP BY 1, 2),
-parts AS (
+line_parts AS (
   SELECT 'whole' AS part, p.* FROM points p JOIN ends USING (of, key) WHERE k >= 3
   UNION ALL SELECT 'inner', p.* FROM points p JOIN ends USING (of, key) WHERE k >= 5 AND x > lo AND x < hi),
-part_slopes AS (SELECT a.part, a.of, a.key, median((b.y - a.y) / (b.x - a.x)) AS slope FROM parts a JOIN parts b ON a.part = b.part AND a.of = b.of AND a.key = b.key AND a.x < b.x GROUP BY 1, 2, 3),
+part_slopes AS (SELECT a.part, a.of, a.key, median((b.y - a.y) / (b.x - a.x)) AS slope FROM line_parts a JOIN line_parts b ON a.part = b.part AND a.of = b.of AND a.key = b.key AND a.x < b.x GROUP BY 1, 2, 3),
 part_lines AS (
   SELECT part, of, key, any_value(slope) AS slope, median(y - slope * x) AS intercept, min(x) AS lo, max(x) AS hi, count(*) AS k,
-    least(0.95, greatest(0.05, sum(y * n) / sum(n))) AS p, sum(n * x) / sum(n) AS middle FROM parts JOIN part_slopes USING (part, of, key) GROUP BY 1, 2, 3),
+    least(0.95, greatest(0.05, sum(y * n) / sum(n))) AS p, sum(n * x) / sum(n) AS middle FROM line_parts JOIN part_slopes USING (part, of, key) GROUP BY 1, 2, 3),
 part_moves AS (
   SELECT l.part, l.of, l.key, any_value(l.slope) AS slope, any_value(intercept) AS intercept, any_value(lo) AS lo, any_value(hi) AS hi, any_value(l.k) AS k,
     CASE WHEN any_value(l.slope * (hi - lo)) <= -greatest(0.1, 2 * 1.15 * any_value(hi - lo) / sqrt(sum(n * (x - middle) ** 2 / (p * (1 - p))))) THEN 'eroding'
       WHEN any_value(l.slope * (hi - lo)) >= greatest(0.1, 2 * 1.15 * any_value(hi - lo) / sqrt(sum(n * (x - middle) ** 2 / (p * (1 - p))))) THEN 'improving' ELSE 'holding' END AS moved
-  FROM part_lines l JOIN parts USING (part, of, key) GROUP BY 1, 2, 3),
+  FROM part_lines l JOIN line_parts USING (part, of, key) GROUP BY 1, 2, 3),
 judged AS (
   SELECT w.*, CASE WHEN w.moved = i.moved THEN w.moved ELSE 'holding' END AS verdict FROM part_moves w LEFT JOIN part_moves i ON i.part = 'inner' AND i.of = w.of AND i.key = w.key WHERE w.part = 'whole'),
 whole_series AS (
