@@ -171,7 +171,7 @@ def partners(change_items: DataFrame, changes: DataFrame, max_size: int = 50, mi
     known = key_dictionary(rows, "item", seed).join(stats, "id")
     side = lambda x: known.select(F.col("id").alias(x), F.col("key").alias(f"key_{x}"), F.col("n").alias(f"n_{x}"), F.col("c").alias(f"c_{x}"))
     # an item may have any number of neighbours: the pairs of one key are salted by the other
-    both = salted_join(salted_join(pairs, side("a"), "a", "b"), side("b"), "b", "a").withColumn("counted", valid.select(F.count(F.lit(1))).scalar())
+    both = salted_join(salted_join(pairs, side("a"), "a", "b", salts=4), side("b"), "b", "a", salts=4).withColumn("counted", valid.select(F.count(F.lit(1))).scalar())
     first = F.col("key_a") < F.col("key_b")
     pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
     out = both.select(
