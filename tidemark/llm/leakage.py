@@ -206,7 +206,7 @@ def families(rows: DataFrame) -> DataFrame:
     least = seeds.groupBy("__row").agg(F.count(F.lit(1)).alias("n"), *[F.min(F.xxhash64("seed", F.lit(j))).alias(f"m{j}") for j in range(BANDS)])
     bands = least.select("__row", F.posexplode(F.array(*[f"m{j}" for j in range(BANDS)])).alias("band", "least"))
     first = bands.groupBy("band", "least").agg(F.min("__row").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    asked = salted_join(bands.withColumn("at", F.xxhash64("band", "least")), first.select(F.xxhash64("band", "least").alias("at"), "first"), "at", "__row").where("__row <> first").select("__row", "first").distinct()
+    asked = salted_join(bands.withColumn("at", F.xxhash64("band", "least")), first.select(F.xxhash64("band", "least").alias("at"), "first"), "at", "__row", small=True).where("__row <> first").select("__row", "first").distinct()
     theirs = seeds.select(F.col("__row").alias("first"), "seed")
     both = asked.join(seeds, "__row").join(theirs, ["first", "seed"]).groupBy("__row", "first").agg(F.count(F.lit(1)).alias("shared"))
     n = least.select("__row", "n")
@@ -222,7 +222,7 @@ def with_rare(rows: DataFrame) -> DataFrame:
     total = own.agg(F.count_distinct("family")).scalar()
     having = at.select("family", "word").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("having"))
     having = having.select("word", (F.col("having") <= F.greatest(F.lit(2.0), RARE * total)).alias("rare"))
-    marked = salted_join(at.select("__row", "place", "word"), having, "word", "__row")
+    marked = salted_join(at.select("__row", "place", "word"), having, "word", "__row", small=True)
     listed = marked.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("place", "rare"))).alias("r")).select("__row", F.col("r")["rare"].alias("rare"))
     return rows.join(listed, "__row")
 
@@ -345,10 +345,10 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     seeds = durable(indexed(known))
     corpus = documents.select(F.col(key).alias("__key"), F.col(text).alias("__text")).where(F.col("__text").isNotNull()).withColumn("__doc", F.xxhash64("__key", "__text"))
     found = durable(probed(spread(corpus, "__key"), seed_filter(seeds.select("seed").distinct())))
-    hits = salted_join(found.select("__doc", F.explode("seeds").alias("seed")), seeds, "seed", "__doc")
+    hits = salted_join(found.select("__doc", F.explode("seeds").alias("seed")), seeds, "seed", "__doc", small=True)
     pairs = durable(hits.groupBy("__doc", "__row").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).where("n >= need").select("__doc", "__row"))
     parts = max(2 * pairs.sparkSession.sparkContext.defaultParallelism, pairs.count() // PAIRS_A_TASK)
-    both = salted_join(pairs, known, "__row", "__doc").repartition(parts, "__doc")
+    both = salted_join(pairs, known, "__row", "__doc", small=True).repartition(parts, "__doc")
     whole = both.join(found.select("__doc", "__key", F.col("words").alias("document")), "__doc")
     merged = verified(whole).groupBy("__key", "__item").agg(F.max("share").alias("share"), F.max("rare_share").alias("rare_share"))
     return merged.select(F.col("__key").alias(key), F.col("__item").alias(item), "share", "rare_share")

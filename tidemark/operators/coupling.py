@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.numbers import rounded
 from tidemark.functions.paths import directory_distance, is_contract, is_test, is_test_pair
 from tidemark.operators.history import ROOT, History, named_pairs, pair_counts
+from tidemark.operators.skew import shuffled
 
 MIN_SHARED, MIN_DEGREE = 3, 0.3
 UBIQUITOUS_SHARE, UBIQUITOUS_MIN = 0.3, 10
@@ -41,7 +42,7 @@ def _couplings(history: History, min_shared: int, min_degree: float) -> DataFram
     pairs = strong_pairs(history, min_shared, min_degree)
     areas = history.areas()
     side = lambda x: areas.select(F.col("item").alias(x), F.col("area").alias(f"area_{x}"))
-    rows = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    rows = pairs.join(shuffled(side("a")), "a", "left").join(shuffled(side("b")), "b", "left")
     a, b = F.col("a"), F.col("b")
     return rows.select(
         "a",
@@ -145,7 +146,7 @@ def distant_couplings(history: History, imports: DataFrame, min_shared: int = MI
     rows = rows.where(~is_test(a) & ~is_test(b) & ~(is_contract(a) & is_contract(b)))
     areas = history.areas()
     for x in ("a", "b"):
-        rows = rows.join(areas.select(F.col("item").alias(x), F.col("area").alias(f"area_{x}")), x, "left")
+        rows = rows.join(shuffled(areas.select(F.col("item").alias(x), F.col("area").alias(f"area_{x}"))), x, "left")
     rows = rows.join(imports.select("a", "b", "relation"), ["a", "b"], "left")
     rows = rows.where(F.col("crosses_module") | (F.col("distance") >= LOCAL_DISTANCE))
     widest = rows.select(F.greatest(F.max("distance"), F.lit(1))).scalar()
@@ -165,7 +166,7 @@ def crossing_pairs(history: History, min_shared: int = MIN_SHARED, min_degree: f
     rows = couplings(history, min_shared, min_degree).where("crosses_module")
     areas = history.areas()
     for x in ("a", "b"):
-        rows = rows.join(areas.select(F.col("item").alias(x), F.col("area").alias(f"area_{x}")), x, "left").withColumn(f"area_{x}", F.coalesce(f"area_{x}", F.lit(ROOT)))
+        rows = rows.join(shuffled(areas.select(F.col("item").alias(x), F.col("area").alias(f"area_{x}"))), x, "left").withColumn(f"area_{x}", F.coalesce(f"area_{x}", F.lit(ROOT)))
     return rows.groupBy(F.least("area_a", "area_b").alias("a"), F.greatest("area_a", "area_b").alias("b")).agg(F.count(F.lit(1)).alias("couplings"), F.sum("shared").alias("shared"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.paths import is_test
 from tidemark.operators.heavy import key_dictionary, key_id
 from tidemark.operators.revisions import MAX_CHANGE_SIZE, co_changed_pairs, counted_changes
-from tidemark.operators.skew import salted_join
+from tidemark.operators.skew import salted_join, shuffled
 from tidemark.session import durable
 
 #: The area of an item that belongs to no module.
@@ -58,7 +58,7 @@ class History:
 
     def used(self) -> DataFrame:
         """``change_id, item`` of counted changes."""
-        return self.once("used", lambda: self.held().join(self.counted(), "change_id", "left_semi"))
+        return self.once("used", lambda: self.held().join(shuffled(self.counted()), "change_id", "left_semi"))
 
     def facts(self) -> DataFrame:
         """One row per non-null path: module, test, loc, complexity, score, revisions, breadth (of repeated rows, the largest of each)."""

@@ -9,6 +9,7 @@ from tidemark.functions.numbers import rounded, share
 from tidemark.functions.paths import is_test
 from tidemark.operators.heavy import value_ranks
 from tidemark.operators.history import History
+from tidemark.operators.skew import shuffled
 
 HUB_BREADTH, HUB_CHANGES, HUB_SHARE = 10, 5, 0.05
 HOT_SHARE = 0.1
@@ -117,8 +118,8 @@ def slice_scores(history: History) -> DataFrame:
     """``slice, path, changes, score``: activity times size within each time slice; tests are left out."""
     facts = history.change_facts().where(F.col("slice").isNotNull() & (F.col("size") <= history.max_size)).select("change_id", "slice")
     files = history.facts().where(~F.col("test")).select("path", (F.coalesce("loc", F.lit(0)) + F.coalesce("complexity", F.lit(0))).alias("bulk"))
-    rows = history.held().join(facts, "change_id").groupBy("slice", F.col("item").alias("path")).agg(F.count(F.lit(1)).alias("changes"))
-    rows = rows.join(files, "path")
+    rows = history.held().join(shuffled(facts), "change_id").groupBy("slice", F.col("item").alias("path")).agg(F.count(F.lit(1)).alias("changes"))
+    rows = rows.join(shuffled(files), "path")
     most = rows.groupBy("slice").agg(F.max("changes").alias("mc"), F.max("bulk").alias("mb"))
     rows = rows.join(F.broadcast(most), "slice")  # a row per slice: twelve at most
     return rows.select("slice", "path", "changes", (_norm(F.col("changes"), F.col("mc")) * _norm(F.col("bulk"), F.col("mb"))).alias("score"))
@@ -173,7 +174,7 @@ def heat_kinds(history: History) -> DataFrame:
 def window_trends(history: History, before: str = "before", now: str = "current") -> DataFrame:
     """``item, was, is, delta``: counted changes of each item in two windows; an item of one window has 0 in the other."""
     facts = history.change_facts().where((F.col("size") <= history.max_size) & F.col("window_id").isin(before, now)).select("change_id", "window_id")
-    rows = history.held().join(facts, "change_id").groupBy("item").agg(F.count_if(F.col("window_id") == before).alias("was"), F.count_if(F.col("window_id") == now).alias("is"))
+    rows = history.held().join(shuffled(facts), "change_id").groupBy("item").agg(F.count_if(F.col("window_id") == before).alias("was"), F.count_if(F.col("window_id") == now).alias("is"))
     return rows.withColumn("delta", F.col("is") - F.col("was"))
 
 

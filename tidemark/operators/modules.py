@@ -9,7 +9,7 @@ from tidemark.functions.numbers import rounded, share
 from tidemark.functions.paths import directory_of, is_config, is_test, matches_any, name_of
 from tidemark.operators.coupling import MIN_DEGREE, MIN_SHARED, directed, module_pairs, strong_pairs
 from tidemark.operators.history import ROOT, History
-from tidemark.operators.skew import salted_join
+from tidemark.operators.skew import salted_join, shuffled
 from tidemark.session import durable
 
 MODULE_FLOOR, MODULE_SHARE = 5, 0.01
@@ -81,7 +81,7 @@ def fix_density(history: History) -> DataFrame:
     """
     kinds = history.change_facts().where(F.col("size") <= history.max_size).select("change_id", "subject_kind")
     known = kinds.agg((F.count_if(F.col("subject_kind").isin("fix", "convention")) >= CONVENTION_SHARE * F.count(F.lit(1))).alias("known"))
-    rows = history.touched().where(~F.col("test")).select("change_id", "area").distinct().join(kinds, "change_id")
+    rows = history.touched().where(~F.col("test")).select("change_id", "area").distinct().join(shuffled(kinds), "change_id")
     spans = rows.groupBy("change_id").agg(F.count(F.lit(1)).alias("areas"))
     rows = rows.join(spans, "change_id")
     fix = F.col("subject_kind") == "fix"

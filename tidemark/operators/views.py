@@ -9,6 +9,7 @@ from tidemark.functions.numbers import rounded, share
 from tidemark.functions.paths import is_contract
 from tidemark.operators import coupling, hotspots, modules, textual, trends
 from tidemark.operators.history import ROOT, History
+from tidemark.operators.skew import shuffled
 
 LEAST_COHESIVE, OVERVIEW = 5, 10
 
@@ -62,7 +63,7 @@ def co_change(history: History, imports: DataFrame, min_shared: int = coupling.M
     files = files.join(imports.select("a", "b", "relation"), ["a", "b"], "left")
     areas = history.areas()
     for x in ("a", "b"):
-        files = files.join(areas.select(F.col("item").alias(x), F.col("area").alias(f"area_{x}")), x, "left").withColumn(f"area_{x}", F.coalesce(f"area_{x}", F.lit(ROOT)))
+        files = files.join(shuffled(areas.select(F.col("item").alias(x), F.col("area").alias(f"area_{x}"))), x, "left").withColumn(f"area_{x}", F.coalesce(f"area_{x}", F.lit(ROOT)))
     between = files.groupBy(F.least("area_a", "area_b").alias("a"), F.greatest("area_a", "area_b").alias("b")).agg(F.count(F.lit(1)).alias("file_pairs"), F.count_if(F.col("relation") == "none").alias("hidden_pairs"))
     heat = item_heat(history).groupBy(F.col("module").alias("area")).agg(F.sum("production_heat").alias("heat"))
     rows = pairs.join(between, ["a", "b"], "left").fillna(0, ["file_pairs", "hidden_pairs"])
