@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import CHANGES, ITEMS, STATS, change, frame, rows, stat
-from tidemark.operators import coupling, modules, trends
+from tidemark.operators import coupling, entries, modules, trends
 from tidemark.operators.history import History
 from tidemark.operators.skew import salted_join
 
@@ -44,3 +44,13 @@ def test_sides_with_a_row_per_change_or_file_are_not_broadcast(spark, history, t
     plan = _plan(make(read)).split("Subquery")[0]
     assert not [line for line in plan.splitlines() if "BroadcastHashJoin [change_id" in line or "BroadcastHashJoin [item" in line or "BroadcastHashJoin [a#" in line or "BroadcastHashJoin [b#" in line]
     assert rows(make(read)) == rows(make(history))
+
+
+def test_every_unstable_interface_is_a_candidate(spark):
+    hubs, importers = range(55), range(5)
+    held = [(6 * h + i, f"h/hub{h}.ts") for h in hubs for i in range(6)] + [(6 * h, f"u/use{h}_0.ts") for h in hubs]
+    changes = frame(spark, CHANGES, [change(i, 2) for i in range(6 * len(hubs))], extra=False)
+    stats = frame(spark, STATS, [stat(f"u/use{h}_{i}.ts", "u") for h in hubs for i in importers], extra=False)
+    edges = spark.createDataFrame([(f"u/use{h}_{i}.ts", f"h/hub{h}.ts") for h in hubs for i in importers], "src string, dst string")
+    found = entries.hub_findings(History(changes, frame(spark, ITEMS, held, extra=False), stats), edges)
+    assert {r["subject"] for r in found.collect() if r["score"] > 0} == {f"h/hub{h}.ts" for h in hubs}

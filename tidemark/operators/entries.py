@@ -146,8 +146,8 @@ def hidden_couplings(history: History, limits: Limits = Limits()) -> DataFrame:
 
 
 def hub_findings(history: History, edges: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Unstable interfaces: heat of their dependents times the share of dependents that change along."""
-    hubs = durable(modules.unstable_interfaces(history, edges).drop("changes", "dependents"))
+    """All unstable interfaces: heat of their dependents times the share of dependents that change along."""
+    hubs = durable(modules.unstable_interfaces(history, edges, top=None).drop("changes", "dependents"))
     links = modules.together(history, edges.where("src <> dst").select("src", "dst").distinct())
     changes = history.used().groupBy(F.col("item").alias("src")).agg(F.count(F.lit(1)).alias("n"))
     h = _heat_shares(history).select(F.col("path").alias("src"), "h")

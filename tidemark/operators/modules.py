@@ -218,12 +218,13 @@ def dependency_direction(history: History, edges: DataFrame, volatility: float =
     return links.select("from", "to", "imports", "changes_from", "changes_to", "together", "ratio", rounded("exact").alias("rank"))
 
 
-def unstable_interfaces(history: History, edges: DataFrame, fan_in: int = FAN_IN, least: int = INTERFACE_CHANGES, top: int = 50, shown: int = 5) -> DataFrame:
+def unstable_interfaces(history: History, edges: DataFrame, fan_in: int = FAN_IN, least: int = INTERFACE_CHANGES, top: int | None = 50, shown: int = 5) -> DataFrame:
     """``item, module, fan_in, changes, typical, changed_dependents, dependents``: files that many import and that change more than their importers.
 
     changes: logical changes of any size; they must exceed typical, the floor of the median over the
     importers. Tests import nothing here and are no interfaces. A dependent is changed if it
     shares a counted change with the item; dependents: the ``shown`` that share most, with how many.
+    The best ``top`` are listed, all where it is None.
     """
     links = edges.where("src <> dst").select("src", "dst").distinct().where(~is_test(F.col("src")) & ~is_test(F.col("dst")))
     changes = history.held().groupBy("item").agg(F.count(F.lit(1)).alias("n"))
@@ -241,7 +242,7 @@ def unstable_interfaces(history: History, edges: DataFrame, fan_in: int = FAN_IN
     hubs = hubs.join(history.areas().select(F.col("item").alias("dst"), F.col("area").alias("module")), "dst", "left")
     shown_ = F.transform(F.coalesce("d", F.array().cast("array<struct<place:int,item:string,shared:bigint>>")), lambda x: F.struct(x["item"].alias("item"), x["shared"].alias("shared")))
     rows = hubs.select(F.col("dst").alias("item"), F.coalesce("module", F.lit(ROOT)).alias("module"), "fan_in", "changes", "typical", "changed_dependents", shown_.alias("dependents"))
-    return rows.orderBy(F.desc("changed_dependents"), F.desc("changes"), F.desc("fan_in"), "item").limit(top)
+    return rows if top is None else rows.orderBy(F.desc("changed_dependents"), F.desc("changes"), F.desc("fan_in"), "item").limit(top)
 
 
 #: A design that erodes is judged one level worse.
