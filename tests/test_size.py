@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import CHANGES, ITEMS, STATS, change, frame, rows, stat
-from tidemark.operators import coupling, entries, modules, trends
+from tidemark.operators import coupling, entries, modules, trends, views
 from tidemark.operators.history import History
 from tidemark.operators.skew import salted_join
 
@@ -46,6 +46,22 @@ def test_sides_with_a_row_per_change_or_file_are_not_broadcast(spark, history, t
     assert rows(make(read)) == rows(make(history))
 
 
+@pytest.mark.parametrize("query", ["weak"])
+def test_a_judgement_of_areas_makes_what_changes_touched_once(spark, history, monkeypatch, query):
+    made, touched = [], History.touched
+    monkeypatch.setattr(History, "touched", lambda self: made.append(1) or touched(self))
+    result = {"weak": views.weak_structure}[query](history)
+    assert made == [1]
+    assert rows(result) is not None
+
+
+def test_a_history_keeps_the_named_results_only(history):
+    kept = history.keeping("touched_areas")
+    areas = kept.touched_areas()
+    assert areas is kept.touched_areas() and set(kept.kept) == {"touched_areas"}
+    assert rows(areas) == rows(history.touched_areas())
+
+
 def test_every_unstable_interface_is_a_candidate(spark):
     hubs, importers = range(55), range(5)
     held = [(6 * h + i, f"h/hub{h}.ts") for h in hubs for i in range(6)] + [(6 * h, f"u/use{h}_0.ts") for h in hubs]

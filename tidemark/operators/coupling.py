@@ -97,14 +97,14 @@ def without_items(history: History, gone: DataFrame) -> History:
 
 
 def area_pairs(touched: DataFrame) -> DataFrame:
-    """``a, b, shared, changes_a, changes_b`` of areas."""
+    """``a, b, shared, changes_a, changes_b`` of areas; of any rows with ``change_id, area``."""
     used = touched.select("change_id", F.col("area").alias("item")).distinct()
     return named_pairs(pair_counts(used), used)
 
 
 def module_pairs(history: History) -> DataFrame:
     """:func:`area_pairs` of all modules of a history."""
-    return history.once("module_pairs", lambda: area_pairs(history.touched()))
+    return history.once("module_pairs", lambda: area_pairs(history.touched_areas()))
 
 
 def ranked_touched(history: History) -> DataFrame:
@@ -115,7 +115,7 @@ def ranked_touched(history: History) -> DataFrame:
     from tidemark.operators.modules import cohesion
 
     ranked = cohesion(history).where("ranked").select("area")
-    return history.once("ranked", lambda: history.touched().select("change_id", "area").distinct().join(ranked, "area", "left_semi").select("change_id", "area"))
+    return history.once("ranked", lambda: history.touched_areas().join(ranked, "area", "left_semi").select("change_id", "area"))
 
 
 def module_couplings(history: History, min_shared: int = MIN_SHARED, top: int = 200) -> DataFrame:

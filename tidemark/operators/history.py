@@ -30,14 +30,15 @@ class History:
     items: DataFrame | None = None
     max_size: int = MAX_CHANGE_SIZE
     kept: dict[str, DataFrame] | None = field(default=None, compare=False, repr=False)
+    names: frozenset[str] | None = field(default=None, compare=False, repr=False)
 
-    def keeping(self) -> History:
-        """The same history, for a report of many measures: shared intermediate results are made once and read again."""
-        return self if self.kept is not None else replace(self, kept={})
+    def keeping(self, *names: str) -> History:
+        """The same history, for a report of many measures: shared intermediate results are made once and read again; with ``names``, only those."""
+        return self if self.kept is not None else replace(self, kept={}, names=frozenset(names) or None)
 
     def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """``make()``; of a history that is keeping, its durable result of the first time."""
-        if self.kept is None:
+        if self.kept is None or self.names is not None and name not in self.names:
             return make()
         if name not in self.kept:
             self.kept[name] = durable(make())
@@ -81,6 +82,10 @@ class History:
 
         return self.once("touched", make)
 
+    def touched_areas(self) -> DataFrame:
+        """``change_id, area, code``: the areas of each counted change, once; ``code``: it touched a file there that is no test."""
+        return self.once("touched_areas", lambda: self.touched().groupBy("change_id", "area").agg(F.bool_or(~F.col("test")).alias("code")))
+
 
 def pair_counts(used: DataFrame, change: str = "change_id", item: str = "item", seed: int = 0) -> DataFrame:
     """``a, b, shared``: ids of items that occur in one change together, and in how many; a < b by id.

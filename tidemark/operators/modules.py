@@ -36,7 +36,7 @@ def area_tally(touched: DataFrame, *keys: str) -> DataFrame:
 def cohesion(history: History) -> DataFrame:
     """``area, files, test_only, changes, local, cohesion, ranked``: all modules with files; null cohesion without changes."""
     files = history.areas().groupBy("area").agg(F.count(F.lit(1)).alias("files"), F.min("test").alias("test_only"))
-    rows = files.join(area_tally(history.touched()), "area", "left").fillna(0, ["changes", "local"])
+    rows = files.join(area_tally(history.touched_areas()), "area", "left").fillna(0, ["changes", "local"])
     floor = module_floor(history).select("floor").scalar()
     return history.once("cohesion", lambda: rows.select("area", "files", "test_only", "changes", "local", rounded(share("local", "changes")).alias("cohesion"), (~F.col("test_only") & (F.col("changes") >= floor)).alias("ranked")))
 
@@ -53,7 +53,7 @@ def module_partners(history: History, top: int = 5, min_shared: int = MIN_SHARED
 def radius_rows(history: History) -> DataFrame:
     """``change_id, area``: distinct areas a counted change touches, areas of tests only left out."""
     only = history.areas().groupBy("area").agg(F.min("test").alias("only")).where("only").select("area")
-    return history.touched().join(only, "area", "left_anti").select("change_id", "area").distinct()
+    return history.touched_areas().join(only, "area", "left_anti").select("change_id", "area")
 
 
 def change_radius(history: History) -> DataFrame:
@@ -245,6 +245,9 @@ def unstable_interfaces(history: History, edges: DataFrame, fan_in: int = FAN_IN
     return rows if top is None else rows.orderBy(F.desc("changed_dependents"), F.desc("changes"), F.desc("fan_in"), "item").limit(top)
 
 
+#: What a judgement of all areas reads several times: at most a row per change and area.
+JUDGING = ("touched_areas", "cohesion", "module_pairs")
+
 #: A design that erodes is judged one level worse.
 WORSE = {"holds": "mixed", "mixed": "strained", "strained": "strained", "unknown": "unknown"}
 

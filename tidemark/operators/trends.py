@@ -22,7 +22,7 @@ def _slice_shares(history: History, least: int = SLICE_CHANGES) -> DataFrame:
     slices = history.change_facts().where(F.col("slice").isNotNull() & (F.col("size") <= history.max_size)).select("change_id", "slice")
     floor = slices.groupBy("slice").agg(F.greatest(F.lit(least), F.lit(MODULE_FLOOR), F.ceil(F.count(F.lit(1)) * MODULE_SHARE)).cast("long").alias("floor"))
     only = history.areas().groupBy("area").agg(F.min("test").alias("only")).where("only").select("area")
-    rows = area_tally(history.touched().join(shuffled(slices), "change_id"), "slice").join(F.broadcast(floor), "slice")  # a row per slice
+    rows = area_tally(history.touched_areas().join(shuffled(slices), "change_id"), "slice").join(F.broadcast(floor), "slice")  # a row per slice
     rows = rows.where(F.col("changes") >= F.col("floor")).join(only, "area", "left_anti")
     return rows.select("slice", "area", "changes", (F.col("local") / F.col("changes")).alias("share"))
 
@@ -150,7 +150,7 @@ def repository_erosion(history: History) -> DataFrame:
 def module_trends(history: History, before: str = "before", now: str = "current") -> DataFrame:
     """``area, was, is, delta``: local share in two windows, of areas that changed in both."""
     windows = history.change_facts().select("change_id", "window_id")
-    rows = area_tally(history.touched().join(shuffled(windows), "change_id"), "window_id")
+    rows = area_tally(history.touched_areas().join(shuffled(windows), "change_id"), "window_id")
     wide = rows.groupBy("area").pivot("window_id", [before, now]).agg(F.sum("changes").alias("n"), F.sum("local").alias("l"))
     wide = wide.where(f"`{before}_n` > 0 and `{now}_n` > 0")
     was, now_ = F.coalesce(F.col(f"{before}_l"), F.lit(0)) / F.col(f"{before}_n"), F.coalesce(F.col(f"{now}_l"), F.lit(0)) / F.col(f"{now}_n")

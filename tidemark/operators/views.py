@@ -41,6 +41,7 @@ def weak_structure(history: History) -> DataFrame:
 
     partner_share: share of the module's changes that touch the partner too.
     """
+    history = history.keeping(*modules.JUDGING)
     judged = modules.standings(history).where("state <> 'unjudged'")
     held = modules.cohesion(history).select("area", F.col("cohesion").alias("containment"), "changes")
     best = coupling.strongest_partner(None, pairs=coupling.module_pairs(history))
