@@ -46,11 +46,11 @@ def test_sides_with_a_row_per_change_or_file_are_not_broadcast(spark, history, t
     assert rows(make(read)) == rows(make(history))
 
 
-@pytest.mark.parametrize("query", ["weak"])
+@pytest.mark.parametrize("query", ["weak", "verdict"])
 def test_a_judgement_of_areas_makes_what_changes_touched_once(spark, history, monkeypatch, query):
     made, touched = [], History.touched
     monkeypatch.setattr(History, "touched", lambda self: made.append(1) or touched(self))
-    result = {"weak": views.weak_structure}[query](history)
+    result = {"weak": views.weak_structure, "verdict": modules.verdict}[query](history)
     assert made == [1]
     assert rows(result) is not None
 
