@@ -46,6 +46,20 @@ def test_sides_with_a_row_per_change_or_file_are_not_broadcast(spark, history, t
     assert rows(make(read)) == rows(make(history))
 
 
+@pytest.mark.parametrize("query", ["along", "direction"])
+def test_import_edges_and_their_owners_are_not_broadcast(spark, history, tmp_path, monkeypatch, query):
+    read = _files(spark, history, str(tmp_path))
+    spark.createDataFrame([("x/a.ts", "y/b0.ts")], "src string, dst string").write.parquet(f"{tmp_path}/edges")
+    edges = spark.read.parquet(f"{tmp_path}/edges")
+    make = {"along": modules.changed_along, "direction": lambda h, e: modules.dependency_direction(h, e, volatility=0)}[query]
+    expected = rows(make(history, edges))
+    assert expected
+    monkeypatch.setattr(modules, "durable", lambda df: df, raising=True)
+    plan = _plan(make(read, edges)).split("Subquery")[0]
+    assert not [line for line in plan.splitlines() if "BroadcastHashJoin [src" in line or "BroadcastHashJoin [dst" in line or "BroadcastHashJoin [a#" in line]
+    assert rows(make(read, edges)) == expected
+
+
 @pytest.mark.parametrize("query", ["weak", "verdict"])
 def test_a_judgement_of_areas_makes_what_changes_touched_once(spark, history, monkeypatch, query):
     made, touched = [], History.touched

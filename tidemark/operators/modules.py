@@ -182,7 +182,7 @@ def changed_along(history: History, edges: DataFrame) -> DataFrame:
     heads = lists.select("change_id", "items", F.posexplode("items").alias("i", "a")).where(F.col("i") + 1 < F.size("items"))
     pairs = heads.select("change_id", "a", F.explode(F.slice("items", F.col("i") + 2, F.size("items") - F.col("i") - 1)).alias("b"))
     sides = edges.withColumn("a", F.least("src", "dst")).withColumn("b", F.greatest("src", "dst"))
-    return pairs.join(sides, ["a", "b"]).select("src", "dst", "change_id")
+    return pairs.join(shuffled(sides), ["a", "b"]).select("src", "dst", "change_id")
 
 
 def together(history: History, edges: DataFrame) -> DataFrame:
@@ -203,10 +203,11 @@ def dependency_direction(history: History, edges: DataFrame, volatility: float =
     owner = owner.join(tests, "area", "left_anti")
     src = owner.where(~F.col("test")).select(F.col("item").alias("src"), F.col("area").alias("from"))
     dst = owner.select(F.col("item").alias("dst"), F.col("area").alias("to"))
-    rows = edges.select("src", "dst").distinct().join(src, "src").join(dst, "dst").where(F.col("from") != F.col("to"))
-    felt = changed_along(history, rows).join(rows, ["src", "dst"]).select("from", "to", "change_id").distinct()
+    rows = edges.select("src", "dst").distinct().join(shuffled(src), "src").join(shuffled(dst), "dst").where(F.col("from") != F.col("to"))
+    rows = durable(rows)  # read four times
+    felt = changed_along(history, rows).join(shuffled(rows), ["src", "dst"]).select("from", "to", "change_id").distinct()
     felt = felt.groupBy("from", "to").agg(F.count(F.lit(1)).alias("together"))
-    tally = area_tally(history.touched())
+    tally = durable(area_tally(history.touched_areas()))  # a row per area, read from both ends
     links = rows.groupBy("from", "to").agg(F.count_distinct("src").alias("imports"))
     links = links.join(tally.select(F.col("area").alias("from"), F.col("changes").alias("changes_from")), "from", "left")
     links = links.join(tally.select(F.col("area").alias("to"), F.col("changes").alias("changes_to")), "to")
