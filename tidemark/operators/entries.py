@@ -11,6 +11,7 @@ from tidemark.functions.numbers import rounded, share
 from tidemark.functions.paths import is_test
 from tidemark.operators import coupling, hotspots, modules, textual
 from tidemark.operators.history import History
+from tidemark.operators.skew import shuffled
 from tidemark.session import durable
 
 
@@ -140,7 +141,7 @@ def hidden_couplings(history: History, limits: Limits = Limits()) -> DataFrame:
     pairs = coupling.couplings(history).where(F.col("crosses_module") & ~F.col("test_pair") & (F.col("shared") >= limits.coupling_changes))
     h = _heat_shares(history).select("path", "h")
     for x in ("a", "b"):
-        pairs = pairs.join(h.select(F.col("path").alias(x), F.col("h").alias(f"h_{x}")), x, "left")
+        pairs = pairs.join(shuffled(h.select(F.col("path").alias(x), F.col("h").alias(f"h_{x}"))), x, "left")
     heat = F.coalesce("h_a", F.lit(0.0)) + F.coalesce("h_b", F.lit(0.0))
     return pairs.select(F.lit("coupling").alias("kind"), F.concat_ws(" + ", "a", "b").alias("subject"), (heat * F.col("degree")).alias("score"), _none().alias("areas"), F.array("a", "b").alias("files"))
 
@@ -151,7 +152,7 @@ def hub_findings(history: History, edges: DataFrame, limits: Limits = Limits())
     links = modules.together(history, edges.where("src <> dst").select("src", "dst").distinct())
     changes = history.used().groupBy(F.col("item").alias("src")).agg(F.count(F.lit(1)).alias("n"))
     h = _heat_shares(history).select(F.col("path").alias("src"), "h")
-    weighted = links.join(changes, "src", "left").join(h, "src", "left").groupBy(F.col("dst").alias("item")).agg(F.sum(F.coalesce("h", F.lit(0.0)) * F.least(F.lit(1.0), F.col("together") / F.greatest(F.lit(1), F.coalesce("n", F.lit(0))))).alias("hw"))
+    weighted = links.join(changes, "src", "left").join(shuffled(h), "src", "left").groupBy(F.col("dst").alias("item")).agg(F.sum(F.coalesce("h", F.lit(0.0)) * F.least(F.lit(1.0), F.col("together") / F.greatest(F.lit(1), F.coalesce("n", F.lit(0))))).alias("hw"))
     return hubs.join(weighted, "item").select(F.lit("hub").alias("kind"), F.col("item").alias("subject"), (F.col("hw") * F.col("changed_dependents") / F.col("fan_in")).alias("score"), _none().alias("areas"), F.array("item").alias("files"))
 
 

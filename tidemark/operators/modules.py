@@ -240,7 +240,7 @@ def unstable_interfaces(history: History, edges: DataFrame, fan_in: int = FAN_IN
     best = shared.withColumn("place", place).where(F.col("place") <= shown)
     best = best.groupBy("dst").agg(F.sort_array(F.collect_list(F.struct("place", F.col("src").alias("item"), F.col("k").alias("shared")))).alias("d"))
     hubs = hubs.join(counts, "dst", "left").join(best, "dst", "left").fillna(0, ["changed_dependents"])
-    hubs = hubs.join(history.areas().select(F.col("item").alias("dst"), F.col("area").alias("module")), "dst", "left")
+    hubs = hubs.join(shuffled(history.areas().select(F.col("item").alias("dst"), F.col("area").alias("module"))), "dst", "left")
     shown_ = F.transform(F.coalesce("d", F.array().cast("array<struct<place:int,item:string,shared:bigint>>")), lambda x: F.struct(x["item"].alias("item"), x["shared"].alias("shared")))
     rows = hubs.select(F.col("dst").alias("item"), F.coalesce("module", F.lit(ROOT)).alias("module"), "fan_in", "changes", "typical", "changed_dependents", shown_.alias("dependents"))
     return rows if top is None else rows.orderBy(F.desc("changed_dependents"), F.desc("changes"), F.desc("fan_in"), "item").limit(top)
