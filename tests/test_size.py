@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import CHANGES, ITEMS, STATS, change, frame, rows, stat
-from tidemark.operators import coupling, entries, modules, trends, views
+from helpers import CHANGES, COMMIT_FILES, COMMITS, ITEMS, STATS, change, commit, frame, rows, stat, touch
+from tidemark.operators import coupling, entries, lineage, modules, trends, views
 from tidemark.operators.history import History
 from tidemark.operators.skew import salted_join
 
@@ -89,3 +89,16 @@ def test_every_unstable_interface_is_a_candidate(spark):
     edges = spark.createDataFrame([(f"u/use{h}_{i}.ts", f"h/hub{h}.ts") for h in hubs for i in importers], "src string, dst string")
     found = entries.hub_findings(History(changes, frame(spark, ITEMS, held, extra=False), stats), edges)
     assert {r["subject"] for r in found.collect() if r["score"] > 0} == {f"h/hub{h}.ts" for h in hubs}
+
+
+@pytest.mark.parametrize("listed", [0, 2, 64])
+def test_only_events_are_settled_and_rows_are_not_written_for_it(spark, monkeypatch, listed):
+    # newest first: hot is deleted, recreated, and renamed to new; calm has no event
+    cm = [commit(f"c{i}", i, 100 - i) for i in range(10)]
+    cf = [touch("c1", "new", renamed="hot"), touch("c3", "hot", created=True, new="y"), touch("c5", "hot", removed=True, old="x"), *[touch(f"c{i}", "hot") for i in (2, 4, 6, 7, 8, 9)], *[touch(f"c{i}", "calm") for i in range(10)], touch("c5", "hot")]
+    written, durable = [], lineage.durable
+    monkeypatch.setattr(lineage, "durable", lambda df: written.append(durable(df)) or written[-1])
+    got = {(r["sha"], r["path"]): (r["today"], r["earlier"]) for r in lineage.lives(frame(spark, COMMIT_FILES, cf), frame(spark, COMMITS, cm), listed=listed).collect()}
+    assert {k: got[k, "hot"] for k in ("c2", "c3", "c4", "c5", "c9")} == {"c2": ("new", False), "c3": ("new", False), "c4": ("new", False), "c5": ("new", True), "c9": ("new", True)}
+    assert len(got) == 19 and all(got[f"c{i}", "calm"] == ("calm", False) for i in range(10))
+    assert not [df for df in written if "path" in df.columns and df.where("path = 'calm'").count()]
