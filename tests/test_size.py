@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import CHANGES, COMMIT_FILES, COMMITS, ITEMS, STATS, change, commit, frame, rows, stat, touch
-from tidemark.operators import coupling, entries, lineage, modules, trends, views
+from tidemark.operators import coupling, entries, hotspots, lineage, modules, trends, views
 from tidemark.operators.history import History
 from tidemark.operators.skew import salted_join
 
@@ -102,3 +102,16 @@ def test_only_events_are_settled_and_rows_are_not_written_for_it(spark, monkeypa
     assert {k: got[k, "hot"] for k in ("c2", "c3", "c4", "c5", "c9")} == {"c2": ("new", False), "c3": ("new", False), "c4": ("new", False), "c5": ("new", True), "c9": ("new", True)}
     assert len(got) == 19 and all(got[f"c{i}", "calm"] == ("calm", False) for i in range(10))
     assert not [df for df in written if "path" in df.columns and df.where("path = 'calm'").count()]
+
+
+def test_activity_of_lives_shuffles_a_row_once_by_its_commit(spark):
+    cf = frame(spark, COMMIT_FILES, [touch("a", "p", added=3), touch("a", "p", added=3), touch("a", "p", added=4), touch("a", "q", added=5), touch("b", "p"), touch("c", "p"), touch("d", "gone")], extra=False)
+    cm = frame(spark, COMMITS, [commit(c, i) for i, c in enumerate("abcd")], extra=False)
+    kinds = spark.createDataFrame([("a", None), ("b", None), ("c", "moves"), ("d", None)], "sha string, kind string")
+    lives = spark.createDataFrame([("a", "p", "new", False), ("a", "q", "new", False), ("b", "p", "p", True), ("c", "p", "new", False), ("d", "gone", "gone", False)], "sha string, path string, today string, earlier boolean")
+    h = History(frame(spark, CHANGES, [change(1, 1)], extra=False), frame(spark, ITEMS, [(1, "new")], extra=False))
+    got = hotspots.item_activity(cf, cm, h, kinds, lives)
+    assert rows(got) == [("gone", 1, 1, 0, 0), ("new", 1, 12, 0, 1)]
+    plan = _plan(got)
+    assert "REPARTITION_BY_COL" in plan and "hashpartitioning(sha#" in plan
+    assert not [line for line in plan.splitlines() if "hashpartitioning(" in line and "sha#" in line and "path#" in line]

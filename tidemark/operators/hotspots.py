@@ -26,9 +26,15 @@ def item_activity(commit_files: DataFrame, commits: DataFrame, history: History,
     once; null line counts are 0.
     """
     real = commits.where(~F.col("move_only") & F.col("sha").isNotNull()).select("sha").distinct() if kinds is None else kinds.where(F.col("kind").isNull()).select("sha")
-    rows = commit_files.where(F.col("path").isNotNull()).select("sha", "path", "added", "deleted").distinct().join(real, "sha", "left_semi")
-    if lives is not None:
-        rows = rows.join(lives.where(~F.col("earlier")).select("sha", "path", "today"), ["sha", "path"]).select("sha", F.col("today").alias("path"), "added", "deleted")
+    rows = commit_files.where(F.col("path").isNotNull()).select("sha", "path", "added", "deleted")
+    if lives is None:
+        rows = rows.distinct().join(real, "sha", "left_semi")
+    else:
+        # both sides are dealt out by sha at once, so that what follows up to a file's lines shuffles neither again
+        today = lives.where(~F.col("earlier")).select("sha", "path", "today")
+        both = rows.withColumn("counts", F.lit(True)).unionByName(today, allowMissingColumns=True).repartition("sha").distinct().join(shuffled(real), "sha", "left_semi")
+        named = both.groupBy("sha", "path").agg(F.sum("added").alias("added"), F.sum("deleted").alias("deleted"), F.max("today").alias("today"), F.bool_or("counts").alias("counts"))
+        rows = named.where(F.col("counts") & F.col("today").isNotNull()).select("sha", F.col("today").alias("path"), "added", "deleted")
     each = rows.groupBy("path", "sha").agg(F.sum("added").alias("added"), F.sum("deleted").alias("deleted"))
     lines = each.groupBy("path").agg(F.count(F.lit(1)).alias("revisions"), F.coalesce(F.sum("added"), F.lit(0)).alias("lines_added"), F.coalesce(F.sum("deleted"), F.lit(0)).alias("lines_deleted"))
     changes = history.held().groupBy(F.col("item").alias("path")).agg(F.count(F.lit(1)).alias("changes"))

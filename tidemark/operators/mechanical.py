@@ -99,7 +99,7 @@ def _newest_first(pairs):
 
 def fingerprints(commit_files: DataFrame) -> DataFrame:
     """``sha, files, fingerprint``: 64-bit hash of a commit's files with their blobs; null if a new blob is unknown."""
-    rows = file_rows(commit_files)
+    rows = file_rows(commit_files.select("sha", "path", "blob_old", "blob_new", "added", "deleted").repartition("sha"))  # one shuffle for both groupings
     each = F.xxhash64("path", "blob_old", "blob_new")
     # a sum of hashes does not depend on the order of the files and combines on the map side
     out = rows.groupBy("sha").agg(F.count(F.lit(1)).alias("files"), F.bool_and(F.col("blob_new").isNotNull()).alias("known"), F.bit_xor(each).alias("x"), F.sum(F.pmod(each, F.lit(1 << 40))).alias("s"))
@@ -167,7 +167,7 @@ def kinds(commits: DataFrame, commit_files: DataFrame, ignored: DataFrame | None
     """
     from tidemark.operators import patches as digests
 
-    rows = durable(commit_rows(commits).select("sha", "time_s", "log_pos", "move_only", "reverts"))
+    rows = durable(commit_rows(commits.select("sha", "time_s", "log_pos", "move_only", "reverts", "recorded_at")).drop("recorded_at"))
     none = rows.select("sha").limit(0)
     files = None if patches is None else durable(digests.patch_files(patches))
     blank = none if files is None else digests.whitespace_only(files, indented)
